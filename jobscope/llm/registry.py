@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from jobscope.llm import chat, mixing
+from jobscope.llm import chat, mixing, substrings
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
 }
 
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
     "op2_mix_sources": mixing.OP2_SQL,
+    "op4_substring_dedup": substrings.OP4_SQL,
 }
