@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from jobscope.llm import chat, mixing, substrings
+from jobscope.llm import chat, langid, mixing, substrings
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_language_id": langid.op3_language_id,
     "op4_substring_dedup": substrings.op4_substring_dedup,
 }
 
