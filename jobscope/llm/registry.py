@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobscope.llm import chat, jaccard, langid, mixing, pii, substrings, warc
+from jobscope.llm import chat, jaccard, langid, media, mixing, pii, substrings, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_pii": pii.op9_pii,
+    "op10_media_chunks": media.op10_media_chunks,
 }
 
 ORACLE_SQL = {
