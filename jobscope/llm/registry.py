@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from jobscope.llm import chat, jaccard, langid, media, mixing, pii, substrings, warc
+from jobscope.llm import chat, decontaminate, jaccard, langid, media, mixing, pii, substrings, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_language_id": langid.op3_language_id,
     "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_warc": warc.op6_warc,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_pii": pii.op9_pii,
