@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobscope.llm import chat, decontaminate, jaccard, langid, media, mixing, pii, substrings, warc
+from jobscope.llm import chat, decontaminate, jaccard, langid, licenses, media, mixing, pii, substrings, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_warc": warc.op6_warc,
+    "op7_license_scan": licenses.op7_license_scan,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_pii": pii.op9_pii,
     "op10_media_chunks": media.op10_media_chunks,
@@ -21,4 +22,5 @@ ORACLE_SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
     "op4_substring_dedup": substrings.OP4_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op7_license_scan": licenses.OP7_SQL,
 }
