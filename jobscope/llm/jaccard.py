@@ -16,10 +16,11 @@ from jobscope.llm.components import components
 SHINGLE = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: A feature is frequent if this share of the documents has it; frequent ones are left out of the first signatures.
-FREQUENT = 1 / 500
-#: Slices over which a task counts features before it hands on the frequent ones, and the least count that it hands on.
-COUNTED, LEAST = 4, 8
+#: A feature that stands in OFTEN documents of a stretch is counted there; counts of TOTAL and more make it frequent, the
+#: TABLE most frequent ones being set apart. Any such choice gives the same links; it only keeps candidates few.
+OFTEN, TOTAL, TABLE = 3, 12, 1_000_000
+#: Slices of a stretch.
+COUNTED = 8
 #: Rows of a lookup that are few enough to broadcast (two longs each).
 LOOKUP_ROWS = 1_000_000
 
@@ -37,10 +38,10 @@ def parts(top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For sets of at most top features: how many features two that link can differ by, and the number of parts.
 
     intersection >= PERCENT / (100 + PERCENT) * (sum of sizes), so the difference is at most (100 - PERCENT) / (100 + PERCENT)
-    of that sum. With so many more parts than differences, at least parts - differences of them are equal.
+    of that sum. Of more parts than that with features in them, at least one is the same in both sets.
     """
     differ = 2 * top * (100 - PERCENT) // (100 + PERCENT)
-    return differ, differ + 7 + differ // 4
+    return differ, differ + 5 + differ // 6
 
 
 class Shingles:
@@ -66,44 +67,48 @@ class Shingles:
         self.nodes = mix64(sums[ends] - sums[ends - self.sizes] + self.sizes.astype(np.uint64)).view(np.int64)
 
     def signatures(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures, and the row of each. Each set takes part in its own band and the next."""
+        """Signatures, and the row of each. Each set takes part in its own band and the next.
+
+        Leaving out the same features everywhere can only lessen a difference, so frequent ones are left out at first. If
+        no more parts have features than may differ, the set goes on to the next way: each feature is a part of its own;
+        then all features in parts; then all features, each a part of its own, of which there are always enough.
+        Two sets that link and share no signature of one way both go on to the next.
+        """
         at = np.searchsorted(frequent, self.values)
         rare = frequent[np.minimum(at, len(frequent) - 1)] != self.values if len(frequent) else np.ones(len(self.values), dtype=bool)
         tops = bands(int(self.sizes.max(initial=0)) * 2 + 1)
         own = np.searchsorted(tops, self.sizes)
-        out = []
+        out: list[tuple[np.ndarray, np.ndarray]] = []
         for step in (0, 1):
             band = own + step
             differ, n = parts(tops[band])
             live = (self.sizes > 0) & (differ > 0)  # where nothing may differ, equal sets are one already
-            few = self._cells(rare, live, band, n, n - differ, 0, out, empties=False)
-            few = self._cells(np.ones_like(rare), few, band, n, n - differ, 1, out, empties=False)
-            self._cells(np.zeros_like(rare), few, band, n, n - differ, 2, out, empties=True)
-        if not out:
-            return self.values[:0], self.row[:0]
+            for lane, use in enumerate((rare, np.ones_like(rare))):
+                live &= self._parts(use, live, band, n, 2 * lane, out) <= differ
+                live &= self._alone(use, live, band, 2 * lane + 1, out) <= differ
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def _cells(self, use: np.ndarray, live: np.ndarray, band: np.ndarray, n: np.ndarray, equal: np.ndarray, lane: int, out: list, *, empties: bool) -> np.ndarray:
-        """Adds a signature for each part that isn't empty (or each that is) of the live sets, over the features to use.
-
-        Returns the sets for which all of the equal parts might be empty ones: these take the next lane as well.
-        """
+    def _parts(self, use: np.ndarray, live: np.ndarray, band: np.ndarray, n: np.ndarray, way: int, out: list) -> np.ndarray:
+        """Adds a signature for each part with features to use, of the live sets; returns how many parts that are."""
         n = np.where(live, n, 0)
         offset = np.cumsum(n) - n
-        sums = np.zeros(int(n.sum()), dtype=np.uint64)
-        filled = np.zeros(len(sums), dtype=bool)
-        use = live[self.row] & (use | (lane == 2))
+        sums, filled = np.zeros(int(n.sum()), dtype=np.uint64), np.zeros(int(n.sum()), dtype=bool)
+        use = use & live[self.row]
         value, row = mix64(self.values[use] + np.uint64(7)), self.row[use]
         cell = offset[row] + ((value >> np.uint64(32)) * n[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
         np.add.at(sums, cell, value)
         filled[cell] = True
-        owner = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(sums)) - offset[owner]
-        tag = mix64((band[owner] * 4 + lane).astype(np.uint64) << np.uint64(32) | place.astype(np.uint64))
-        chosen = ~filled if empties else filled
-        out.append((mix64(sums[chosen] + tag[chosen]), owner[chosen]))
-        hollow = np.bincount(owner[~filled], minlength=len(n))
-        return live & (hollow >= equal)
+        cell = np.flatnonzero(filled)
+        owner = np.repeat(np.arange(len(n)), n)[cell]
+        tag = (band[owner] * 4 + way).astype(np.uint64) << np.uint64(32) | (cell - offset[owner]).astype(np.uint64)
+        out.append((mix64(sums[cell] + mix64(tag)), owner))
+        return np.bincount(owner, minlength=len(n))
+
+    def _alone(self, use: np.ndarray, live: np.ndarray, band: np.ndarray, way: int, out: list) -> np.ndarray:
+        use = use & live[self.row]
+        row = self.row[use]
+        out.append((mix64(self.values[use] + mix64((band[row] * 4 + way).astype(np.uint64) << np.uint64(32))), row))
+        return np.bincount(row, minlength=len(live))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -121,7 +126,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def frequent(held: list[Shingles]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate([s.values for s in held]), return_counts=True)
-        often = counts >= max(LEAST, sum(len(s.sizes) for s in held) * FREQUENT / 2)
+        often = counts >= OFTEN
         n = int(often.sum())
         none = pa.nulls(n, pa.int64())
         return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=[x.split()[0] for x in SETS.split(", ")])
@@ -146,16 +151,15 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measure(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """doc_id, row_hash, n_shingles, node (hash of the set) of each document; and the frequent features, sorted.
 
-    One pass over all documents. Frequent features number at most the mean size of a set over FREQUENT, whatever the input.
+    One pass over all documents; the driver gets TABLE features at most.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), F.col("text").cast("binary").alias("text"))
     found = staged(rows.mapInArrow(_measure, SETS), "sets")
     sets = found.where("node is not null").select("doc_id", "row_hash", "n_shingles", "node")
-    total = found.where("n_shingles > 0").count()
-    often = found.where("feature is not null").groupBy("feature").agg(F.sum("seen").alias("n")).where(F.col("n") >= max(LEAST, total * FREQUENT))
-    values = np.array([r["feature"] for r in often.select("feature").collect()], dtype=np.int64).view(np.uint64)
-    return sets, np.sort(values)
+    often = found.where("feature is not null").groupBy("feature").agg(F.sum("seen").alias("n")).where(F.col("n") >= TOTAL)
+    values = often.orderBy(F.desc("n"), "feature").limit(TABLE).select("feature").toPandas()["feature"].to_numpy(dtype=np.int64)
+    return sets, np.sort(values.view(np.uint64))
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
