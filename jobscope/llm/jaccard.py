@@ -216,7 +216,7 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row for each row of docs.
+    """doc_id, row_hash, n_shingles, component_id and component (the least node of it), one row for each row of docs.
 
     Sets of 5-word shingles of the lower-cased (A-Z) text; fewer words are one shingle; documents without words are empty
     and link with nothing. Equal sets are one node from the start. Nodes that share a signature are candidates. First each
@@ -244,10 +244,29 @@ def link(docs: DataFrame) -> DataFrame:
     least = sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     least = least.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = least.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = least.join(smallest, "component").select("node", "component_id")
-    out = sets.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    named = least.join(smallest, "component").select("node", "component_id", "component")
+    columns = ["doc_id", "row_hash", "n_shingles", "component_id", "component"]
+    out = sets.where("n_shingles > 0").join(named, "node").select(*columns)
+    return out.unionByName(sets.where("n_shingles = 0").select("doc_id", "row_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component")))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component, that with the smallest doc_id (null last); documents without words all stay.
+
+    Of rows that agree in doc_id and text one stays. Only what goes is looked up.
+    """
+    linked = staged(link(docs).where("component is not null"), "linked")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")
+    kept = linked.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    first = kept.select(F.col("first.row_hash").alias("row_hash"), "component")
+    gone = linked.join(first, ["component", "row_hash"], "left_anti").select(F.col("row_hash").alias("gone_row")).distinct()
+    again = linked.join(first, ["component", "row_hash"], "left_semi").groupBy("row_hash").count().where("count > 1").select(F.col("row_hash").alias("again_row"))
+    row = F.xxhash64(docs["doc_id"], docs["text"])
+    gone, again = (maybe_broadcast(staged(x, "gone"), LOOKUP_ROWS) for x in (gone, again))
+    left = docs.join(gone, row == gone["gone_row"], "left_anti")
+    once = left.join(again, row == again["again_row"], "left_anti")
+    return once.unionByName(left.join(again, row == again["again_row"], "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return link(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_hash", "component")

@@ -242,6 +242,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, TEXTS)
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs whose text has a language with a score of at least least, all columns unchanged and without a shuffle."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or "" for x in batch["text"].to_pylist()]
+            for part in slices([len(x) for x in texts], SLICE_CHARS):
+                piece = batch.slice(part.start, part.stop - part.start)
+                found = _predict(shared.value, pa.nulls(len(piece), pa.int64()), texts[part])
+                yield piece.filter(pa.array((found["score"].to_numpy() >= least) & (np.array(found["lang_pred"].to_pylist()) != "und")))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 

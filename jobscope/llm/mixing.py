@@ -62,6 +62,23 @@ def find_thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return plan.alias("p").join(maybe_broadcast(found).alias("f"), F.col("p.source").eqNullSafe(F.col("f.source")), "left").select("p.*", "threshold", "tied", "wanted")
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    digest = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")).cast("binary"))
+    return docs.withColumn("size", word_count()).withColumn("hash", F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long"))
+
+
+def _take(sized: DataFrame, plan: DataFrame, columns: list[str]) -> DataFrame:
+    out = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    part = F.floor(F.col("size").cast("decimal(19,0)") * F.col("wanted").cast("decimal(19,0)") / F.col("tied")).cast("long")
+    extra = F.when(F.col("hash") < F.col("threshold"), F.col("size")).when(F.col("hash") == F.col("threshold"), part).otherwise(0)
+    return out.select(*[F.col(f"d.`{c}`") for c in columns], "size", "p.source_size", "p.target", (F.col("size") * F.col("repeats") + extra).alias("taken"))
+
+
+def _plan(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    plan = plan_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    return maybe_broadcast(staged(find_thresholds(sized, plan), "mix-thresholds"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: how many words the mix takes of each row, repeats counted.
 
@@ -70,15 +87,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) ->
     that tie there (mostly one document, which is cut short), in proportion, rounded down. No row exceeds most passes.
     A null text is a document of size 0, a null source a source of its own; empty documents give no rows.
     """
-    digest = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")).cast("binary"))
-    sized = docs.select("doc_id", "source", word_count().alias("size"), F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("hash"))
-    sized = staged(sized, "mix-sizes")
-    plan = plan_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    plan = staged(find_thresholds(sized, plan), "mix-thresholds")
-    out = sized.alias("d").join(maybe_broadcast(plan).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    part = F.floor(F.col("size").cast("decimal(19,0)") * F.col("wanted").cast("decimal(19,0)") / F.col("tied")).cast("long")
-    extra = F.when(F.col("hash") < F.col("threshold"), F.col("size")).when(F.col("hash") == F.col("threshold"), part).otherwise(0)
-    return out.select("doc_id", "d.source", "size", "source_size", "target", (F.col("size") * F.col("repeats") + extra).alias("taken"))
+    sized = staged(_sized(docs.select("doc_id", "source", "text")).drop("text"), "mix-sizes")
+    return _take(sized, _plan(sized, weights, most), ["doc_id", "source"])
+
+
+def take_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """The rows of docs of which the mix takes words, with size, source_size, target and taken (columns of docs with these names give way)."""
+    columns = [c for c in docs.columns if c not in ("size", "hash", "source_size", "target", "taken")]
+    plan = _plan(staged(_sized(docs.select("doc_id", "source", "text")).drop("text"), "mix-sizes"), weights, most)
+    return _take(_sized(docs.select(*columns)), plan, columns).where("taken > 0")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

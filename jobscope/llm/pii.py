@@ -240,6 +240,26 @@ def find(docs: DataFrame, model: Model, masked: bool = True) -> DataFrame:
     return docs.select("doc_id", F.when(F.col("text").rlike(MAYBE), F.col("text")).alias("text")).mapInArrow(run, FOUND)
 
 
+def redact(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with each span replaced by its kind in brackets; other columns, and texts without spans, unchanged."""
+    bounded_batches(docs.sparkSession)
+
+    def masked(text: str | None) -> str | None:
+        spans = candidates(text) if text else []
+        if any(not x[3] for x in spans):
+            likely = model.probability(np.array([describe(text, *x) for x in spans]))
+            spans = [x for x, p in zip(spans, likely, strict=True) if x[3] or p >= THRESHOLD]
+        return mask(text, spans) if spans else text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index("text")
+            texts = pa.array([masked(x) for x in batch["text"].to_pylist()], batch.schema.field("text").type)
+            yield batch.set_column(place, batch.schema.field("text"), texts)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return find(docs, train(docs), masked=False).drop("masked")
