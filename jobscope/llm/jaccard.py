@@ -21,6 +21,8 @@ PERCENT = 80
 OFTEN, TOTAL, TABLE = 3, 12, 1_000_000
 #: Slices of a stretch.
 COUNTED = 8
+#: Signatures of so many nodes and more are compared in blocks of BLOCK_BYTES of text, the others pair by pair.
+DENSE, BLOCK_BYTES = 16, 2 << 20
 #: Rows of a lookup that are few enough to broadcast (two longs each).
 LOOKUP_ROWS = 1_000_000
 
@@ -204,42 +206,105 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([piece["a"], piece["b"]], names=["a", "b"]).filter(links)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of nodes (a, b) that link, by their whole texts. Only one document of each node in a pair is fetched."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    rows = sets.groupBy("node").agg(F.min("row_hash").alias("row_hash")).join(wanted, "node", "left_semi")
+def fetch(nodes: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, text: the text of one document of each of the nodes."""
+    rows = sets.groupBy("node").agg(F.min("row_hash").alias("row_hash")).join(nodes, "node", "left_semi")
     rows = maybe_broadcast(staged(rows, "wanted"), LOOKUP_ROWS)
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row_hash"), F.col("text").cast("binary").alias("text")).join(rows, "row_hash")
-    texts = staged(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    return staged(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of nodes (a, b) that link, by their whole texts."""
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     return staged(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long"), "links")
 
 
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between nodes of different components in two blocks of a family (or within one), as many as connect these components.
+
+    Features of two or more nodes are bits of a row, so that a row's common features with all others are counted at once.
+    """
+    nodes, block, component = (table[c].to_numpy() for c in ("node", "block", "component"))
+    s = Shingles(table["text"].to_pylist())
+    _, place, counts = np.unique(s.values, return_inverse=True, return_counts=True)
+    several = counts > 1
+    column = (np.cumsum(several) - 1)[place]
+    keep = several[place]
+    bits = np.zeros((len(nodes), int(several.sum()) // 64 + 1), dtype=np.uint64)
+    np.bitwise_or.at(bits, (s.row[keep], column[keep] >> 6), np.uint64(1) << (column[keep] & 63).astype(np.uint64))
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    across, out = block.min(initial=0) != block.max(initial=0), []
+    for k in range(len(nodes) - 1):
+        common = np.bitwise_count(bits[k + 1 :] & bits[k]).sum(axis=1, dtype=np.int64)
+        links = (100 * common >= PERCENT * (s.sizes[k] + s.sizes[k + 1 :] - common)) & (component[k + 1 :] != component[k])
+        if across:
+            links &= block[k + 1 :] != block[k]
+        for other in (np.flatnonzero(links) + k + 1).tolist():
+            x, y = find(int(component[k])), find(int(component[other]))
+            if x != y:
+                up[x] = y
+                out.append((int(nodes[k]), int(nodes[other])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def verify_dense(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across components within signatures of DENSE nodes and more.
+
+    Such signatures come from families of near copies. A family (nodes connected by dense signatures) is cut into blocks
+    of bounded size by a hash, and each two blocks meet in a task, so nothing is joined pair by pair.
+    """
+    dense = apart.withColumn("first", F.min("node").over(Window.partitionBy("signature"))).where(F.col("members") >= DENSE)
+    families = components(dense.select(F.col("first").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "family")
+    member = dense.select("node", "component").distinct().join(families, "node").join(texts, "node")
+    bytes_ = families.join(texts, "node").groupBy("family").agg((F.floor(F.sum(F.octet_length("text")) / BLOCK_BYTES) + 1).cast("int").alias("blocks"))
+    member = member.join(bytes_, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = member.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "component", "block", "text")
+    return staged(member.groupBy("family", "low", "high").applyInArrow(_block_links, "a long, b long"), "links")
+
+
+def _apart(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of signatures whose nodes are in several components, with component and the number of members."""
+    group = Window.partitionBy("signature")
+    placed = found.join(maybe_broadcast(staged(roots, "roots"), LOOKUP_ROWS), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = placed.withColumn("apart", F.min("component").over(group) < F.max("component").over(group)).withColumn("members", F.count("*").over(group))
+    return placed.where("apart").drop("apart")
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, row_hash, n_shingles, component_id and component (the least node of it), one row for each row of docs.
 
     Sets of 5-word shingles of the lower-cased (A-Z) text; fewer words are one shingle; documents without words are empty
     and link with nothing. Equal sets are one node from the start. Nodes that share a signature are candidates. First each
-    is compared with the least node of its signature; after that only pairs that the links found so far leave in different
-    components, so a large group of near copies costs one comparison for each member. component_id is the smallest doc_id
+    is compared with the least node of its signature; after that only what the links found so far leave in different
+    components: large groups of near copies in blocks, then the rest pair by pair. component_id is the smallest doc_id
     of the component; null only where no document of it has one. Nodes and signatures are 64-bit hashes.
     """
     sets, frequent = measure(docs)
     group = Window.partitionBy("signature")
     found = signatures(docs, frequent).withColumn("least", F.min("node").over(group)).withColumn("most", F.max("node").over(group))
     found = staged(found.where("least < most").select("signature", "node", "least").distinct(), "candidates")
-    stars = found.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = verify(staged(stars, "pairs"), docs, sets)
+    stars = staged(found.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    texts = fetch(found.select("node").distinct(), docs, sets)
+    links = verify(stars, texts)
+    apart = staged(_apart(found, components(links)).where("node > least"), "apart")
+    if not apart.where(F.col("members") >= DENSE).isEmpty():
+        links = links.union(verify_dense(apart, texts))
     roots = components(links)
-    # What is left: pairs across components within a signature, other than with its least node, which are settled.
-    placed = found.join(maybe_broadcast(roots, LOOKUP_ROWS), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = placed.withColumn("apart", F.min("component").over(group) < F.max("component").over(group))
-    placed = staged(placed.where("apart and node > least").select("signature", "node", "component"), "apart")
-    x, y = placed.alias("x"), placed.alias("y")
+    apart = staged(_apart(found, roots).where((F.col("members") < DENSE) & (F.col("node") > F.col("least"))), "apart")
+    x, y = apart.alias("x"), apart.alias("y")
     rest = x.join(y, (F.col("x.signature") == F.col("y.signature")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")))
     rest = staged(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "rest")
     if not rest.isEmpty():
-        roots = components(links.union(verify(rest, docs, sets)))
+        roots = components(links.union(verify(rest, texts)))
     roots = staged(roots, "roots")
     least = sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     least = least.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
