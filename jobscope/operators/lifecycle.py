@@ -43,8 +43,8 @@ def status_fold(events: DataFrame) -> DataFrame:
 
 def accept_new(facts: DataFrame, incoming: DataFrame) -> DataFrame:
     """Accepted rows to append: the first of each job that isn't in facts yet, as queued."""
-    first = Window.partitionBy("job_id").orderBy("seq")
-    new = incoming.where("kind = 'accepted'").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    row = F.struct("operation", "ts", "file_count", "input_bytes")
+    new = incoming.where("kind = 'accepted'").groupBy("job_id").agg(F.min_by(row, "seq").alias("row")).select("job_id", "row.*")
     new = new.join(facts.select("job_id"), "job_id", "left_anti")
     return new.select("job_id", "operation", F.col("ts").alias("accepted_at"), F.lit("queued").alias("status"), "file_count", "input_bytes", F.to_date("ts").alias("accepted_date"))
 

@@ -120,12 +120,10 @@ def errors(c: DataFrame) -> DataFrame:
 
 def timing(c: DataFrame, keys: list[str]) -> DataFrame:
     """keys, measure (queue or processing), count, average, p50 and p95 in seconds."""
-    out = None
-    for measure in ("queue", "processing"):
-        t = lower_rank(c, keys, f"{measure}_us", [0.5, 0.95])
-        t = t.select(*keys, F.lit(measure).alias("measure"), F.col("n").alias("count"), (F.col("total") / F.col("n") / 1e6).alias("average"), (F.col("p50") / 1e6).alias("p50"), (F.col("p95") / 1e6).alias("p95"))
-        out = t if out is None else out.unionByName(t)
-    return out
+    spans = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"{m}_us").alias("us")) for m in ("queue", "processing")])
+    flat = c.where("queue_us is not null or processing_us is not null").select(*keys, F.explode(spans).alias("s")).select(*keys, "s.measure", "s.us")
+    t = lower_rank(flat, [*keys, "measure"], "us", [0.5, 0.95])
+    return t.select(*keys, "measure", F.col("n").alias("count"), (F.col("total") / F.col("n") / 1e6).alias("average"), (F.col("p50") / 1e6).alias("p50"), (F.col("p95") / 1e6).alias("p95"))
 
 
 def document(jobs: DataFrame, rejections: DataFrame, frm: str, to: str, bucket: str) -> DataFrame:

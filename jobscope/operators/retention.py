@@ -57,9 +57,9 @@ def status(alive: DataFrame, expected: int = WORKERS, store_ok: bool = True, sca
 
 
 def latest(jobs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by order."""
-    by = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return jobs.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+    """The last row of each key by order; each task hands on one row a key."""
+    rest = F.struct(*[c for c in jobs.columns if c not in keys])
+    return jobs.groupBy(*keys).agg(F.max_by(rest, F.struct(*order)).alias("_row")).select(*keys, "_row.*")
 
 
 def first_files(files: DataFrame, n: int = 20) -> DataFrame:

@@ -84,6 +84,10 @@ def test_percentiles(spark):
     r = random.Random(2)
     values = [(r.randint(0, 30),) for _ in range(500)]
     p = percentile.lower_rank(spark.createDataFrame(values, "x long"), [], "x", [0.5, 0.95]).collect()[0]
+    levels = percentile.lower_rank(spark.createDataFrame([(v * 10**k, "g" if k else None) for k in (0, 12) for v, in values], "x long, g string"), ["g"], "x", [0.5, 0.95], window_rows=0)
+    assert {x.g: (x.p50, x.p95, x.n) for x in levels.collect()} == {None: (p.p50, p.p95, 500), "g": (p.p50 * 10**12, p.p95 * 10**12, 500)}
+    whole = percentile.lower_rank(spark.createDataFrame(values, "x long"), [], "x", [0.5], window_rows=0).collect()
+    assert [x.p50 for x in whole] == [p.p50]
     ordered = sorted(v for v, in values)
     assert (p.p50, p.p95) == (ordered[int(499 * 0.5)], ordered[int(499 * 0.95)])
     q = spark.createDataFrame(values, "x long").agg(percentile.lower_rank_95(F.col("x").cast("double")).alias("p"))
