@@ -30,10 +30,11 @@ def clean_stem(name: Column) -> Column:
 
 
 def sanitize(name: Column, extension: Column) -> Column:
-    """Each odd character of the base name as _, 150 characters at most, trimmed; file and its extension if nothing is left."""
-    base = _basename(F.coalesce(F.nullif(name, F.lit("")), F.concat(F.lit("file"), extension)))
-    safe = F.regexp_replace(F.substring(F.regexp_replace(base, r"[^\p{L}\p{N} ._()-]", "_"), 1, 150), r"^\s+|\s+$", "")
-    return F.coalesce(F.nullif(safe, F.lit("")), F.concat(F.lit("file"), extension))
+    """Each odd character of the base name as _, 150 characters at most; file and its extension if that is nothing; then trimmed."""
+    fallback = F.concat(F.lit("file"), extension)
+    base = _basename(F.coalesce(F.nullif(name, F.lit("")), fallback))
+    safe = F.substring(F.regexp_replace(base, r"[^\p{L}\p{N} ._()-]", "_"), 1, 150)
+    return F.regexp_replace(F.coalesce(F.nullif(safe, F.lit("")), fallback), r"^\s+|\s+$", "")
 
 
 def extension(name: Column) -> Column:
@@ -131,27 +132,50 @@ def options_valid(options: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
 
-def option_columns(options: Column) -> dict[str, Column]:
-    """Options with defaults and limits, as text or whole numbers. A value that isn't a number gives null and options_error."""
+def option_columns(options: Column, operation: Column) -> dict[str, Column]:
+    """Options with the defaults and limits of the operation, and options_error, the code that they end the job with.
+
+    A number that can't be read is an INTERNAL_ERROR, but for scale, which is checked before the job is queued.
+    """
     v = F.try_parse_json(options)
 
-    def text(key: str, default: str) -> Column:
-        return F.lower(F.coalesce(F.try_variant_get(v, f"$.{key}", "string"), F.lit(default)))
+    def text(key: str, default: Column) -> Column:
+        return F.lower(F.coalesce(F.try_variant_get(v, f"$.{key}", "string"), default))
 
     def number(key: str, default: int) -> Column:
         present = F.try_variant_get(v, f"$.{key}", "string").isNotNull()
         return F.when(present, F.try_variant_get(v, f"$.{key}", "bigint")).otherwise(F.lit(default).cast("long"))
 
-    quality = number("quality", 100)
+    def of(name: str) -> Column:
+        return operation == name
+
+    default = F.when(of("upscale"), "jpeg").when(of("remove-background") | of("pdf-to-images"), "png").otherwise(F.lit("webp"))
+    fmt, quality, scale, dpi, margin = text("format", default), number("quality", 100), number("scale", 2), number("dpi", 150), number("margin", 10)
+    width, height = number("maxWidth", 0), number("maxHeight", 0)
+    unsupported, invalid, internal = F.lit("UNSUPPORTED_FORMAT"), F.lit("INVALID_FILE"), F.lit("INTERNAL_ERROR")
+    error = (
+        F.when(of("image-convert") & ~fmt.isin("jpg", "jpeg", "png", "webp"), unsupported)
+        .when(of("image-convert") & (quality.isNull() | width.isNull() | height.isNull()), internal)
+        .when(of("upscale") & ~F.coalesce(scale.isin(2, 4), F.lit(False)), invalid)
+        .when(operation.isin("upscale", "pdf-to-images") & ~fmt.isin("jpg", "jpeg", "png", "webp"), unsupported)
+        .when(of("remove-background") & ~fmt.isin("png", "webp"), unsupported)
+        .when(of("images-to-pdf") & margin.isNull(), internal)
+        .when(of("pdf-to-images") & dpi.isNull(), internal)
+        .when(of("pdf-to-images") & ~dpi.isin(150, 300), invalid)
+        .when(operation.isin("upscale", "remove-background", "pdf-to-images") & quality.isNull(), internal)
+    )
     return {
-        "format": text("format", "webp"),
-        "quality": F.greatest(F.lit(1), F.least(F.lit(100), quality)),
-        "max_width": F.greatest(F.lit(0), number("maxWidth", 0)),
-        "scale": number("scale", 2),
-        "dpi": number("dpi", 150),
-        "margin": F.greatest(F.lit(0), F.least(F.lit(30), number("margin", 10))),
-        "mode": F.when(text("mode", "each") == "each", "each").otherwise("ranges"),
-        "options_error": F.when(quality.isNull() | number("maxWidth", 0).isNull(), "INTERNAL_ERROR").when(~text("format", "webp").isin("jpg", "jpeg", "png", "webp"), "UNSUPPORTED_FORMAT"),
+        "format": fmt,
+        "quality": F.when(of("image-convert") & quality.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(100), quality))).otherwise(quality),
+        "max_width": F.when(width.isNotNull(), F.greatest(F.lit(0), width)),
+        "max_height": F.when(height.isNotNull(), F.greatest(F.lit(0), height)),
+        "scale": scale,
+        "dpi": dpi,
+        "margin": F.when(margin.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(30), margin))),
+        "mode": F.when(text("mode", F.lit("each")) == "each", "each").otherwise("ranges"),
+        "page_size": text("pageSize", F.lit("a4")),
+        "orientation": text("orientation", F.lit("auto")),
+        "options_error": error,
     }
 
 

@@ -101,18 +101,27 @@ _OPTION = """case when event_id % 11 = 0 then '[1, 2]' when event_id % 11 = 1 th
   when event_id % 11 = 3 then '{"quality": "high", "margin": 90}' when event_id % 11 = 4 then '{"format": "gif", "dpi": 300, "mode": "ranges", "quality": 0}' when event_id % 11 = 5 then null else props end"""
 
 
-def option_values(spark: SparkSession, d: str) -> DataFrame:
-    e = a.table(spark, d, "events").select("event_id", F.expr(_OPTION.replace("::varchar", "::string")).alias("options"))
-    columns = scalars.option_columns(F.col("options"))
-    return e.select("event_id", scalars.options_valid(F.col("options")).alias("valid"), *[c.alias(n) for n, c in columns.items()])
+_OPTION_OPERATIONS = ["image-convert", "upscale", "remove-background", "images-to-pdf", "pdf-to-images"]
 
 
-OPTION_SQL = f"""with e as (select event_id, {_OPTION} o from events),
-p as (select event_id, o is not null and json_valid(o) and json_type(case when json_valid(o) then o end) = 'OBJECT' valid, case when json_valid(o) then o end j from e),
-v as (select *, coalesce(lower(j ->> '$.format'), 'webp') format, case when j ->> '$.quality' is null then 100 else try_cast(j ->> '$.quality' as bigint) end q from p)
-select event_id, coalesce(valid, false) valid, format, greatest(1, least(100, q))::bigint quality, 0::bigint max_width, coalesce((j ->> '$.scale')::bigint, 2) scale, coalesce((j ->> '$.dpi')::bigint, 150) dpi,
-  greatest(0, least(30, coalesce((j ->> '$.margin')::bigint, 10)))::bigint margin, case when coalesce(j ->> '$.mode', 'each') = 'each' then 'each' else 'ranges' end mode,
-  case when q is null then 'INTERNAL_ERROR' when format not in ('jpg', 'jpeg', 'png', 'webp') then 'UNSUPPORTED_FORMAT' end options_error
+def option_values(spark: SparkSession, d: str) -> DataFrame:
+    operation = F.element_at(F.array(*map(F.lit, _OPTION_OPERATIONS)), (F.col("event_id") % 5 + 1).cast("int"))
+    e = a.table(spark, d, "events").select("event_id", operation.alias("operation"), F.expr(_OPTION.replace("::varchar", "::string")).alias("options"))
+    columns = scalars.option_columns(F.col("options"), F.col("operation"))
+    return e.select("event_id", "operation", scalars.options_valid(F.col("options")).alias("valid"), *[c.alias(n) for n, c in columns.items()])
+
+
+OPTION_SQL = f"""with e as (select event_id, {_OPTION_OPERATIONS}[event_id % 5 + 1] operation, {_OPTION} o from events),
+p as (select event_id, operation, o is not null and json_valid(o) and json_type(case when json_valid(o) then o end) = 'OBJECT' valid, case when json_valid(o) then o end j from e),
+v as (
+  select *, lower(coalesce(j ->> '$.format', case operation when 'upscale' then 'jpeg' when 'remove-background' then 'png' when 'pdf-to-images' then 'png' else 'webp' end)) format,
+    case when j ->> '$.quality' is null then 100 else try_cast(j ->> '$.quality' as bigint) end q, coalesce((j ->> '$.scale')::bigint, 2) scale, coalesce((j ->> '$.dpi')::bigint, 150) dpi
+  from p)
+select event_id, operation, coalesce(valid, false) valid, format, (case when operation = 'image-convert' then case when q is not null then greatest(1, least(100, q)) end else q end)::bigint quality, 0::bigint max_width, 0::bigint max_height, scale, dpi,
+  greatest(0, least(30, coalesce((j ->> '$.margin')::bigint, 10)))::bigint margin, case when coalesce(j ->> '$.mode', 'each') = 'each' then 'each' else 'ranges' end as mode, 'a4' page_size, 'auto' orientation,
+  case when operation = 'image-convert' and format not in ('jpg', 'jpeg', 'png', 'webp') then 'UNSUPPORTED_FORMAT' when operation = 'image-convert' and q is null then 'INTERNAL_ERROR'
+    when operation = 'upscale' and scale not in (2, 4) then 'INVALID_FILE' when operation in ('upscale', 'pdf-to-images') and format not in ('jpg', 'jpeg', 'png', 'webp') then 'UNSUPPORTED_FORMAT' when operation = 'remove-background' and format not in ('png', 'webp') then 'UNSUPPORTED_FORMAT'
+    when operation = 'pdf-to-images' and dpi not in (150, 300) then 'INVALID_FILE' when operation in ('upscale', 'remove-background', 'pdf-to-images') and q is null then 'INTERNAL_ERROR' end options_error
 from v"""
 
 
@@ -123,7 +132,7 @@ def file_names(spark: SparkSession, d: str) -> DataFrame:
 
 FILE_NAME_SQL = r"""with b as (select page_id, regexp_extract(url, '([^/]*)/*$', 1) b from pages)
 select page_id, coalesce(nullif(substring(trim(regexp_replace(regexp_replace(b, '(.)\.[^.]+$', '\1'), '[^\p{L}\p{N}_.-]+', '_', 'g'), '._'), 1, 80), ''), 'result') stem,
-  coalesce(nullif(regexp_replace(substring(regexp_replace(b, '[^\p{L}\p{N} ._()-]', '_', 'g'), 1, 150), '^\s+|\s+$', '', 'g'), ''), 'file.pdf') safe
+  regexp_replace(coalesce(nullif(substring(regexp_replace(b, '[^\p{L}\p{N} ._()-]', '_', 'g'), 1, 150), ''), 'file.pdf'), '^\s+|\s+$', '', 'g') safe
 from b"""
 
 
@@ -187,7 +196,7 @@ def response_triage(spark: SparkSession, d: str) -> DataFrame:
     e = a.table(spark, d, "events")
     k = F.col("event_id") % 6
     status = F.when(k == 0, 500).otherwise(200)
-    body = F.when(k == 1, F.lit('  {"detail": "CUDA Out of Memory"}')).when(k == 2, F.lit('{"detail": "busy"}')).when(k == 3, F.concat(F.lit('{"image_base64": "'), F.base64(F.col("event_type").cast("binary")), F.lit('"}'))).when(k == 4, F.lit('{"image_base64": "aGk"}')).otherwise(F.lit("PNG"))
+    body = F.when(k == 1, F.lit('  {"detail": "CUDA Out of Memory"}')).when(k == 2, F.lit('{"detail": "busy"}')).when(k == 3, F.concat(F.lit('{"result_image": "'), F.base64(F.col("event_type").cast("binary")), F.lit('"}'))).when(k == 4, F.lit('{"result_image": "aGk"}')).otherwise(F.lit("PNG"))
     kind = F.when(k == 5, F.lit("application/JSON")).otherwise(F.lit("image/png"))
     return e.select("event_id", responses.triage(status, kind, body).alias("code"), F.decode(responses.base64_payload(body), "UTF-8").alias("payload"))
 

@@ -84,7 +84,7 @@ def test_images(spark, tmp_path):
     assert {x.ext: tuple(x.p) if x.p else None for x in got} == {".png": (320, 180), ".txt": None}
     g = one(spark, t=geometry.thumbnail(F.lit(320), F.lit(180), F.lit(120), F.lit(0)), u=validate.upscale_code(F.lit(1280), F.lit(720), F.lit(4)), big=validate.upscale_code(F.lit(12800), F.lit(7200), F.lit(4)), a=geometry.a4_layout(F.lit(320), F.lit(180), F.lit("auto"), F.lit(10)))
     assert g.t.width == 120 and g.u is None and g.big == "IMAGE_TOO_LARGE" and g.a.page_width == 1754
-    r = one(spark, oom=responses.triage(F.lit(200), F.lit("application/json"), F.lit('{"detail": "CUDA out of memory"}')), ok=responses.triage(F.lit(200), F.lit("image/png"), F.lit("\x89PNG")), b=responses.base64_payload(F.lit('{"image_base64": "aGk"}')), c=responses.base64_payload(F.lit('{"image_base64": "aGk="}')))
+    r = one(spark, oom=responses.triage(F.lit(200), F.lit("application/json"), F.lit('{"detail": "CUDA out of memory"}')), ok=responses.triage(F.lit(200), F.lit("image/png"), F.lit("\x89PNG")), b=responses.base64_payload(F.lit('{"result_image": "aGk"}')), c=responses.base64_payload(F.lit('{"result_image": "aGk="}')))
     assert r.oom == "IMAGE_TOO_LARGE" and r.ok is None and r.b is None and bytes(r.c) == b"hi"
 
 
