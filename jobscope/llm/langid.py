@@ -165,7 +165,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarr
 
 
 def label(model: Model, t: _Letters) -> tuple[np.ndarray, np.ndarray]:
-    """Label of each word, and the sums of the scores of each document.
+    """Label of each word, and the scores of each word.
 
     If no stretch of a document gains more than SWITCH by another language than the document's best, then no path beats
     the one that keeps to it, and the search is skipped.
@@ -189,7 +189,7 @@ def label(model: Model, t: _Letters) -> tuple[np.ndarray, np.ndarray]:
         found = viterbi(scores, t.first[:-1][chosen], t.first[1:][chosen])
         at = mixed[doc]
         labels[at] = found[at]
-    return labels, totals
+    return labels, scores
 
 
 def _predict(model: Model, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
@@ -200,12 +200,15 @@ def _predict(model: Model, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
     if not model.langs:
         labels, lang, score = np.zeros(len(doc), dtype=np.int16), np.zeros(n_docs, dtype=int), np.zeros(n_docs)
     else:
-        labels, totals = label(model, t)
+        labels, scores = label(model, t)
         votes = np.bincount(doc * len(model.langs) + labels, minlength=n_docs * len(model.langs)).reshape(n_docs, -1)
-        lang = (votes + 1e-9 * totals).argmax(axis=1)
+        lang = votes.argmax(axis=1)
+        # How much better the language explains its own words than the next one does.
+        sums = np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(scores * (labels == lang[doc])[:, None], axis=0, dtype=np.float64)])
+        totals = sums[t.first[1:]] - sums[t.first[:-1]]
         others = totals.copy()
         others[np.arange(n_docs), lang] = -np.inf
-        margin = np.maximum(0, totals.max(axis=1) - others.max(axis=1)) if len(model.langs) > 1 else words.astype(float)
+        margin = np.maximum(0, totals[np.arange(n_docs), lang] - others.max(axis=1)) if len(model.langs) > 1 else words.astype(float)
         score = votes[np.arange(n_docs), lang] / np.maximum(words, 1) * -np.expm1(-margin)
     lang = np.where(t.has_letter & (words > 0), lang, len(langs) - 1)
     score = np.where(lang == len(langs) - 1, 0.0, score)
@@ -227,8 +230,8 @@ def _predict(model: Model, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, spans (start, end, lang; code points of the text), one row for each row of docs.
 
-    lang_pred is the label of most words; score is the share of these words times the certainty of the best language over
-    the next. A null text, or one without a letter, is und with score 0 and no spans. Only the text is looked at.
+    lang_pred is the label of most words; score is their share times the certainty that they are of this language and not
+    of the next best, so a text of two clear languages has a score of about a half. A null text, or one without a letter, is und with score 0 and no spans. Only the text is looked at.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see train()
