@@ -130,12 +130,88 @@ def template_windows(rows: DataFrame, identifier: str, only: tuple[np.ndarray, t
     return rows.select(F.col(identifier).alias("id"), F.xxhash64(identifier, "text").alias("row_hash"), text.cast("binary").alias("text")).mapInArrow(run, FOUND)
 
 
+def judge(length: int, need: int, at: np.ndarray, item: np.ndarray, doc: np.ndarray) -> tuple[int, bool] | None:
+    """Tokens of the longest part of a run that is a leak, and whether its placeholders are as in the item; None without such a part.
+
+    at, item, doc: the places of the run's placeholders, ascending, and their values. A part has need tokens or more. Either
+    all its values are as in the item; or PLAIN of its tokens are ordinary words, and each value goes with one value of the
+    item throughout the part, and the other way round. If that doesn't hold for the whole run, then a part has to show of
+    itself that its values go together: by a value as in the item, or by two placeholders.
+    """
+    filled, same = (np.zeros(length + 1, dtype=np.int64) for _ in range(2))
+    filled[at + 1] = 1
+    same[at[item == doc] + 1] = 1
+    filled, same = np.cumsum(filled), np.cumsum(same)
+    # The longest consistent parts: there, and back, are the last places where a value went with the one it has.
+    parts, begin = [], 0
+    there: dict[int, tuple[int, int]] = {}
+    back: dict[int, tuple[int, int]] = {}
+    cut: dict[tuple[int, int], tuple[int, int]] = {}
+    for place, i, d in zip(at.tolist(), item.tolist(), doc.tolist(), strict=True):
+        # The last placeholder before this one that has one of its two values and another partner.
+        against = max(_other(there, cut, 0, i, d), _other(back, cut, 1, d, i)) + 1
+        if against > begin:
+            parts.append((begin, place))
+            begin = against
+        for seen, side, key, value in ((there, 0, i, d), (back, 1, d, i)):
+            if key in seen and seen[key][0] != value:
+                cut[side, key] = seen[key]
+            seen[key] = (value, place)
+    parts.append((begin, length))
+    whole = len(parts) == 1
+    found = []
+    changed = at[item != doc]
+    for a, b in zip([0, *(changed + 1)], [*changed, length], strict=True):
+        if b - a >= need and (whole or same[b] > same[a]):
+            found.append((int(b - a), True))
+    gain = (1 - PLAIN) * np.arange(length + 1) - filled
+    for a, b in parts:
+        if b - a >= need:
+            # For each end the first start from which PLAIN of the tokens are ordinary words.
+            least = np.minimum.accumulate(gain[a : b + 1])
+            ends = np.arange(a, b + 1)
+            starts = a + np.searchsorted(-least, -gain[a : b + 1])
+            good = (ends - starts >= need) & (whole | (same[ends] > same[starts]) | (filled[ends] - filled[starts] > 1))
+            if good.any():
+                k = np.argmax(np.where(good, ends - starts, 0))
+                inside = filled[ends[k]] - filled[starts[k]]
+                found.append((int(ends[k] - starts[k]), bool(same[ends[k]] - same[starts[k]] == inside)))
+    return max(found, default=None)
+
+
+def _other(seen: dict, cut: dict, side: int, key: int, value: int) -> int:
+    """Last place where key went with another value, -1 if it never did."""
+    if key not in seen:
+        return -1
+    return seen[key][1] if seen[key][0] != value else cut.get((side, key), (0, -1))[1]
+
+
+JUDGED = "doc_id long, row_hash long, item_id long, n_tokens long, matched long, exact boolean"
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept, matched, exact = [], [], []
+        pairs = batch["pairs"]
+        at, item, doc = (pairs.flatten().field(k).to_numpy() for k in range(3))
+        edges = np.cumsum([0, *pc.list_value_length(pairs).to_pylist()])
+        columns = (batch[x].to_numpy() for x in ("start", "length", "need"))
+        for k, (start, length, need) in enumerate(zip(*columns, strict=True)):
+            of = slice(edges[k], edges[k + 1])
+            if best := judge(int(length), int(need), at[of] - start, item[of], doc[of]):
+                kept.append(k)
+                matched.append(best[0])
+                exact.append(best[1])
+        rows = batch.select(["doc_id", "row_hash", "item_id", "n_tokens"]).take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(matched, pa.int64()), pa.array(exact, pa.bool_())], names=[x.split()[0] for x in JUDGED.split(", ")])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, row_hash, item_id, item_tokens, matched (tokens of the longest run), exact (slots as in the item too).
 
     One row for each document row and item that it leaks: a run of consecutive windows of the item stands in the document
-    in the same order, of at least RUN tokens or all but one of the item's (its first word may read as a name there), PLAIN of them ordinary words, and each placeholder's
-    value goes with one value of the item throughout the run, and the other way round. Null and empty texts leak nothing.
+    in the same order, and a part of it that judge() accepts has at least RUN tokens or all but one of the item's (its first
+    word may read as a name there). Null and empty texts leak nothing.
     """
     items = staged(template_windows(benchmark, "item_id").distinct(), "items")
     sizes = tuple(sorted(r["size"] for r in items.select("size").distinct().collect()))
@@ -156,13 +232,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     line = ["row_hash", "doc_id", "item_id", "item_hash", "n_tokens", "size", "shift"]
     # Windows of one run have the same distance between their place and their rank along the shift.
     joined = joined.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy(*line).orderBy("place")))
-    runs = joined.groupBy(*line, "run").agg((F.count("*") + F.col("size") - 1).alias("matched"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    maps = F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["item"], x["doc"]))))
-    consistent = (maps == F.size(F.array_distinct("pairs.item"))) & (maps == F.size(F.array_distinct("pairs.doc")))
-    plain = F.col("matched") - F.size("pairs") >= PLAIN * F.col("matched")
+    runs = joined.groupBy(*line, "run").agg(F.min("place").alias("start"), (F.count("*") + F.col("size") - 1).alias("length"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("pairs"))
     need = F.least(F.lit(RUN), F.greatest(F.col("n_tokens") - 1, F.col("size")))
-    leaks = runs.where((F.col("matched") >= need) & consistent & plain)
-    best = F.max(F.struct("matched", (~F.exists("pairs", lambda x: x["item"] != x["doc"])).alias("exact"))).alias("best")
+    runs = runs.select("doc_id", "row_hash", "item_id", "n_tokens", "start", "length", need.alias("need"), "pairs").where("length >= need")
+    leaks = runs.mapInArrow(_judged, JUDGED)
+    best = F.max(F.struct("matched", "exact")).alias("best")
     out = leaks.groupBy("row_hash", "doc_id", "item_id").agg(best, F.max("n_tokens").alias("item_tokens"))
     return out.select("doc_id", "row_hash", "item_id", "item_tokens", "best.matched", "best.exact")
 

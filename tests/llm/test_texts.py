@@ -252,6 +252,44 @@ def test_slots_have_to_be_consistent(spark):
     assert [x.doc_id for x in got] == [1]
 
 
+def test_parts_of_runs_are_leaks(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu".split()
+    kept = f"take 2 {' '.join(words)} then 2 more of omega"
+    sums = "What is 12 + 45 + 33 + 18 + 27 + 64 + 91 + 5 ?"
+    others = " ".join(x[::-1] for x in words)
+    pair = f"first 7 and 7 {others} and 3 of rho"
+    bench = spark.createDataFrame([(1, sums), (2, kept), (3, pair)], "item_id long, text string")
+    docs = [
+        (1, "see: " + sums, "en", "a"), (2, sums.replace("45", "46"), "en", "a"), (3, kept.replace("then 2", "then 3"), "en", "a"),
+        (4, f"first 8 and 8 {others} and 8 of rho", "en", "a"), (5, pair.replace("7", "4"), "en", "a"),
+    ]
+    got = {(x.doc_id, x.item_id): (x.matched, x.exact) for x in decontaminate.find_leaks(frame(spark, docs), bench).collect()}
+    assert got == {(1, 1): (10, True), (3, 2): (16, True), (4, 3): (18, False), (5, 3): (21, False)}
+
+
+def test_judging_runs_against_all_parts():
+    r = np.random.default_rng(3)
+    for _ in range(400):
+        n, need = int(r.integers(3, 16)), int(r.integers(2, 6))
+        at = np.flatnonzero(r.random(n) < r.random())
+        item, doc = r.integers(0, 3, len(at)), r.integers(0, 3, len(at))
+
+        def accepted(a, b, plain=True):
+            inside = [(i, d) for p, i, d in zip(at, item, doc, strict=True) if a <= p < b]
+            pairs = set(inside)
+            consistent = len(pairs) == len({i for i, _ in pairs}) == len({d for _, d in pairs})
+            exact = all(i == d for i, d in inside)
+            return consistent and (exact or not plain or 2 * len(inside) <= b - a), exact, len(inside), any(i == d for i, d in inside)
+
+        whole = accepted(0, n, plain=False)[0]
+        best = None
+        for a, b in itertools.combinations(range(n + 1), 2):
+            ok, exact, slots, same = accepted(a, b)
+            if b - a >= need and ok and (whole or same or slots > 1):
+                best = max(best or (0, False), (b - a, exact))
+        assert decontaminate.judge(n, need, at, item, doc) == best
+
+
 def test_leaks_against_plain_search(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     plain = lambda t: " ".join(re.sub(r"[^\w]+", " ", t or "").lower().split())
