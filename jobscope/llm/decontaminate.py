@@ -38,9 +38,10 @@ _NUMBER, _NAME, _UNIT = (mix64(np.array([k], dtype=np.uint64))[0] for k in (101,
 class Tokens:
     """Canonical tokens of several texts: hash as written (lower case), hash with placeholders, first token of each text.
 
-    Words lose ASCII punctuation at both ends; what is only punctuation is no token. A number is a word with digits and no
-    letters; a unit is in UNITS; a name starts with a capital (A-Z and the Latin-1 ones), goes on without one, and doesn't
-    start a sentence.
+    Words are cut between digits and letters (5kg, 12-year), and lose ASCII punctuation at both ends; what is only punctuation
+    is no token. A number is a word with digits; a unit is in UNITS; a name starts with a capital (A-Z and the Latin-1 ones),
+    goes on without one, and doesn't start a sentence. As what reads as a name depends on case, windows with names are also
+    made with these as written.
     """
 
     def __init__(self, texts: list[bytes]) -> None:
@@ -50,11 +51,25 @@ class Tokens:
         places = np.arange(n)
         after = np.minimum.accumulate(np.where(alnum, places, n)[::-1])[::-1] if n else places
         before = np.maximum.accumulate(np.where(alnum, places, -1))
-        starts, ends = after[w.starts], before[w.ends - 1] + 1
-        good = starts < w.ends
+        # A piece of a word starts with it, and where a digit follows a letter or the other way round (punctuation between them or not).
+        marks = np.flatnonzero(alnum)
+        changes = marks[1:][_DIGIT[buffer[marks[1:]]] != _DIGIT[buffer[marks[:-1]]]]
+        word = np.searchsorted(w.starts, changes, side="right") - 1
+        inner = changes > after[w.starts[word]]
+        changes, word = changes[inner], word[inner]
+        begins = np.concatenate([w.starts, changes])
+        order = np.argsort(begins, kind="stable")
+        word = np.concatenate([np.arange(len(w.starts)), word])[order]
+        begins = begins[order]
+        heads = np.diff(word, prepend=-1) != 0
+        stops = np.append(begins, n)[1:]
+        stops[np.append(heads, True)[1:]] = w.ends
+        starts, ends = after[begins], before[stops - 1] + 1
+        good = starts < stops
         fresh = np.ones(len(w.starts), dtype=bool)
         fresh[1:] = _STOP[buffer[w.ends[:-1] - 1]] | (buffer[w.ends[:-1]] == 10)
-        row = np.repeat(np.arange(len(texts)), w.counts())
+        fresh = fresh[word] & heads
+        row = np.repeat(np.arange(len(texts)), w.counts())[word]
         starts, ends, fresh, row = starts[good], ends[good], fresh[good], row[good]
         self.first = np.searchsorted(row, np.arange(len(texts) + 1))
         # Latin-1 capitals are the bytes 80 to 9E after C3, and 32 below their small letters as well.
@@ -68,21 +83,26 @@ class Tokens:
         name = upper[starts] & ~fresh & (second < ends) & ~upper[np.minimum(second, n - 1)]
         unit = np.isin(self.raw, _unit_hashes())
         self.slot = number | unit | name
-        self.canonical = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, self.raw)))
-
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, place in the row's tokens, and hash, of each window of size tokens."""
-        row = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        hashes = grams(self.canonical, size)
-        at = np.arange(len(hashes))
-        inside = at + size <= self.first[row[: len(at)] + 1]
-        at, row = at[inside], row[: len(at)][inside]
-        return row, at - self.first[row], mix64(hashes[inside] + np.uint64(size))
-
-    def slots(self, row: np.ndarray, place: np.ndarray, size: int) -> pa.Array:
-        """For each window the places (within it) and hashes as written of its placeholders."""
+        self.name = name & ~number & ~unit
+        self.as_written = np.where(number, _NUMBER, np.where(unit, _UNIT, self.raw))
+        self.canonical = np.where(self.name, _NAME, self.as_written)
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place in the row's tokens, hash, and whether names are as written, of each window of size tokens."""
+        rows = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        at = np.arange(max(0, len(rows) - size + 1))
+        inside = at + size <= self.first[rows[: len(at)] + 1]
+        names = np.concatenate([[0], np.cumsum(self.name)])
+        named = inside & (names[at + size] > names[at])
+        hashes = np.concatenate([grams(self.canonical, size)[inside], grams(self.as_written, size)[named]])
+        written = np.arange(len(hashes)) >= inside.sum()
+        at = np.concatenate([at[inside], at[named]])
+        return rows[at], at - self.first[rows[at]], mix64(hashes + np.uint64(size)), written
+
+    def slots(self, row: np.ndarray, place: np.ndarray, size: int, written: np.ndarray) -> pa.Array:
+        """For each window the places (within it) and hashes as written of its placeholders; where written holds, without names."""
         at = (place + self.first[row])[:, None] + np.arange(size)
-        found = self.slot[at] if len(at) else np.zeros((0, size), dtype=bool)
+        found = self.slot[at] & ~(self.name[at] & written[:, None]) if len(at) else np.zeros((0, size), dtype=bool)
         values = pa.StructArray.from_arrays([pa.array(np.nonzero(found)[1].astype(np.int32)), pa.array(self.raw[at][found].view(np.int64) if len(at) else np.zeros(0, dtype=np.int64))], names=["k", "word"])
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(found.sum(axis=1))]).astype(np.int32)), values)
 
@@ -101,7 +121,7 @@ FOUND = "id long, row_hash long, n_tokens long, size int, place long, hash long,
 
 
 def template_windows(rows: DataFrame, identifier: str, only: tuple[np.ndarray, tuple[int, ...]] | None = None) -> DataFrame:
-    """Windows of the canonical tokens of each row. only: sorted hashes to keep and the sizes of windows to look for; without it, each row's own size (its tokens, at most WINDOW)."""
+    """Windows of the canonical tokens of each row. only: sorted hashes to keep and the sizes of windows to look for; without it, each row's own size (all tokens but one, or both of two; at most WINDOW)."""
     bounded_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(only)
 
@@ -113,17 +133,18 @@ def template_windows(rows: DataFrame, identifier: str, only: tuple[np.ndarray, t
                 t = Tokens([x or b"" for x in piece["text"].to_pylist()])
                 counts = np.diff(t.first)
                 for size in only[1] if only else range(1, WINDOW + 1):
-                    row, place, hashes = t.windows(size)
+                    row, place, hashes, written = t.windows(size)
                     if only:
                         at = np.minimum(np.searchsorted(only[0], hashes), len(only[0]) - 1)
                         keep = only[0][at] == hashes
                     else:
-                        keep = np.minimum(counts, WINDOW)[row] == size
-                    row, place, hashes = row[keep], place[keep], hashes[keep]
+                        keep = np.minimum(np.where(counts > 2, counts - 1, counts), WINDOW)[row] == size
+                        written[:] = False  # a name as written goes with itself, see find_leaks
+                    row, place, hashes, written = row[keep], place[keep], hashes[keep], written[keep]
                     if len(row):
                         yield pa.RecordBatch.from_arrays([
                             piece["id"].take(pa.array(row)), piece["row_hash"].take(pa.array(row)), pa.array(counts[row]), pa.array(np.full(len(row), size, dtype=np.int32)),
-                            pa.array(place), pa.array(hashes.view(np.int64)), t.slots(row, place, size),
+                            pa.array(place), pa.array(hashes.view(np.int64)), t.slots(row, place, size, written),
                         ], names=[x.split()[0] for x in FOUND.split(", ")][:7])
 
     text = F.col("text")
@@ -211,7 +232,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     One row for each document row and item that it leaks: a run of consecutive windows of the item stands in the document
     in the same order, and a part of it that judge() accepts has at least RUN tokens or all but one of the item's (its first
-    word may read as a name there). Null and empty texts leak nothing.
+    word may read as a name there; both of two). Null and empty texts leak nothing.
     """
     items = staged(template_windows(benchmark, "item_id").distinct(), "items")
     sizes = tuple(sorted(r["size"] for r in items.select("size").distinct().collect()))
@@ -227,12 +248,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     i = items.select(F.col("id").alias("item_id"), F.col("row_hash").alias("item_hash"), "n_tokens", "size", "hash", "place", "slots")
     joined = d.distinct().join(maybe_broadcast(i, ITEM_ROWS), ["size", "hash"])
     key = ["doc_id", "row_hash", "item_id", "item_hash", "n_tokens", "size", (F.col("at") - F.col("place")).alias("shift")]
-    pairs = F.transform("slots", lambda x, k: F.struct((x["k"] + F.col("place")).alias("at"), x["word"].alias("item"), F.element_at("doc_slots", k + 1)["word"].alias("doc")))
+    # What is a placeholder in the item only stands in the document as written.
+    doc = lambda x: F.coalesce(F.try_element_at(F.filter("doc_slots", lambda y: y["k"] == x["k"]), F.lit(1))["word"], x["word"])
+    pairs = F.transform("slots", lambda x: F.struct((x["k"] + F.col("place")).alias("at"), x["word"].alias("item"), doc(x).alias("doc")))
     joined = joined.select(*key, "place", pairs.alias("pairs"))
     line = ["row_hash", "doc_id", "item_id", "item_hash", "n_tokens", "size", "shift"]
     # Windows of one run have the same distance between their place and their rank along the shift.
-    joined = joined.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy(*line).orderBy("place")))
-    runs = joined.groupBy(*line, "run").agg(F.min("place").alias("start"), (F.count("*") + F.col("size") - 1).alias("length"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("pairs"))
+    joined = joined.withColumn("run", F.col("place") - F.dense_rank().over(Window.partitionBy(*line).orderBy("place")))
+    runs = joined.groupBy(*line, "run").agg(F.min("place").alias("start"), (F.max("place") - F.min("place") + F.col("size")).alias("length"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("pairs"))
     need = F.least(F.lit(RUN), F.greatest(F.col("n_tokens") - 1, F.col("size")))
     runs = runs.select("doc_id", "row_hash", "item_id", "n_tokens", "start", "length", need.alias("need"), "pairs").where("length >= need")
     leaks = runs.mapInArrow(_judged, JUDGED)

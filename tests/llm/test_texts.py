@@ -290,6 +290,19 @@ def test_judging_runs_against_all_parts():
         assert decontaminate.judge(n, need, at, item, doc) == best
 
 
+def test_leaks_whatever_the_form_of_tokens(spark):
+    cart = "a cart of 5kg goes 30km from 10am on and then comes back with the other half of it"
+    names = "Then Ann saw Bob near Carl and Dora told Emil that Fay and Gus met Hal at Ida or Jon by Kim"
+    capital = "What is the capital of France"
+    bench = spark.createDataFrame([(1, cart), (2, names), (3, capital)], "item_id long, text string")
+    docs = [
+        (1, "x " + cart.replace("5kg", "7 kg").replace("30km", "40km").replace("10am", "11-am"), "en", "a"), (2, "so: " + names.lower(), "en", "a"), (3, names.upper(), "en", "a"),
+        (4, "(a) What is the capital of France", "en", "a"), (5, "(a) What is the capital of Spain", "en", "a"), (6, "it is the capital of a bank", "en", "a"),
+    ]
+    got = {(x.doc_id, x.item_id): x.exact for x in decontaminate.find_leaks(frame(spark, docs), bench).collect()}
+    assert got == {(1, 1): False, (2, 2): True, (3, 2): True, (4, 3): True, (5, 3): False}
+
+
 def test_leaks_against_plain_search(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     plain = lambda t: " ".join(re.sub(r"[^\w]+", " ", t or "").lower().split())
