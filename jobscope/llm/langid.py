@@ -209,7 +209,9 @@ def _predict(model: Model, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
         others = totals.copy()
         others[np.arange(n_docs), lang] = -np.inf
         margin = np.maximum(0, totals[np.arange(n_docs), lang] - others.max(axis=1)) if len(model.langs) > 1 else words.astype(float)
-        score = votes[np.arange(n_docs), lang] / np.maximum(words, 1) * -np.expm1(-margin)
+        # Words of a script that no language has are of none of them, whatever their label.
+        own = (labels == lang[doc]) & model.allowed.any(axis=1)[t.script]
+        score = np.bincount(doc[own], minlength=n_docs) / np.maximum(words, 1) * -np.expm1(-margin)
     lang = np.where(t.has_letter & (words > 0), lang, len(langs) - 1)
     score = np.where(lang == len(langs) - 1, 0.0, score)
     cut = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(labels, prepend=-1) != 0))
@@ -231,7 +233,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, spans (start, end, lang; code points of the text), one row for each row of docs.
 
     lang_pred is the label of most words; score is their share times the certainty that they are of this language and not
-    of the next best, so a text of two clear languages has a score of about a half. A null text, or one without a letter, is und with score 0 and no spans. Only the text is looked at.
+    of the next best, so a text of two clear languages has a score of about a half. Words whose script no language has count
+    as words but not in the share, so a text of such words only has a score of 0. A null text, or one without a letter, is und with score 0 and no spans. Only the text is looked at.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see train()

@@ -219,6 +219,16 @@ def test_language_held_out_accuracy(spark):
     assert sum(x.lang == x.lang_pred for x in out) >= 0.97 * len(out)
 
 
+def test_unknown_scripts_count_against_the_score(spark):
+    train = [(k, "the river and the stone house of water" if k % 2 else "le fleuve et la maison de pierre", "en" if k % 2 else "fr", "a") for k in range(40)]
+    model = langid.train(frame(spark, train))
+    rows = [(1, "Вот дом у реки и большой камень в воде " * 5, "x", "a"), (2, "το σπίτι και το νερό του ποταμού " * 5, "x", "a"), (3, "我们 的 房子 在 河边 " * 5, "x", "a"), (4, "the river and the stone house вот дом", "x", "a"), (5, "the river and the stone house", "x", "a")]
+    got = {x.doc_id: x for x in langid.identify(frame(spark, rows), model).collect()}
+    assert [got[k].score for k in (1, 2, 3)] == [0, 0, 0] and {got[k].lang_pred for k in (1, 2, 3)} <= {"en", "fr"}
+    assert 0.5 < got[4].score <= 0.75 < got[5].score
+    assert {x.doc_id for x in langid.keep_identified(frame(spark, rows), model, 0.2).collect()} == {4, 5}
+
+
 def test_odd_texts_of_every_script(spark):
     rows = [(1, "Привет мир", "ru", "a"), (2, "日本語のテキスト", "ja", "a"), (3, "İstanbul ǅ ﬁ ́", "tr", "a"), (4, "a" * 300_000, "en", "a"), (5, "x " * 100_000, "en", "a")]
     model = langid.train(frame(spark, rows))
