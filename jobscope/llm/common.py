@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast only after its rows were counted and are no more than this.
-BROADCAST_ROWS = 20_000
+#: A side of a join is broadcast only after it was measured and has no more rows and bytes than these.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 #: A word is a run of anything but these bytes; same set as bytes.split().
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,11 +24,14 @@ SLICE_BYTES = 2 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The shared folder for cut lineage: spark.checkpoint.dir. Where it is unset a local master gets a folder of its own; a cluster has to name one."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="jobscope-"))
-        folder = spark.sparkContext.getCheckpointDir()
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="jobscope-"))
+        folder = context.getCheckpointDir()
     return folder
 
 
@@ -45,14 +51,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast if counting shows that it is small; otherwise the join shuffles. df should be cheap to count (staged)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(column: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, T.StringType | T.BinaryType | T.ArrayType | T.StructType):
+            return F.coalesce(F.aggregate(column, F.lit(0).cast("long"), lambda n, x: n + _bytes(x, inner)), F.lit(0)) + 16
+        return F.greatest(F.size(column), F.lit(0)) * 8 + 16
+    if isinstance(kind, T.StructType):
+        return reduce(lambda x, y: x + y, (_bytes(column[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    return F.lit(8)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keeps Arrow batches of long texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most rows rows and, in memory, about size bytes. df should be cheap to read (staged)."""
+    each = reduce(lambda x, y: x + y, (_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(each.cast("long")), F.lit(0))).first()
+    return n <= rows and total <= size
+
+
+def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks df for broadcast if measuring shows that it is small; otherwise the join shuffles."""
+    return F.broadcast(df) if is_small(df, rows, size) else df
 
 
 def word_count(text: str = "text"):

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import Words, bounded_batches, grams, maybe_broadcast, mix64, range_hashes, slices, staged
+from jobscope.llm.common import Words, grams, maybe_broadcast, mix64, range_hashes, slices, staged
 from jobscope.llm.common import _BYTE as BYTE_HASHES
 
 #: Tokens of a window; a run of windows is a leak from RUN tokens on, or all but one of a shorter item's.
@@ -122,7 +122,6 @@ FOUND = "id long, row_hash long, n_tokens long, size int, place long, hash long,
 
 def template_windows(rows: DataFrame, identifier: str, only: tuple[np.ndarray, tuple[int, ...]] | None = None) -> DataFrame:
     """Windows of the canonical tokens of each row. only: sorted hashes to keep and the sizes of windows to look for; without it, each row's own size (all tokens but one, or both of two; at most WINDOW)."""
-    bounded_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

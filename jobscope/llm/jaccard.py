@@ -1,8 +1,9 @@
-"""N-gram Jaccard join with PartEnum signatures: sets that are similar enough agree on all of some part of the feature domain."""
+"""N-gram Jaccard join with PartEnum signatures: the feature domain is partitioned twice, and subsets of the second parts enumerated."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -10,21 +11,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import Words, bounded_batches, grams, maybe_broadcast, mix64, slices, staged
+from jobscope.llm.common import Words, grams, maybe_broadcast, mix64, slices, staged
 from jobscope.llm.components import components
 
 SHINGLE = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: A feature that stands in OFTEN documents of a stretch is counted there; counts of TOTAL and more make it frequent, the
-#: TABLE most frequent ones being set apart. Any such choice gives the same links; it only keeps candidates few.
+#: Second-level parts of each first-level part, and how many of them may differ: signatures are of SPLIT - APART of them.
+SPLIT, APART = 3, 1
+#: A feature that stands in OFTEN documents of a stretch is counted there; counts of TOTAL and more make it frequent, TABLE
+#: features at most being set apart. Any such choice gives the same links; it only keeps candidates few.
 OFTEN, TOTAL, TABLE = 3, 12, 1_000_000
-#: Slices of a stretch.
-COUNTED = 8
-#: Signatures of so many nodes and more are compared in blocks of BLOCK_BYTES of text, the others pair by pair.
-DENSE, BLOCK_BYTES = 16, 2 << 20
-#: Rows of a lookup that are few enough to broadcast (two longs each).
-LOOKUP_ROWS = 1_000_000
+#: Slices of a stretch of documents, and signatures of a stretch of these.
+COUNTED, SETTLED = 8, 2_000_000
+#: Groups of candidates are compared in blocks of so much text and so many nodes; features of so many nodes of a block are bits there.
+BLOCK_BYTES, BLOCK_NODES, BIT = 2 << 20, 4096, 64
 
 
 def bands(largest: int) -> np.ndarray:
@@ -36,14 +37,15 @@ def bands(largest: int) -> np.ndarray:
     return np.array(tops)
 
 
-def parts(top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sets of at most top features: how many features two that link can differ by, and the number of parts.
+def parts(top: np.ndarray) -> np.ndarray:
+    """The number of first-level parts for sets of at most top features.
 
-    intersection >= PERCENT / (100 + PERCENT) * (sum of sizes), so the difference is at most (100 - PERCENT) / (100 + PERCENT)
-    of that sum. Of more parts than that with features in them, at least one is the same in both sets.
+    intersection >= PERCENT / (100 + PERCENT) * (sum of sizes), so two sets that link differ by at most (100 - PERCENT) / (100 + PERCENT)
+    of that sum. Of all parts at most a (APART + 1)-th as many differ by more than APART features; some more parts than
+    that make up for those in which a set has too few features.
     """
-    differ = 2 * top * (100 - PERCENT) // (100 + PERCENT)
-    return differ, differ + 5 + differ // 6
+    bad = 2 * top * (100 - PERCENT) // (100 + PERCENT) // (APART + 1)
+    return bad + 2 + (bad + 1) // 4
 
 
 class Shingles:
@@ -71,8 +73,8 @@ class Shingles:
     def signatures(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Signatures, and the row of each. Each set takes part in its own band and the next.
 
-        Leaving out the same features everywhere can only lessen a difference, so frequent ones are left out at first. If
-        no more parts have features than may differ, the set goes on to the next way: each feature is a part of its own;
+        Leaving out the same features everywhere can only lessen a difference, so frequent ones are left out at first. If a
+        set has too few full parts then, it goes on to the next way: the finest partition, each feature a part of its own;
         then all features in parts; then all features, each a part of its own, of which there are always enough.
         Two sets that link and share no signature of one way both go on to the next.
         """
@@ -83,34 +85,58 @@ class Shingles:
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for step in (0, 1):
             band = own + step
-            differ, n = parts(tops[band])
-            live = (self.sizes > 0) & (differ > 0)  # where nothing may differ, equal sets are one already
+            largest = self.sizes * 100 // PERCENT  # that a set can link with
+            live = (self.sizes > 0) & ((step == 0) | (largest > tops[own]))
+            differ = (self.sizes + np.minimum(tops[band], largest)) * (100 - PERCENT) // (100 + PERCENT)
+            live &= differ > 0  # where nothing may differ, equal sets are one already
             for lane, use in enumerate((rare, np.ones_like(rare))):
-                live &= self._parts(use, live, band, n, 2 * lane, out) <= differ
-                live &= self._alone(use, live, band, 2 * lane + 1, out) <= differ
+                live &= ~self._enumerated(use, live, band, differ, parts(tops[band]), 2 * lane, out)
+                live &= ~self._finest(use, live, band, differ, 2 * lane + 1, out)
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def _parts(self, use: np.ndarray, live: np.ndarray, band: np.ndarray, n: np.ndarray, way: int, out: list) -> np.ndarray:
-        """Adds a signature for each part with features to use, of the live sets; returns how many parts that are."""
+    def _enumerated(self, use: np.ndarray, live: np.ndarray, band: np.ndarray, differ: np.ndarray, n: np.ndarray, way: int, out: list) -> np.ndarray:
+        """Adds signatures of the live sets for subsets of second-level parts; returns for which sets these are enough.
+
+        A hash deals features to n first-level parts and within each to SPLIT second-level ones. Where two sets differ by at
+        most APART features, they agree on SPLIT - APART second-level parts, and each such subset with features is a signature.
+        A part is full if more than APART of its second-level parts have features, so that no subset is empty. At most
+        differ // (APART + 1) parts differ by more, so one more full part than that is enough, and the parts after it are left
+        out. What may differ depends on the set's own size: the first part on which two sets agree and which is full in either
+        comes before both sets' ends.
+        """
         n = np.where(live, n, 0)
         offset = np.cumsum(n) - n
-        sums, filled = np.zeros(int(n.sum()), dtype=np.uint64), np.zeros(int(n.sum()), dtype=bool)
+        total = int(n.sum())
+        sums, filled = np.zeros(total * SPLIT, dtype=np.uint64), np.zeros(total * SPLIT, dtype=bool)
         use = use & live[self.row]
         value, row = mix64(self.values[use] + np.uint64(7)), self.row[use]
-        cell = offset[row] + ((value >> np.uint64(32)) * n[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        cell = offset[row] * SPLIT + ((value >> np.uint64(32)) * (n[row] * SPLIT).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
         np.add.at(sums, cell, value)
         filled[cell] = True
-        cell = np.flatnonzero(filled)
-        owner = np.repeat(np.arange(len(n)), n)[cell]
-        tag = (band[owner] * 4 + way).astype(np.uint64) << np.uint64(32) | (cell - offset[owner]).astype(np.uint64)
-        out.append((mix64(sums[cell] + mix64(tag)), owner))
-        return np.bincount(owner, minlength=len(n))
-
-    def _alone(self, use: np.ndarray, live: np.ndarray, band: np.ndarray, way: int, out: list) -> np.ndarray:
-        use = use & live[self.row]
+        sums, filled = sums.reshape(total, SPLIT), filled.reshape(total, SPLIT)
+        owner = np.repeat(np.arange(len(n)), n)
+        full = filled.sum(axis=1) > APART
+        upto = np.concatenate([[0], np.cumsum(full)])
+        bad = differ // (APART + 1)
+        wanted = upto[:-1] - upto[offset[owner]] <= bad[owner]
+        part = np.arange(total) - offset[owner]
+        sums = mix64(sums + np.arange(1, SPLIT + 1, dtype=np.uint64))
+        for k, subset in enumerate(combinations(range(SPLIT), SPLIT - APART)):
+            at = np.flatnonzero(wanted & filled[:, subset].any(axis=1))
+            tag = ((band[owner[at]] * 4 + way) * 64 + k).astype(np.uint64) << np.uint64(32) | part[at].astype(np.uint64)
+            out.append((mix64(sums[at][:, subset].sum(axis=1, dtype=np.uint64) + mix64(tag)), owner[at]))
+        return live & (upto[offset + n] - upto[offset] > bad)
+
+    def _finest(self, use: np.ndarray, live: np.ndarray, band: np.ndarray, differ: np.ndarray, way: int, out: list) -> np.ndarray:
+        """The same with each feature a part of its own, in the order of their hashes: one more than may differ is enough."""
+        use = np.flatnonzero(use & live[self.row])
         row = self.row[use]
+        counts = np.bincount(row, minlength=len(live))
+        rank = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+        wanted = rank <= differ[row]
+        use, row = use[wanted], row[wanted]
         out.append((mix64(self.values[use] + mix64((band[row] * 4 + way).astype(np.uint64) << np.uint64(32))), row))
-        return np.bincount(row, minlength=len(live))
+        return live & (counts > differ)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -153,23 +179,54 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measure(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """doc_id, row_hash, n_shingles, node (hash of the set) of each document; and the frequent features, sorted.
 
-    One pass over all documents; the driver gets TABLE features at most.
+    One pass over all documents. A histogram of the counts tells from which count on there are TABLE features at most; the
+    driver gets only those.
     """
-    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), F.col("text").cast("binary").alias("text"))
     found = staged(rows.mapInArrow(_measure, SETS), "sets")
     sets = found.where("node is not null").select("doc_id", "row_hash", "n_shingles", "node")
-    often = found.where("feature is not null").groupBy("feature").agg(F.sum("seen").alias("n")).where(F.col("n") >= TOTAL)
-    values = often.orderBy(F.desc("n"), "feature").limit(TABLE).select("feature").toPandas()["feature"].to_numpy(dtype=np.int64)
+    often = staged(found.where("feature is not null").groupBy("feature").agg(F.sum("seen").alias("n")).where(F.col("n") >= TOTAL), "frequent")
+    # Counts to an eighth of a power of two, so the histogram has a few hundred rows however large they grow.
+    level = F.floor(F.log2("n") * 8).cast("int")
+    least, total = 0, 0
+    for x in often.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        total += x["count"]
+        if total > TABLE:
+            least = x["level"] + 1
+            break
+    values = often.where(level >= least).select("feature").toArrow()["feature"].to_numpy()
     return sets, np.sort(values.view(np.uint64))
 
 
-def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """signature, node, for each part of each distinct set; a task hands a set on once."""
+def signatures(docs: DataFrame, frequent: np.ndarray, repeats: bool = False) -> DataFrame:
+    """signature, node, more: of the nodes of a stretch that share a signature only the least, and whether there are others.
+
+    With repeats instead those others (more is true then). So a signature that very many nodes have comes to its group once
+    from each stretch, and the others are joined to what is found there.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    def settle(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        found, node = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((node, found))
+        found, node = found[order], node[order]
+        head = np.ones(len(found), dtype=bool)
+        head[1:] = found[1:] != found[:-1]
+        fresh = head.copy()
+        fresh[1:] |= node[1:] != node[:-1]
+        if repeats:
+            chosen = np.flatnonzero(fresh & ~head)
+            more = np.ones(len(chosen), dtype=bool)
+        else:
+            chosen = np.flatnonzero(head)
+            more = np.add.reduceat(fresh.astype(np.int64), chosen) > 1 if len(chosen) else chosen > 0
+        for k in range(0, len(chosen), 50_000):
+            at = chosen[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(found[at].view(np.int64)), pa.array(node[at]), pa.array(more[k : k + 50_000])], names=["signature", "node", "more"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
+        held, n = [], 0
         for _, texts in _texts(batches):
             s = Shingles(texts)
             new = []
@@ -183,10 +240,15 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             keep[new] = True
             s.values, s.row, s.sizes = s.values[keep[s.row]], s.row[keep[s.row]], np.where(keep, s.sizes, 0)
             found, row = s.signatures(shared.value)
-            for k in range(0, len(found), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(found[k : k + 50_000].view(np.int64)), pa.array(s.nodes[row[k : k + 50_000]])], names=["signature", "node"])
+            held.append((found, s.nodes[row]))
+            n += len(found)
+            if n >= SETTLED:
+                yield from settle(held)
+                held, n = [], 0
+        if held:
+            yield from settle(held)
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "signature long, node long")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "signature long, node long, more boolean")
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +271,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fetch(nodes: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """node, text: the text of one document of each of the nodes."""
     rows = sets.groupBy("node").agg(F.min("row_hash").alias("row_hash")).join(nodes, "node", "left_semi")
-    rows = maybe_broadcast(staged(rows, "wanted"), LOOKUP_ROWS)
+    rows = maybe_broadcast(staged(rows, "wanted"))
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row_hash"), F.col("text").cast("binary").alias("text")).join(rows, "row_hash")
     return staged(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
@@ -220,19 +282,38 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return staged(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long"), "links")
 
 
-def _block_links(table: pa.Table) -> pa.Table:
-    """Links between nodes of different components in two blocks of a family (or within one), as many as connect these components.
+def common(s: Shingles) -> Iterator[np.ndarray]:
+    """For each row the number of features that it has in common with each of the rows after it.
 
-    Features of two or more nodes are bits of a row, so that a row's common features with all others are counted at once.
+    Features of BIT rows and more are bits of a row, of which there are at most a BIT-th as many as features in all; of the
+    others the few rows that have them are gone through.
     """
-    nodes, block, component = (table[c].to_numpy() for c in ("node", "block", "component"))
-    s = Shingles(table["text"].to_pylist())
+    n = len(s.sizes)
     _, place, counts = np.unique(s.values, return_inverse=True, return_counts=True)
-    several = counts > 1
-    column = (np.cumsum(several) - 1)[place]
-    keep = several[place]
-    bits = np.zeros((len(nodes), int(several.sum()) // 64 + 1), dtype=np.uint64)
+    dense = counts >= BIT
+    column, keep = (np.cumsum(dense) - 1)[place], dense[place]
+    bits = np.zeros((n, int(dense.sum()) // 64 + 1), dtype=np.uint64)
     np.bitwise_or.at(bits, (s.row[keep], column[keep] >> 6), np.uint64(1) << (column[keep] & 63).astype(np.uint64))
+    few = np.flatnonzero((counts > 1)[place] & ~keep)
+    order = few[np.argsort(place[few], kind="stable")]
+    rows, feature = s.row[order], place[order]  # rows of one feature stand together, ascending
+    stop = np.searchsorted(feature, feature, side="right")
+    by_row = np.argsort(rows, kind="stable")
+    edges = np.searchsorted(rows[by_row], np.arange(n + 1))
+    for k in range(n - 1):
+        found = np.bitwise_count(bits[k + 1 :] & bits[k]).sum(axis=1, dtype=np.int64)
+        own = by_row[edges[k] : edges[k + 1]]
+        size = stop[own] - own - 1
+        at = np.repeat(own + 1, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        if len(at):
+            found += np.bincount(rows[at] - k - 1, minlength=n - k - 1)
+        yield found
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between nodes of different components in two blocks of a group (or within one), as many as connect these components."""
+    nodes, block, component = (table[c].to_numpy() for c in ("node", "block", "component"))
+    s = Shingles(table["text"].to_pylist())
     up: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -242,9 +323,8 @@ def _block_links(table: pa.Table) -> pa.Table:
         return x
 
     across, out = block.min(initial=0) != block.max(initial=0), []
-    for k in range(len(nodes) - 1):
-        common = np.bitwise_count(bits[k + 1 :] & bits[k]).sum(axis=1, dtype=np.int64)
-        links = (100 * common >= PERCENT * (s.sizes[k] + s.sizes[k + 1 :] - common)) & (component[k + 1 :] != component[k])
+    for k, found in enumerate(common(s)):
+        links = (100 * found >= PERCENT * (s.sizes[k] + s.sizes[k + 1 :] - found)) & (component[k + 1 :] != component[k])
         if across:
             links &= block[k + 1 :] != block[k]
         for other in (np.flatnonzero(links) + k + 1).tolist():
@@ -255,28 +335,22 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def verify_dense(apart: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links across components within signatures of DENSE nodes and more.
+def verify_groups(stars: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across components among the nodes b of each group a.
 
-    Such signatures come from families of near copies. A family (nodes connected by dense signatures) is cut into blocks
-    of bounded size by a hash, and each two blocks meet in a task, so nothing is joined pair by pair.
+    Of a group only what the links so far leave in several components is compared. A group is cut into blocks of bounded
+    size by a hash, and each two blocks meet in a task, so nothing is joined pair by pair.
     """
-    dense = apart.withColumn("first", F.min("node").over(Window.partitionBy("signature"))).where(F.col("members") >= DENSE)
-    families = components(dense.select(F.col("first").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "family")
-    member = dense.select("node", "component").distinct().join(families, "node").join(texts, "node")
-    bytes_ = families.join(texts, "node").groupBy("family").agg((F.floor(F.sum(F.octet_length("text")) / BLOCK_BYTES) + 1).cast("int").alias("blocks"))
-    member = member.join(bytes_, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "component", "block", "text")
-    return staged(member.groupBy("family", "low", "high").applyInArrow(_block_links, "a long, b long"), "links")
-
-
-def _apart(found: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of signatures whose nodes are in several components, with component and the number of members."""
-    group = Window.partitionBy("signature")
-    placed = found.join(maybe_broadcast(staged(roots, "roots"), LOOKUP_ROWS), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = placed.withColumn("apart", F.min("component").over(group) < F.max("component").over(group)).withColumn("members", F.count("*").over(group))
-    return placed.where("apart").drop("apart")
+    placed = stars.join(maybe_broadcast(staged(roots, "roots")), F.col("b") == F.col("node"), "left").select("a", "b", F.coalesce("component", "b").alias("component"))
+    placed = placed.join(texts.select("node", F.octet_length("text").alias("bytes")), F.col("b") == F.col("node")).drop("node")
+    placed = staged(placed, "placed")
+    sums = placed.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("low < high")
+    blocks = F.greatest(F.floor(F.col("bytes") / BLOCK_BYTES), F.floor(F.col("n") / BLOCK_NODES)) + 1
+    sums = maybe_broadcast(staged(sums.select("a", blocks.cast("int").alias("blocks")), "groups"))
+    member = placed.drop("bytes").join(sums, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    member = member.join(texts.withColumnRenamed("node", "b"), "b").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = member.select("a", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("b").alias("node"), "component", "block", "text")
+    return staged(member.groupBy("a", "low", "high").applyInArrow(_block_links, "a long, b long"), "links")
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -284,30 +358,25 @@ def link(docs: DataFrame) -> DataFrame:
 
     Sets of 5-word shingles of the lower-cased (A-Z) text; fewer words are one shingle; documents without words are empty
     and link with nothing. Equal sets are one node from the start. Nodes that share a signature are candidates. First each
-    is compared with the least node of its signature; after that only what the links found so far leave in different
-    components: large groups of near copies in blocks, then the rest pair by pair. component_id is the smallest doc_id
-    of the component; null only where no document of it has one. Nodes and signatures are 64-bit hashes.
+    is compared with the least node of its signature, which it then belongs to; after that only what the links found so
+    far leave in different components, in blocks. component_id is the smallest doc_id of the component; null only where no
+    document of it has one. Nodes and signatures are 64-bit hashes.
     """
     sets, frequent = measure(docs)
     group = Window.partitionBy("signature")
     found = signatures(docs, frequent).withColumn("least", F.min("node").over(group)).withColumn("most", F.max("node").over(group))
-    found = staged(found.where("least < most").select("signature", "node", "least").distinct(), "candidates")
-    stars = staged(found.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    texts = fetch(found.select("node").distinct(), docs, sets)
-    links = verify(stars, texts)
-    apart = staged(_apart(found, components(links)).where("node > least"), "apart")
-    if not apart.where(F.col("members") >= DENSE).isEmpty():
-        links = links.union(verify_dense(apart, texts))
-    roots = components(links)
-    apart = staged(_apart(found, roots).where((F.col("members") < DENSE) & (F.col("node") > F.col("least"))), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.signature") == F.col("y.signature")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")))
-    rest = staged(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "rest")
-    if not rest.isEmpty():
-        roots = components(links.union(verify(rest, texts)))
-    roots = staged(roots, "roots")
+    found = staged(found.where("least < most or more"), "candidates")
+    whole = maybe_broadcast(staged(found.where("more").select("signature", "least").distinct(), "repeated"))
+    repeats = signatures(docs, frequent, repeats=True).drop("more").join(whole, "signature")
+    stars = found.select("node", "least").union(repeats.select("node", "least")).where("least < node")
+    stars = staged(stars.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    nodes = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = fetch(nodes, docs, sets)
+    roots = staged(components(verify(stars, texts)), "roots")
+    more = verify_groups(stars, roots, texts)
+    roots = staged(components(roots.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "roots")
     least = sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
-    least = least.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = least.join(maybe_broadcast(roots), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = least.groupBy("component").agg(F.min("first").alias("component_id"))
     named = least.join(smallest, "component").select("node", "component_id", "component")
     columns = ["doc_id", "row_hash", "n_shingles", "component_id", "component"]
@@ -327,7 +396,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = linked.join(first, ["component", "row_hash"], "left_anti").select(F.col("row_hash").alias("gone_row")).distinct()
     again = linked.join(first, ["component", "row_hash"], "left_semi").groupBy("row_hash").count().where("count > 1").select(F.col("row_hash").alias("again_row"))
     row = F.xxhash64(docs["doc_id"], docs["text"])
-    gone, again = (maybe_broadcast(staged(x, "gone"), LOOKUP_ROWS) for x in (gone, again))
+    gone, again = (maybe_broadcast(staged(x, "gone")) for x in (gone, again))
     left = docs.join(gone, row == gone["gone_row"], "left_anti")
     once = left.join(again, row == again["again_row"], "left_anti")
     return once.unionByName(left.join(again, row == again["again_row"], "left_semi").dropDuplicates(["doc_id", "text"]))

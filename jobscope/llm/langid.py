@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import bounded_batches, mix64, range_hashes, slices
+from jobscope.llm.common import mix64, range_hashes, slices
 
 #: First and last code point of the main blocks of each script.
 SCRIPTS = [
@@ -236,7 +236,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     of the next best, so a text of two clear languages has a score of about a half. Words whose script no language has count
     as words but not in the share, so a text of such words only has a score of 0. A null text, or one without a letter, is und with score 0 and no spans. Only the text is looked at.
     """
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +249,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows of docs whose text has a language with a score of at least least, all columns unchanged and without a shuffle."""
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

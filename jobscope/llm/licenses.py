@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import Words, bounded_batches, mix64, slices
+from jobscope.llm.common import Words, mix64, slices
 
 #: A unit matches its best template from this coefficient on.
 LEAST = 0.8
@@ -129,7 +129,6 @@ def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, least: float = LEAS
     sizes rule out most templates, and the number of a unit's bigrams that occur in any template most units. A unit of one
     word has no bigrams and matches nothing, nor do null and empty texts. first_word counts from 0 in the document.
     """
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Templates(texts, least)

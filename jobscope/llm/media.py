@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import bounded_batches, maybe_broadcast, mix64, slices, staged
+from jobscope.llm.common import maybe_broadcast, mix64, slices, staged
 
 #: Bytes of the padding unit, and of a chunk: at least, on the way to the next cut on average, at most.
 UNIT, LEAST, MEAN_BITS, MOST = 64, 256, 10, 8192
@@ -101,7 +101,6 @@ def store(docs: DataFrame) -> DataFrame:
     Of equal chunks the one with the least (row, place) is stored; the others borrow it. Digests alone are shuffled to find
     the owners; payload bytes are written where they are read. row_key is a hash of doc_id and text, so repeated rows agree.
     """
-    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("row_key"))
     lists = staged(rows.select("row_key", "text").mapInArrow(_list_chunks, "row_key long, digests array<binary>"), "chunk-lists")
     places = lists.select("row_key", F.posexplode("digests").alias("place", "digest"))

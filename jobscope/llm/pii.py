@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import bounded_batches
+from jobscope.llm.common import slices
 
 #: Kinds in output order and the base patterns of the first four (for an email, the part from the @ on). The
 #: look-behind of IP changes no match, but keeps a long run of digits from being read again from each of its digits.
@@ -178,7 +178,6 @@ def train(docs: DataFrame) -> Model:
 
     The driver gets one row for each distinct description (at most the product of the few values of each number).
     """
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +217,6 @@ def find(docs: DataFrame, model: Model, masked: bool = True) -> DataFrame:
     Base spans always stay; looser candidates are added if the classifier gives them at least THRESHOLD. Offsets are code
     points. A null or empty text has no spans; masked is null where nothing is to be masked, or if it isn't asked for.
     """
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,7 +240,6 @@ def find(docs: DataFrame, model: Model, masked: bool = True) -> DataFrame:
 
 def redact(docs: DataFrame, model: Model) -> DataFrame:
     """docs with each span replaced by its kind in brackets; other columns, and texts without spans, unchanged."""
-    bounded_batches(docs.sparkSession)
 
     def masked(text: str | None) -> str | None:
         spans = candidates(text) if text else []

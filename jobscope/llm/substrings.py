@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import Words, bounded_batches, grams, mix64, range_hashes, slices, staged
+from jobscope.llm.common import Words, grams, mix64, range_hashes, slices, staged
 
 #: Words of a window, and of an anchor. Each window has WINDOW - GRAM + 1 grams and takes the one with the least hash.
 WINDOW, GRAM = 20, 10
@@ -199,7 +199,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Before the shuffle each task keeps only its first occurrence of a run, so a passage in very many documents comes to
     its group once from each task.
     """
-    bounded_batches(docs.sparkSession)
     docs = keyed(docs)
     gone = repeats(docs).groupBy("key", "crc").agg(F.collect_list(F.struct("low", "high")).alias("gone"))
     out = docs.join(gone, ["key", "crc"], "left").select("doc_id", "text", F.col("gone.low").alias("low"), F.col("gone.high").alias("high"))
