@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobscope.llm.common import maybe_broadcast, staged, word_count
 
 #: Bits of a document's hash, and of one level of buckets.
 HASH_BITS, LEVEL_BITS = 60, 12
+#: Rows that tie at a threshold are numbered in so many buckets.
+BUCKETS = 1024
+
+
+def _before(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with the sum of each column of sums over the rows before, in an order without ties: by ranges, then within each range."""
+    parts = staged(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = parts.groupBy("range").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    offsets = offsets.select("range", *[F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(f"{n}_offset") for n in sums])
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.join(F.broadcast(offsets), "range").withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"{n}_offset") for n, c in sums.items()})
+    return out.drop("range", *[f"{n}_offset" for n in sums])
 
 
 def plan_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -18,20 +31,20 @@ def plan_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataF
 
     Sources in code point order, null last, take the weights in turn. A target stops at most times its source's size and
     the excess goes to the others by weight. Going through the sources by size per weight, each is full as long as its
-    share of what is left exceeds its limit; from the first that isn't, all share alike. The table of sources is metadata
-    of one row each, so its windows run in one task.
+    share of what is left exceeds its limit; from the first that isn't, all share alike. Places and running sums are
+    found by ranges of sources, so there may be very many.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    t = _before(sizes, [F.col("source").asc_nulls_last()], {"place": F.lit(1).cast("long")})
     weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    t = sizes.withColumn("place", place).withColumn("weight", weight).withColumn("most", F.col("source_size") * most)
-    order = Window.orderBy(F.col("most") / F.col("weight"), "place")
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = t.withColumn("left", F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    t = t.withColumn("others", F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    t = t.withColumn("weight", weight).withColumn("most", F.col("source_size") * most)
+    ratio = F.col("most") / F.col("weight")
+    t = staged(_before(t, [ratio, F.col("place")], {"full": F.col("most"), "passed": F.col("weight")}), "mix-sources")
+    size, weight = t.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    t = t.withColumn("left", F.lit(size) - F.col("full")).withColumn("others", F.lit(weight) - F.col("passed"))
     t = t.withColumn("free", F.col("weight") * F.col("left") <= F.col("most") * F.col("others"))
-    first = F.min(F.when(F.col("free"), F.struct(F.col("most") / F.col("weight"), "place", "left", "others"))).over(everything)
-    t = t.withColumn("first", first)
-    share = (F.col("weight") * F.col("first.left")).cast("double") / F.col("first.others").cast("double")
+    first = t.where("free").agg(F.min(F.struct(ratio, "place", "left", "others")).alias("x")).first()["x"]
+    left, others = (first["left"], first["others"]) if first else (0, 1)
+    share = (F.col("weight") * F.lit(left)).cast("double") / F.lit(others).cast("double")
     return t.select("source", "source_size", F.when(F.col("free"), share).otherwise(F.col("most").cast("double")).alias("target"))
 
 
@@ -67,16 +80,49 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", word_count()).withColumn("hash", F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long"))
 
 
+def _part() -> Column:
+    """What a row at the threshold (d) takes of its source's plan (p), in proportion to its size and rounded down."""
+    return F.floor(F.col("d.size").cast("decimal(19,0)") * F.col("p.wanted").cast("decimal(19,0)") / F.col("p.tied")).cast("long")
+
+
+def _with(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    return sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+
+
 def _take(sized: DataFrame, plan: DataFrame, columns: list[str]) -> DataFrame:
-    out = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    part = F.floor(F.col("size").cast("decimal(19,0)") * F.col("wanted").cast("decimal(19,0)") / F.col("tied")).cast("long")
-    extra = F.when(F.col("hash") < F.col("threshold"), F.col("size")).when(F.col("hash") == F.col("threshold"), part).otherwise(0)
-    return out.select(*[F.col(f"d.`{c}`") for c in columns], "size", "p.source_size", "p.target", (F.col("size") * F.col("repeats") + extra).alias("taken"))
+    """columns, size, source_size, target and taken of each row of sized.
+
+    Where rounding down leaves words, rows at the threshold get one more each. They are numbered for that in BUCKETS of
+    each source: rows within a bucket, after those of the buckets before.
+    """
+    at = F.coalesce(F.col("d.hash") == F.col("p.threshold"), F.lit(False)) & (F.col("d.size") > 0)
+    whole = F.col("d.size") * F.col("p.repeats")
+    given = [*[F.col(f"d.`{c}`") for c in columns], F.col("d.size").alias("size"), F.col("p.source_size").alias("source_size"), F.col("p.target").alias("target")]
+    rows = _with(sized, plan)
+    extra = F.when(F.col("d.hash") < F.col("p.threshold"), F.col("d.size")).when(at, _part()).otherwise(0)
+    if plan.where("rest > 0").isEmpty():
+        return rows.select(*given, (whole + extra).alias("taken"))
+    shared = at & (F.col("p.rest") > 0)
+    bucket = F.pmod(F.monotonically_increasing_id(), F.lit(BUCKETS)).cast("int")
+    tied = rows.where(shared).select(F.struct(*given).alias("row"), F.col("p.source").alias("source"), (whole + _part()).alias("taken"), F.col("p.rest").alias("rest"), bucket.alias("bucket"))
+    tied = staged(tied, "mix-tied")
+    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = tied.groupBy("source", "bucket").count().select(F.col("source").alias("of"), F.col("bucket").alias("in"), F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("offset"))
+    number = F.row_number().over(Window.partitionBy("source", "bucket").orderBy(F.lit(1)))
+    tied = tied.withColumn("number", number).join(maybe_broadcast(staged(counts, "mix-buckets")), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
+    one = F.when(F.col("number") + F.col("offset") <= F.col("rest"), 1).otherwise(0)
+    return rows.where(~shared).select(*given, (whole + extra).alias("taken")).union(tied.select("row.*", (F.col("taken") + one).alias("taken")))
 
 
 def _plan(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """find_thresholds with rest: what the rows at the threshold leave of wanted when each takes its part rounded down."""
     plan = plan_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    return maybe_broadcast(staged(find_thresholds(sized, plan), "mix-thresholds"))
+    plan = staged(find_thresholds(sized, plan), "mix-thresholds")
+    cut = maybe_broadcast(plan.where("wanted > 0"))
+    parts = _with(sized, cut).where(F.col("d.hash") == F.col("p.threshold")).select(F.col("p.source").alias("of"), _part().alias("part"))
+    parts = parts.groupBy("of").agg(F.sum("part").alias("parts"))
+    plan = plan.join(parts, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("rest", F.coalesce(F.col("wanted") - F.col("parts"), F.lit(0))).drop("of", "parts")
+    return maybe_broadcast(staged(plan, "mix-rests"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -84,7 +130,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) ->
 
     A row's hash is of its doc_id and text, so only repeats of the same row tie. Rows below the source's threshold are
     taken once more than the source's whole passes; at the threshold, what is left of the budget is shared over the rows
-    that tie there (mostly one document, which is cut short), in proportion, rounded down. No row exceeds most passes.
+    that tie there (mostly one document, which is cut short), in proportion, and rows that are all alike differ by one word at
+    most. A source's words taken are its target, rounded down. No row exceeds most passes.
     A null text is a document of size 0, a null source a source of its own; empty documents give no rows.
     """
     sized = staged(_sized(docs.select("doc_id", "source", "text")).drop("text"), "mix-sizes")
@@ -123,10 +170,14 @@ b as (select *, floor(target)::bigint - repeats * source_size budget from p),
 h as (select source, hash, sum(size)::bigint tied from d group by source, hash),
 c as (select *, sum(tied) over (partition by source order by hash)::bigint upto from h),
 a as (
-  select d.doc_id, d.size, b.source_size, b.target, b.repeats, c.tied, c.upto, b.budget
+  select d.doc_id, d.size, b.source_size, b.target, b.repeats, c.tied, c.upto, b.budget, d.source, d.hash
   from d join b on d.source is not distinct from b.source
-  join c on c.source is not distinct from d.source and c.hash = d.hash)
-select doc_id, size, source_size, target, cast(size * repeats + case when upto <= budget then size when upto - tied > budget then 0
-  when tied = 0 then 0 else size::hugeint * (budget - (upto - tied)) // tied end as bigint) taken
-from a
+  join c on c.source is not distinct from d.source and c.hash = d.hash),
+e as (
+  select *, case when upto <= budget then size when upto - tied > budget or tied = 0 then 0 else (size::hugeint * (budget - (upto - tied)) // tied)::bigint end part,
+    upto > budget and upto - tied <= budget and size > 0 cut
+  from a),
+n as (select *, (budget - (upto - tied) - sum(part) over (partition by source, hash))::bigint rest, row_number() over (partition by source, hash, cut order by doc_id) k from e)
+select doc_id, size, source_size, target, size * repeats + part + case when cut and k <= rest then 1 else 0 end taken
+from n
 """
