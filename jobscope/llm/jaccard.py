@@ -216,13 +216,14 @@ def signatures(docs: DataFrame, frequent: np.ndarray, repeats: bool = False) ->
         fresh[1:] |= node[1:] != node[:-1]
         if repeats:
             chosen = np.flatnonzero(fresh & ~head)
-            more = np.ones(len(chosen), dtype=bool)
+            more = np.ones(len(found), dtype=bool)
         else:
             chosen = np.flatnonzero(head)
-            more = np.add.reduceat(fresh.astype(np.int64), chosen) > 1 if len(chosen) else chosen > 0
+            more = np.repeat(np.add.reduceat(fresh.astype(np.int64), chosen) > 1, np.diff(np.append(chosen, len(found)))) if len(chosen) else head
+        chosen = chosen[np.argsort(order[chosen], kind="stable")]  # rows of a node together take less room in the shuffle
         for k in range(0, len(chosen), 50_000):
             at = chosen[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(found[at].view(np.int64)), pa.array(node[at]), pa.array(more[k : k + 50_000])], names=["signature", "node", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(found[at].view(np.int64)), pa.array(node[at]), pa.array(more[at])], names=["signature", "node", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()

@@ -9,10 +9,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import mix64, range_hashes, slices
+from jobscope.llm.common import mix64, range_hashes, slices, staged
 
 #: First and last code point of the main blocks of each script.
 SCRIPTS = [
@@ -35,16 +36,16 @@ TEXTS = "doc_id long, lang_pred string, score double, spans array<struct<start:l
 @cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each code point: letter (1: letter, 2: mark in a word), lower case, hash, script."""
-    chars = [chr(c) for c in range(0x110000)]
-    kind = np.array([{"L": 1, "M": 2}.get(unicodedata.category(c)[0], 0) for c in chars], dtype=np.uint8)
-    lower = np.arange(0x110000, dtype=np.uint32)
-    for c in np.flatnonzero(kind == 1):
-        if len(low := chars[c].lower()) == 1:
+    n = 0x110000
+    kind = np.fromiter(({"L": 1, "M": 2}.get(unicodedata.category(chr(c))[0], 0) for c in range(n)), dtype=np.uint8, count=n)
+    lower = np.arange(n, dtype=np.uint32)
+    for c in np.flatnonzero(kind == 1).tolist():
+        if len(low := chr(c).lower()) == 1:
             lower[c] = ord(low)
-    script = np.zeros(0x110000, dtype=np.uint8)
+    script = np.zeros(n, dtype=np.uint8)
     for name, first, last in SCRIPTS:
         script[first : last + 1] = SCRIPT_NAMES.index(name)
-    return kind, lower, mix64(np.arange(1, 0x110001, dtype=np.uint64)), script
+    return kind, lower, mix64(np.arange(1, n + 1, dtype=np.uint64)), script
 
 
 class _Letters:
@@ -103,41 +104,65 @@ class Model:
         return np.maximum(scores, -CLIP)[back]
 
 
-def train(docs: DataFrame, per_lang: int = 3000, words: int = 200_000) -> Model:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of words with their counts by language (place): words, trigram buckets and scripts, with a count for each language."""
+    for batch in batches:
+        t = _Letters(batch["word"].to_pylist())
+        # The JVM and Python may know different versions of Unicode: what isn't one word in both is left out.
+        one = np.flatnonzero(np.diff(t.first) == 1)
+        at = t.first[:-1][one]
+        place, n = batch["place"].to_numpy()[one], batch["n"].to_numpy()[one]
+        grams, sizes = t.trigrams(at)
+        for kind, key, where, weight in ((0, t.hashes[at].view(np.int64), place, n), (1, grams, np.repeat(place, sizes), np.repeat(n, sizes)), (2, t.script[at].astype(np.int64), place, n)):
+            both, back = np.unique(np.stack([key, where]), axis=1, return_inverse=True)
+            sums = np.bincount(back.ravel(), weights=weight, minlength=both.shape[1]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sums), kind, dtype=np.int32)), pa.array(both[0]), pa.array(both[1]), pa.array(sums)], names=["kind", "key", "place", "n"])
+
+
+def train(docs: DataFrame, per_lang: int = 3000, words: int = 200_000, most_langs: int = 64) -> Model:
     """Fits on about per_lang documents of each language, drawn by a hash of the text, with the most frequent words.
 
-    Only rows with lang and text are used. Counting is done by Spark; the driver gets at most words rows for each language.
+    Only rows with lang and text are used, and of more than most_langs languages the most frequent ones. Counting is done
+    by Spark, trigrams of all words of the sample included; the driver gets numbers only, of words words at most.
     Without rows there are no languages and every prediction is und.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    share = F.lit(0)
-    for lang, n in totals.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n) * 1e6)).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    totals = dict(map(tuple, rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()))
     langs = sorted(totals)
     if not langs:
         none = np.zeros((0, 0), dtype=np.float32)
         return Model([], np.zeros((len(SCRIPT_NAMES), 0), dtype=bool), np.zeros(0, dtype=np.uint64), none, none)
-    columns = [f"n{k}" for k in range(len(langs))]
-    place = F.concat(F.lit("n"), (F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1).cast("string"))
-    found = sample.select(place.alias("place"), F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("word")).where("word <> ''")
-    counts = found.groupBy("word").pivot("place", columns).count().fillna(0)
-    total = sum((F.col(x) for x in columns[1:]), F.col(columns[0]))
-    table = counts.orderBy(total.desc(), "word").limit(words).toPandas()
-    # The JVM and Python may know different versions of Unicode: what isn't one word in both is left out.
-    table = table[np.diff(_Letters(list(table["word"])).first) == 1]
-    n = table[columns].to_numpy(dtype=np.float64)
-    t = _Letters(list(table["word"]))
-    often = n.sum(axis=1) >= 2
+    shares = docs.sparkSession.createDataFrame([(x, k, int(min(1.0, per_lang / totals[x]) * 1e6)) for k, x in enumerate(langs)], "lang string, place long, share long")
+    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("share"))
+    found = sample.select("place", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("word")).where("word <> ''")
+    counts = found.groupBy("word", "place").agg(F.count("*").alias("n")).mapInArrow(_count, "kind int, key long, place long, n long")
+    counts = staged(counts.groupBy("kind", "key", "place").agg(F.sum("n").alias("n")), "language-counts")
+    # A histogram of how often words occur tells from which count on there are as many as wanted.
+    by_word = counts.where("kind = 0").groupBy("key").agg(F.sum("n").alias("total"), F.collect_list(F.struct("place", "n")).alias("by_lang")).where("total >= 2")
+    by_word = staged(by_word, "language-words")
+    least, n_words = 2, 0
+    for x in by_word.groupBy("total").count().orderBy(F.desc("total")).collect():
+        n_words += x["count"]
+        if n_words > words:
+            least = x["total"] + 1
+            break
+    table = by_word.where(F.col("total") >= least).select("key", "by_lang").toArrow()
+    n = np.zeros((len(table), len(langs)))
+    cells = pc.list_flatten(table["by_lang"].combine_chunks())
+    row = np.repeat(np.arange(len(table)), pc.list_value_length(table["by_lang"]).to_numpy())
+    n[row, cells.field("place").to_numpy()] = cells.field("n").to_numpy()
+    hashes = table["key"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    spread = [np.zeros((size, len(langs))) for size in (1 << GRAM_BITS, len(SCRIPT_NAMES))]
+    for kind, held in zip((1, 2), spread, strict=True):
+        got = counts.where(F.col("kind") == kind).select("key", "place", "n").toArrow()
+        held[got["key"].to_numpy(), got["place"].to_numpy()] = got["n"].to_numpy()
+    per_gram, scripts = spread
+    per_gram += 0.1
     seen = n + 0.5
-    logs = np.log(seen / seen.sum(axis=0)).astype(np.float32)
-    order = np.argsort(t.hashes[often])
-    grams, sizes = t.trigrams(np.arange(len(t.starts)))
-    per_gram = np.stack([np.bincount(grams, weights=np.repeat(n[:, k], sizes), minlength=1 << GRAM_BITS) for k in range(len(langs))], axis=1) + 0.1
-    scripts = np.stack([np.bincount(t.script, weights=n[:, k], minlength=len(SCRIPT_NAMES)) for k in range(len(langs))], axis=1)
     allowed = scripts > 0.01 * np.maximum(scripts.sum(axis=0), 1)
-    return Model(langs, allowed, t.hashes[often][order], logs[often][order], np.log(per_gram / per_gram.sum(axis=0)).astype(np.float32))
+    logs = np.log(seen / (seen.sum(axis=0) + 1)).astype(np.float32)
+    return Model(langs, allowed, hashes[order], logs[order], np.log(per_gram / per_gram.sum(axis=0)).astype(np.float32))
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
