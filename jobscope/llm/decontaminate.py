@@ -10,17 +10,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import Words, grams, maybe_broadcast, mix64, range_hashes, slices, staged
+from jobscope.llm.common import Words, grams, is_small, maybe_broadcast, mix64, range_hashes, slices, staged
 from jobscope.llm.common import _BYTE as BYTE_HASHES
 
 #: Tokens of a window; a run of windows is a leak from RUN tokens on, or all but one of a shorter item's.
 WINDOW, RUN = 8, 13
-#: Share of a run that has to be ordinary words, not placeholders.
-PLAIN = 0.5
-#: Hashes of benchmark windows that a task looks up at once; a larger benchmark is gone through in blocks.
-BLOCK = 1_000_000
-#: Rows of benchmark windows that are few enough to broadcast.
-ITEM_ROWS = 100_000
+#: Share of a run that has to be ordinary words, not placeholders; with fewer than one in MOSTLY a window has to stand as written.
+PLAIN, MOSTLY = 0.5, 4
+#: Items of fewer tokens leak nothing: their words stand everywhere.
+LEAST = 5
+#: Hashes of benchmark windows that a task looks up while reading; of a larger benchmark all windows of documents are joined by shuffle.
+LOOKUP = 4_000_000
 #: Words that stand for the placeholder of units.
 UNITS = """kg g mg lb lbs oz ton tons km m cm mm mi mile miles ft foot feet inch inches yard yards l ml liter liters litre litres
 gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh
@@ -88,16 +88,27 @@ class Tokens:
         self.canonical = np.where(self.name, _NAME, self.as_written)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row, place in the row's tokens, hash, and whether names are as written, of each window of size tokens."""
+        """Row, place in the row's tokens, hash, and whether it is as written, of each window of size tokens.
+
+        Windows that are nearly all placeholders agree too easily: they are only made as written. One token over and over is none.
+        """
         rows = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
         at = np.arange(max(0, len(rows) - size + 1))
-        inside = at + size <= self.first[rows[: len(at)] + 1]
-        names = np.concatenate([[0], np.cumsum(self.name)])
-        named = inside & (names[at + size] > names[at])
-        hashes = np.concatenate([grams(self.canonical, size)[inside], grams(self.as_written, size)[named]])
-        written = np.arange(len(hashes)) >= inside.sum()
-        at = np.concatenate([at[inside], at[named]])
-        return rows[at], at - self.first[rows[at]], mix64(hashes + np.uint64(size)), written
+
+        def count(marks: np.ndarray, n: int = size) -> np.ndarray:
+            sums = np.concatenate([[0], np.cumsum(marks)])
+            return sums[at + n] - sums[at]
+
+        some = at + size <= self.first[rows[: len(at)] + 1]
+        some &= (count(self.raw[1:] != self.raw[:-1], size - 1) > 0) | (size == 1)
+        names, slots, least = count(self.name), count(self.slot), -(-size // MOSTLY)
+        named = some & (names > 0) & (size - slots + names >= least)
+        whole = some & (size - slots + names < least)
+        some &= size - slots >= least
+        hashes = [grams(self.canonical, size)[some], grams(self.as_written, size)[named], grams(self.raw, size)[whole]]
+        written = np.arange(sum(map(len, hashes))) >= len(hashes[0])
+        at = np.concatenate([at[some], at[named], at[whole]])
+        return rows[at], at - self.first[rows[at]], mix64(np.concatenate(hashes) + np.uint64(size)), written
 
     def slots(self, row: np.ndarray, place: np.ndarray, size: int, written: np.ndarray) -> pa.Array:
         """For each window the places (within it) and hashes as written of its placeholders; where written holds, without names."""
@@ -120,8 +131,8 @@ def _unit_hashes() -> np.ndarray:
 FOUND = "id long, row_hash long, n_tokens long, size int, place long, hash long, slots array<struct<k:int,word:long>>"
 
 
-def template_windows(rows: DataFrame, identifier: str, only: tuple[np.ndarray, tuple[int, ...]] | None = None) -> DataFrame:
-    """Windows of the canonical tokens of each row. only: sorted hashes to keep and the sizes of windows to look for; without it, each row's own size (all tokens but one, or both of two; at most WINDOW)."""
+def template_windows(rows: DataFrame, identifier: str, only: tuple[np.ndarray | None, tuple[int, ...]] | None = None) -> DataFrame:
+    """Windows of the canonical tokens of each row. only: sorted hashes to keep (None: all) and the sizes of windows to look for; without it, each row's own size (all tokens but one, at most WINDOW) of rows with at least LEAST tokens."""
     shared = rows.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,13 +142,15 @@ def template_windows(rows: DataFrame, identifier: str, only: tuple[np.ndarray, t
                 piece = batch.slice(part.start, part.stop - part.start)
                 t = Tokens([x or b"" for x in piece["text"].to_pylist()])
                 counts = np.diff(t.first)
-                for size in only[1] if only else range(1, WINDOW + 1):
+                for size in only[1] if only else range(LEAST - 1, WINDOW + 1):
                     row, place, hashes, written = t.windows(size)
-                    if only:
+                    if only and only[0] is None:
+                        keep = np.ones(len(row), dtype=bool)
+                    elif only:
                         at = np.minimum(np.searchsorted(only[0], hashes), len(only[0]) - 1)
                         keep = only[0][at] == hashes
                     else:
-                        keep = np.minimum(np.where(counts > 2, counts - 1, counts), WINDOW)[row] == size
+                        keep = (np.minimum(counts - 1, WINDOW)[row] == size) & (counts[row] >= LEAST)
                         written[:] = False  # a name as written goes with itself, see find_leaks
                     row, place, hashes, written = row[keep], place[keep], hashes[keep], written[keep]
                     if len(row):
@@ -229,23 +242,21 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, row_hash, item_id, item_tokens, matched (tokens of the longest run), exact (slots as in the item too).
 
-    One row for each document row and item that it leaks: a run of consecutive windows of the item stands in the document
-    in the same order, and a part of it that judge() accepts has at least RUN tokens or all but one of the item's (its first
-    word may read as a name there; both of two). Null and empty texts leak nothing.
+    One row for each distinct document (doc_id and text) and item that it leaks: a run of consecutive windows of the item stands in
+    the document in the same order, and a part of it that judge() accepts has at least RUN tokens or all but one of the
+    item's (its first word may read as a name there). Items of fewer than LEAST tokens, and null and empty texts, leak
+    nothing. Documents are read once.
     """
     items = staged(template_windows(benchmark, "item_id").distinct(), "items")
     sizes = tuple(sorted(r["size"] for r in items.select("size").distinct().collect()))
-    blocks = -(-items.count() // BLOCK)
-    hits = None
-    for k in range(blocks):
-        hashes = items.select("hash").where(F.pmod("hash", F.lit(blocks)) == k).distinct().toPandas()["hash"].to_numpy(dtype=np.int64)
-        found = template_windows(docs, "doc_id", (np.sort(hashes.view(np.uint64)), sizes))
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        hits = template_windows(docs.limit(0), "doc_id", (np.zeros(1, dtype=np.uint64), ()))
+    hashes = items.select("hash").distinct()
+    found = np.sort(hashes.toArrow()["hash"].to_numpy().view(np.uint64)) if is_small(hashes, LOOKUP, 1 << 30) else None
+    if not sizes:
+        docs = docs.limit(0)
+    hits = template_windows(docs, "doc_id", (found, sizes))
     d = hits.select(F.col("id").alias("doc_id"), "row_hash", "size", "hash", F.col("place").alias("at"), F.col("slots").alias("doc_slots"))
     i = items.select(F.col("id").alias("item_id"), F.col("row_hash").alias("item_hash"), "n_tokens", "size", "hash", "place", "slots")
-    joined = d.distinct().join(maybe_broadcast(i, ITEM_ROWS), ["size", "hash"])
+    joined = d.distinct().join(maybe_broadcast(i), ["size", "hash"])
     key = ["doc_id", "row_hash", "item_id", "item_hash", "n_tokens", "size", (F.col("at") - F.col("place")).alias("shift")]
     # What is a placeholder in the item only stands in the document as written.
     doc = lambda x: F.coalesce(F.try_element_at(F.filter("doc_slots", lambda y: y["k"] == x["k"]), F.lit(1))["word"], x["word"])
@@ -255,7 +266,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Windows of one run have the same distance between their place and their rank along the shift.
     joined = joined.withColumn("run", F.col("place") - F.dense_rank().over(Window.partitionBy(*line).orderBy("place")))
     runs = joined.groupBy(*line, "run").agg(F.min("place").alias("start"), (F.max("place") - F.min("place") + F.col("size")).alias("length"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("pairs"))
-    need = F.least(F.lit(RUN), F.greatest(F.col("n_tokens") - 1, F.col("size")))
+    need = F.least(F.lit(RUN), F.col("n_tokens") - 1)
     runs = runs.select("doc_id", "row_hash", "item_id", "n_tokens", "start", "length", need.alias("need"), "pairs").where("length >= need")
     leaks = runs.mapInArrow(_judged, JUDGED)
     best = F.max(F.struct("matched", "exact")).alias("best")
@@ -263,9 +274,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select("doc_id", "row_hash", "item_id", "item_tokens", "best.matched", "best.exact")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, rows: int = 200_000) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that leak nothing, all columns unchanged."""
-    leaked = maybe_broadcast(staged(find_leaks(docs, benchmark).select(F.col("row_hash").alias("leaked_row")).distinct(), "leaked"), rows)
+    leaked = maybe_broadcast(staged(find_leaks(docs, benchmark).select(F.col("row_hash").alias("leaked_row")).distinct(), "leaked"))
     return docs.join(leaked, F.xxhash64(docs["doc_id"], docs["text"]) == leaked["leaked_row"], "left_anti")
 
 

@@ -330,6 +330,49 @@ def test_leaks_whatever_the_form_of_tokens(spark):
     assert got == {(1, 1): False, (2, 2): True, (3, 2): True, (4, 3): True, (5, 3): False}
 
 
+def test_leaks_of_numbers_and_of_short_items(spark):
+    r = random.Random(6)
+    numbers = lambda n: " ".join(str(r.randint(10, 99)) for _ in range(n))
+    table, sums = numbers(20_000), [f"add up {numbers(30)}" for _ in range(20)]
+    bench = spark.createDataFrame([*enumerate(sums), (50, "yes"), (51, "yes or no then"), (52, "7 " * 30)], "item_id long, text string")
+    docs = [(1, table, "en", "a"), (2, f"{table} {sums[3]} {table}", "en", "a"), (3, "yes or no then 5 6", "en", "a"), (4, "8 " * 20_000, "en", "a"), (5, sums[4].replace(" ", "  +  "), "en", "a")]
+    windows = decontaminate.template_windows(bench, "item_id").distinct()
+    hashes = np.sort(windows.select("hash").distinct().toPandas()["hash"].to_numpy().view(np.uint64))
+    assert decontaminate.template_windows(frame(spark, docs), "doc_id", (hashes, (7, 8))).join(windows.select("size", "hash"), ["size", "hash"]).count() < 200
+    assert {(x.doc_id, x.item_id, x.exact) for x in decontaminate.find_leaks(frame(spark, docs), bench).collect()} == {(2, 3, True), (5, 4, True)}
+
+
+def test_leaks_of_a_benchmark_beyond_the_lookup(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    docs = frame(spark, [(1, "x " + ITEM.replace("12", "70"), "en", "a"), (2, "nothing of it here at all, not one word", "en", "a")])
+    monkeypatch.setattr(decontaminate, "LOOKUP", 0)
+    assert [(x.doc_id, x.exact) for x in decontaminate.find_leaks(docs, bench).collect()] == [(1, False)]
+
+
+def test_recall_of_changed_items(spark):
+    r = random.Random(12)
+    words = "river house stone water market garden window letter bridge summer winter doctor teacher driver farmer yellow silver simple heavy quick".split()
+    names = "Anna Peter Maria Jonas Clara Oskar Nina Paul Ella Max".split()
+
+    def template():
+        parts = [r.choice(words) for _ in range(r.randint(18, 40))]
+        for k in range(2, len(parts) - 1, r.randint(4, 6)):
+            parts[k] = r.choice(["{n}", "{n} kg", "{a}"])
+        return "The " + " ".join(parts)
+
+    def fill(t):
+        low, who = r.randint(2, 900), r.choice(names)
+        return t.replace("{n}", str(low)).replace("{a}", who).replace(" kg", r.choice([" kg", " km", " hours"]))
+
+    templates = [template() for _ in range(150)]
+    other = lambda: " ".join(r.choice(words) for _ in range(40))
+    bench = spark.createDataFrame(list(enumerate(map(fill, templates))), "item_id long, text string")
+    docs = [(k, f"{other()}. {fill(t)}. {other()}", "en", "a") for k, t in enumerate(templates)] + [(1000 + k, ". ".join(other() for _ in range(4)), "en", "a") for k in range(300)]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(frame(spark, docs), bench).collect()}
+    right = {(k, k) for k in range(len(templates))}
+    assert len(got & right) >= 0.9 * len(right) and len(got - right) <= 0.02 * len(got)
+
+
 def test_leaks_against_plain_search(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     plain = lambda t: " ".join(re.sub(r"[^\w]+", " ", t or "").lower().split())
