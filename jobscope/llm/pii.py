@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,28 +15,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import slices
-
 #: Kinds in output order and the base patterns of the first four (for an email, the part from the @ on). The
 #: look-behind of IP changes no match, but keeps a long run of digits from being read again from each of its digits.
-KINDS = ["email", "ip", "card", "phone", "secret"]
+KINDS = ["email", "ip", "card", "phone", "secret", "iban", "national"]
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Looser forms, candidates only: a labeler's vote decides on them.
-SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]+)+")
+SPELT = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?(?:(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]+)+"
+    r"|(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+)
 LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
-SECRET = re.compile(r"\bAKIA[0-9A-Z]{16}\b|\b[0-9a-fA-F]{32,64}\b")
+SECRET = re.compile(
+    r"\bAKIA[0-9A-Z]{16}\b|\b[0-9a-fA-F]{32,64}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9_-]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}"
+    r"|\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"
+)
+IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
+NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 #: A text without any of these has no candidates.
-MAYBE = r"[0-9@]|\Wdot\W"
+MAYBE = r"[0-9@]|\Wdot\W|[(\[]at[)\]]|AKIA|[a-fA-F]{32}|\bgh[pousr]_|\bsk-|\bxox[abprs]-|\beyJ"
 #: Gazetteers: words that stand before such data, and usual ends of domains.
 CUES = {
-    "email": {"email", "mail", "contact", "write", "correo", "courriel", "to"},
-    "ip": {"ip", "host", "server", "address", "addr", "from", "node"},
-    "card": {"card", "visa", "mastercard", "amex", "credit", "debit", "account", "iban", "karte", "tarjeta", "carte"},
-    "phone": {"phone", "tel", "call", "mobile", "fax", "cell", "telefon", "telefono", "téléphone", "whatsapp"},
-    "secret": {"token", "key", "secret", "password", "apikey", "api_key", "bearer", "auth", "credential"},
+    "email": {"email", "mail", "e", "contact", "write", "reach", "correo", "courriel", "kontakt", "contacto", "schreiben", "to"},
+    "ip": {"ip", "host", "server", "address", "addr", "from", "node", "ping", "gateway", "dns", "client"},
+    "card": {"card", "visa", "mastercard", "amex", "credit", "debit", "account", "karte", "kreditkarte", "tarjeta", "carte", "konto", "cuenta", "compte", "pay"},
+    "phone": {"phone", "tel", "call", "mobile", "fax", "cell", "telefon", "telefono", "teléfono", "téléphone", "handy", "móvil", "whatsapp", "dial", "ring"},
+    "secret": {"token", "key", "secret", "password", "passwd", "pwd", "apikey", "api_key", "bearer", "auth", "credential", "credentials", "passwort", "clave"},
+    "iban": {"iban", "account", "bank", "konto", "bic", "cuenta", "compte"},
+    "national": {"ssn", "social", "security", "number", "insurance", "id", "national"},
 }
 ENDS = {"com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "co", "ru", "cn", "us"}
 LABELERS = 5
@@ -85,17 +94,30 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, base): base spans, and looser ones that overlap none before them."""
     found, failed = base_spans(text)
     out = [(*x, True) for x in found]
-    taken = sorted(x[1:] for x in found)
-    loose = [("email", *m.span()) for m in SPELT.finditer(text)] if "dot" in text else []
-    loose += [("phone", *m.span()) for m in LOCAL_PHONE.finditer(text)]
-    loose += [("secret", *m.span()) for m in SECRET.finditer(text)]
+    starts: list[int] = []  # of the stretches that base spans cover
+    ends: list[int] = []
+    for start, end in sorted(x[1:] for x in found):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    patterns = (("phone", LOCAL_PHONE), ("secret", SECRET), ("iban", IBAN), ("national", NATIONAL), ("email", SPELT))
+    loose = [(kind, *m.span()) for kind, pattern in patterns[: 5 if "dot" in text or "at" in text else 4] for m in pattern.finditer(text)]
+    done = 0
     for kind, start, end in sorted([*loose, *failed], key=lambda x: (x[1], KINDS.index(x[0]))):
-        if all(end <= s or e <= start for s, e in taken):
-            taken.append((start, end))
+        k = bisect_right(starts, start)
+        if start >= done and (k == 0 or ends[k - 1] <= start) and (k == len(starts) or end <= starts[k]):
+            done = end
             out.append((kind, start, end, False))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
+def _checked(iban: str) -> bool:
+    x = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
 def describe(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int, ...]:
     """The votes of the labelers (1 yes, -1 no, 0 abstains), then small features of the span's shape and its neighbours."""
     span, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 1]
@@ -106,6 +128,10 @@ def describe(text: str, kind: str, start: int, end: int, base: bool) -> tuple[in
         valid = 1 if re.split(r"[^A-Za-z]", span)[-1].lower() in ENDS else 0
     elif kind == "secret":
         valid = 1 if len(set(span)) >= 10 else -1
+    elif kind == "iban":
+        valid = 1 if _checked(span) else -1
+    elif kind == "national":
+        valid = -1 if span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" or span[7:] == "0000" else 1
     else:
         valid = 1 if 10 <= len(digits) <= 15 or kind == "ip" else 0
     cues = [w for w in re.split(r"[^\w]+", before.lower()) if w][-4:]
@@ -116,7 +142,7 @@ def describe(text: str, kind: str, start: int, end: int, base: bool) -> tuple[in
     elif kind == "email":
         shape = 1 if "@" in span else 0
     else:
-        shape = -1 if len(set(digits)) <= 2 else (1 if kind == "ip" or len(digits) in (10, 11, 15, 16) else 0)
+        shape = -1 if len(set(digits)) <= 2 else (1 if kind in ("ip", "iban", "national") or len(digits) in (10, 11, 15, 16) else 0)
     votes = (1 if base else 0, valid, gazetteer, apart, shape)
     features = (min(3, len(span) // 8), int(any(c in span for c in " -().")), int(before[-1:] in "\"'=:" and before != ""), int(after in ".,;:!?" and after != ""))
     return (KINDS.index(kind), *votes, *features)
@@ -181,7 +207,7 @@ def train(docs: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = Counter(describe(t, *c) for t in batch["text"].to_pylist() for c in candidates(t))
+            seen = Counter(describe(t.as_py(), *c) for t in batch["text"] for c in candidates(t.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.list_(pa.int8())), pa.array(list(seen.values()), pa.int64())], names=["described", "n"])
 
     counts = docs.select("text").where(F.col("text").rlike(MAYBE)).mapInArrow(run, "described array<tinyint>, n long")
@@ -208,53 +234,68 @@ def mask(text: str, spans: list[tuple]) -> str:
     return "".join(k + m for k, m in zip(kept, [*(f"[{x[0].upper()}]" for x in merged), ""], strict=True))
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, masked string"
+ADDED = ["email", "card", "phone", "secret", "iban", "national"]
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long, " + "".join(f"added_{k} long, " for k in ADDED) + "masked string"
+
+
+def _decided(text: str, model: Model) -> list[tuple[str, int, int, bool]]:
+    """Base spans, and the looser ones to which the classifier gives at least THRESHOLD."""
+    spans = candidates(text)
+    if all(x[3] for x in spans):
+        return spans
+    likely = model.probability(np.array([describe(text, *x) for x in spans]))
+    return [x for x, p in zip(spans, likely, strict=True) if x[3] or p >= THRESHOLD]
+
+
+def _candidate_text():
+    """The text, or null where it has no candidates, so that it needn't go to Python."""
+    return F.when(F.col("text").rlike(MAYBE), F.col("text"))
 
 
 def find(docs: DataFrame, model: Model, masked: bool = True) -> DataFrame:
-    """One row for each row of docs: counts and digest of the base spans, all spans, how many the classifier added, and the masked text.
+    """One row for each row of docs: counts and digest of the base spans, all spans, how many the classifier added (of each kind too), and the masked text.
 
     Base spans always stay; looser candidates are added if the classifier gives them at least THRESHOLD. Offsets are code
     points. A null or empty text has no spans; masked is null where nothing is to be masked, or if it isn't asked for.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = [x.split() for x in FOUND.split(", ")]
         for batch in batches:
             rows: list[tuple] = []
-            for text in batch["text"].to_pylist():
-                spans = candidates(text) if text else []
+            for text in batch["text"]:
+                text = text.as_py()
+                spans = _decided(text, model) if text else []
                 base = [x for x in spans if x[3]]
-                if len(base) < len(spans):
-                    likely = model.probability(np.array([describe(text, *x) for x in spans]))
-                    spans = [x for x, p in zip(spans, likely, strict=True) if x[3] or p >= THRESHOLD]
-                n = Counter(x[0] for x in base)
+                n, added = Counter(x[0] for x in base), Counter(x[0] for x in spans if not x[3])
                 digest = hashlib.sha256(_joined(base).encode()).hexdigest()
-                rows.append((*(n[k] for k in KINDS[:4]), digest, _joined(spans), len(spans) - len(base), mask(text, spans) if masked and spans else None))
-            kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), pa.string()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=[x.split()[0] for x in FOUND.split(", ")])
+                rows.append((*(n[k] for k in KINDS[:4]), digest, _joined(spans), len(spans), len(spans) - len(base), *(added[k] for k in ADDED), mask(text, spans) if masked and spans else None))
+            kinds = [pa.string() if x[1] == "string" else pa.int64() for x in fields[1:]]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=[x[0] for x in fields])
 
-    # A text without candidates needn't go to Python.
-    return docs.select("doc_id", F.when(F.col("text").rlike(MAYBE), F.col("text")).alias("text")).mapInArrow(run, FOUND)
+    return docs.select("doc_id", _candidate_text().alias("text")).mapInArrow(run, FOUND)
 
 
 def redact(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with each span replaced by its kind in brackets; other columns, and texts without spans, unchanged."""
+    """docs with each span replaced by its kind in brackets; other columns, and texts without spans, unchanged.
 
-    def masked(text: str | None) -> str | None:
-        spans = candidates(text) if text else []
-        if any(not x[3] for x in spans):
-            likely = model.probability(np.array([describe(text, *x) for x in spans]))
-            spans = [x for x, p in zip(spans, likely, strict=True) if x[3] or p >= THRESHOLD]
-        return mask(text, spans) if spans else text
+    Nulls stay null and empty texts empty. A column of docs may have any name: what the task gets besides is of one of its own.
+    """
+    maybe = "maybe"
+    while maybe in docs.columns:
+        maybe += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.schema.get_field_index("text")
-            texts = pa.array([masked(x) for x in batch["text"].to_pylist()], batch.schema.field("text").type)
-            yield batch.set_column(place, batch.schema.field("text"), texts)
+            flags = batch[maybe].to_pylist()
+            texts = [x.as_py() for x in batch["text"]]
+            texts = [mask(x, _decided(x, model)) if flag and x else x for x, flag in zip(texts, flags, strict=True)]
+            batch = batch.drop_columns([maybe])
+            yield batch.set_column(place, batch.schema.field("text"), pa.array(texts, batch.schema.field("text").type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.withColumn(maybe, F.col("text").rlike(MAYBE)).mapInArrow(run, docs.schema)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

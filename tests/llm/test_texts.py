@@ -4,10 +4,12 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from jobscope.llm import decontaminate, jaccard, langid, licenses, media, mixing, pii, substrings
 
@@ -432,6 +434,43 @@ def test_personal_data(spark):
     assert pii.redact(docs, model).columns == docs.columns and pii.find(docs.where("false"), pii.train(docs.where("false"))).count() == 0
 
 
+def test_loose_spans_in_linear_time():
+    text = " ".join(f"4111 1111 1111 1{k % 1000:03d}." for k in range(20_000))
+    began = time.process_time()
+    spans = pii.candidates(text)
+    assert len(spans) > 15_000 and time.process_time() - began < 5
+    covered = sorted(x[1:3] for x in spans)
+    assert all(a[1] <= b[0] for a, b in itertools.pairwise(covered))
+
+
+def test_added_spans(spark):
+    r = random.Random(4)
+    words = "the river house of stone and water where people meet in summer".split()
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    planted = {
+        "secret": lambda: r.choice([f"token = {hexes(40)}", f"api_key: AKIA{''.join(r.choice('ABCDEFGHIJKLMNOP234567') for _ in range(16))}", f"key ghp_{hexes(36)}"]),
+        "email": lambda: f"write to {r.choice(['ann', 'joe.b'])} {r.choice(['(at)', '[at]'])} mail{r.randint(1, 9)}{r.choice(['.', ' (dot) '])}com",
+        "phone": lambda: f"call ({r.randint(200, 989)}) {r.randint(200, 989)}-{r.randint(1000, 9999)}",
+        "iban": lambda: "iban DE89 3704 0044 0532 0130 00",
+        "national": lambda: f"ssn {r.randint(100, 665)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}",
+    }
+    filler = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows, kinds = [], {}
+    for k in range(300):
+        kind = r.choice(list(planted)) if k % 2 else None
+        kinds[k] = kind
+        rows.append((k, f"{filler(15)} {planted[kind]() if kind else f'in {r.randint(1000, 2100)} about {r.randint(1, 99)}.{r.randint(0, 9)} and 12-34-567'} {filler(15)}", "en", "a"))
+    rows += [(900, "key sk-abcdefghijKLMNOPQRSTuvwx for it", "en", "a"), (901, f"token {'abcdef' * 7} ok", "en", "a")]
+    docs = frame(spark, rows)
+    model = pii.train(docs)
+    got = {x.doc_id: x for x in pii.find(docs, model).collect()}
+    hits = [k for k, kind in kinds.items() if kind and got[k][f"added_{kind}"] > 0]
+    assert len(hits) >= 0.9 * sum(x is not None for x in kinds.values())
+    assert sum(got[k].n_spans > 0 for k, kind in kinds.items() if kind is None) == 0
+    masked = {x.doc_id: x.text for x in pii.redact(docs.withColumn("maybe", F.lit(1)), model).collect()}
+    assert all((got[k].masked or t) == masked[k] for k, t, *_ in rows) and "[SECRET]" in masked[900]
+
+
 def test_em_finds_reliable_labelers():
     r = np.random.default_rng(1)
     truth = r.random(4000) < 0.5
