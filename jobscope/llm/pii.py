@@ -34,8 +34,10 @@ SECRET = re.compile(
 )
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-#: A text without any of these has no candidates.
-MAYBE = r"[0-9@]|\Wdot\W|[(\[]at[)\]]|AKIA|[a-fA-F]{32}|\bgh[pousr]_|\bsk-|\bxox[abprs]-|\beyJ"
+#: What a text without digits needs for a candidate: an @, or one of these for a spelt email or a secret, or a long run of hex letters.
+_DIGIT, _HEX = re.compile(r"[0-9]"), re.compile(r"[a-fA-F]{32}")
+SPELT_SIGNS = ["dot", "(at)", "[at]"]
+SECRET_SIGNS = ["AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "eyJ"]
 #: Gazetteers: words that stand before such data, and usual ends of domains.
 CUES = {
     "email": {"email", "mail", "e", "contact", "write", "reach", "correo", "courriel", "kontakt", "contacto", "schreiben", "to"},
@@ -77,6 +79,8 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
             found.append(("email", begin, m.end()))
             done = m.end()
         at = text.find("@", max(at + 1, done))
+    if not _DIGIT.search(text):
+        return found, failed
     for m in IP.finditer(text):
         if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             found.append(("ip", *m.span()))
@@ -102,8 +106,15 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
         else:
             starts.append(start)
             ends.append(end)
-    patterns = (("phone", LOCAL_PHONE), ("secret", SECRET), ("iban", IBAN), ("national", NATIONAL), ("email", SPELT))
-    loose = [(kind, *m.span()) for kind, pattern in patterns[: 5 if "dot" in text or "at" in text else 4] for m in pattern.finditer(text)]
+    digits = _DIGIT.search(text) is not None
+    patterns = [("phone", LOCAL_PHONE), ("iban", IBAN), ("national", NATIONAL)] if digits else []
+    if digits or any(x in text for x in SECRET_SIGNS) or _HEX.search(text):
+        patterns.append(("secret", SECRET))
+    if any(x in text for x in SPELT_SIGNS):
+        patterns.append(("email", SPELT))
+    loose = [(kind, *m.span()) for kind, pattern in patterns for m in pattern.finditer(text)]
+    if not (loose or failed):
+        return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     done = 0
     for kind, start, end in sorted([*loose, *failed], key=lambda x: (x[1], KINDS.index(x[0]))):
         k = bisect_right(starts, start)
@@ -207,10 +218,10 @@ def train(docs: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = Counter(describe(t.as_py(), *c) for t in batch["text"] for c in candidates(t.as_py()))
+            seen = Counter(describe(t.as_py(), *c) for t in batch["text"] if t.is_valid for c in candidates(t.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.list_(pa.int8())), pa.array(list(seen.values()), pa.int64())], names=["described", "n"])
 
-    counts = docs.select("text").where(F.col("text").rlike(MAYBE)).mapInArrow(run, "described array<tinyint>, n long")
+    counts = docs.select("text").mapInArrow(run, "described array<tinyint>, n long")
     found = counts.groupBy("described").agg(F.sum("n").alias("n")).orderBy("described").collect()
     return fit(np.array([r["described"] for r in found], dtype=np.int64).reshape(-1, len(_SPAN)), np.array([r["n"] for r in found], dtype=np.float64))
 
@@ -247,11 +258,6 @@ def _decided(text: str, model: Model) -> list[tuple[str, int, int, bool]]:
     return [x for x, p in zip(spans, likely, strict=True) if x[3] or p >= THRESHOLD]
 
 
-def _candidate_text():
-    """The text, or null where it has no candidates, so that it needn't go to Python."""
-    return F.when(F.col("text").rlike(MAYBE), F.col("text"))
-
-
 def find(docs: DataFrame, model: Model, masked: bool = True) -> DataFrame:
     """One row for each row of docs: counts and digest of the base spans, all spans, how many the classifier added (of each kind too), and the masked text.
 
@@ -274,28 +280,23 @@ def find(docs: DataFrame, model: Model, masked: bool = True) -> DataFrame:
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=[x[0] for x in fields])
 
-    return docs.select("doc_id", _candidate_text().alias("text")).mapInArrow(run, FOUND)
+    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
 
 
 def redact(docs: DataFrame, model: Model) -> DataFrame:
     """docs with each span replaced by its kind in brackets; other columns, and texts without spans, unchanged.
 
-    Nulls stay null and empty texts empty. A column of docs may have any name: what the task gets besides is of one of its own.
+    Nulls stay null and empty texts empty.
     """
-    maybe = "maybe"
-    while maybe in docs.columns:
-        maybe += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.schema.get_field_index("text")
-            flags = batch[maybe].to_pylist()
             texts = [x.as_py() for x in batch["text"]]
-            texts = [mask(x, _decided(x, model)) if flag and x else x for x, flag in zip(texts, flags, strict=True)]
-            batch = batch.drop_columns([maybe])
+            texts = [mask(x, _decided(x, model)) if x else x for x in texts]
             yield batch.set_column(place, batch.schema.field("text"), pa.array(texts, batch.schema.field("text").type))
 
-    return docs.withColumn(maybe, F.col("text").rlike(MAYBE)).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
