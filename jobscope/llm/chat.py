@@ -56,10 +56,10 @@ def format_chats(turns: DataFrame, before: str = "<|im_start|>", after: str = "<
     prefixes = prefix_hashes(turns)
     turn = F.concat(F.lit(before), F.coalesce("role", F.lit("unknown")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(after + "\n"))
     kept = maximal(prefixes)
-    # Rendering first costs one pass over the partitioned turns, but lets the join carry one row per conversation.
-    rendered = prefixes.select("conv_id", F.struct(F.col("n_turns").alias("at"), turn.alias("turn")).alias("t")).groupBy("conv_id")
-    rendered = rendered.agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["turn"]), "").alias("rendered"))
-    return kept.join(rendered, "conv_id").select("conv_id", "n_turns", "n_copies", "rendered")
+    # Turns of what isn't kept go before anything is rendered.
+    left = prefixes.drop(*KEY[1:]).withColumnRenamed("n_turns", "at").join(kept, "conv_id")
+    rendered = left.groupBy("conv_id", "n_turns", "n_copies").agg(F.collect_list(F.struct("at", turn.alias("turn"))).alias("t"))
+    return rendered.select("conv_id", "n_turns", "n_copies", F.array_join(F.transform(F.array_sort("t"), lambda x: x["turn"]), "").alias("rendered"))
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
