@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import maybe_broadcast, scratch_path, staged
+from jobscope.llm.common import maybe_broadcast, scratch_path, slices, staged
 
 #: Payloads under so many bytes are never written as revisits.
 LEAST = 100
-#: Records of one archive file.
-FILE_RECORDS = 30_000
-#: First pages of repeated payloads that are few enough to broadcast.
-LOOKUP_ROWS = 200_000
 END = "\r\n\r\n"
+#: Fixed value: a gzip member without content, whose comment is this. It stands between the members of records, so that archives
+#: are plain files of gzip members, and yet Spark's text reader can cut them between records. It can't be part of UTF-8 text.
+BETWEEN = b"\x1f\x8b\x08\x10\x00\x00\x00\x00\x00\xff" + b"next record\x00" + b"\x03\x00" + bytes(8)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -39,8 +39,23 @@ def _urn(kind: str) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record as a gzip member."""
+    for batch in batches:
+        for part in slices(pc.binary_length(batch["record"]).to_pylist()):
+            out = []
+            for x in batch["record"].slice(part.start, part.stop - part.start):
+                c = zlib.compressobj(6, zlib.DEFLATED, 31)
+                out.append(c.compress(x.as_buffer()) + c.flush())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+
+
+def _text(reader_or_writer):
+    return reader_or_writer.option("lineSep", BETWEEN.decode("iso-8859-1")).option("encoding", "iso-8859-1")
+
+
 def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Writes a request, a response or revisit, and a metadata record for each row of pages, as gzip files of WARC records.
+    """Writes a request, a response or revisit, and a metadata record for each row of pages, as files of WARC records, each a gzip member of its own.
 
     Of rows whose payloads are equal and of at least LEAST bytes those with the smallest page_id (null last) are responses
     and the others revisits; all smaller payloads are responses. A null html is an empty payload, a null url an empty target.
@@ -51,7 +66,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", _uri().alias("uri"))
     seen = p.where(F.col("bytes") >= LEAST).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
     seen = staged(seen.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.uri").alias("first_uri"), F.lit(True).alias("repeated")), "payloads")
-    p = p.join(maybe_broadcast(seen, LOOKUP_ROWS), "digest", "left").withColumn("row", F.monotonically_increasing_id())
+    p = p.join(maybe_broadcast(seen), "digest", "left").withColumn("row", F.monotonically_increasing_id())
     revisit = F.coalesce("repeated", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     own, about = _urn("capture"), F.concat(F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), _uri())
     beside = F.concat(about, F.lit("\r\nWARC-Concurrent-To: "), own)
@@ -65,7 +80,8 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
     fields = F.concat(F.lit("page_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n"))
     metadata = _record(F.lit("metadata"), _urn("metadata"), F.concat(beside, F.lit("\r\nContent-Type: application/warc-fields")), fields)
     records = p.select(F.explode(F.array(request, capture, metadata)).alias("record"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    packed = records.select(F.concat("record", F.lit(END)).cast("binary").alias("record")).mapInArrow(_pack, "record binary")
+    _text(packed.select(F.col("record").cast("string")).write).text(path)
 
 
 RECORDS = "record_id string, type string, concurrent_to string, target_uri string, stored_digest string, page_id long, payload_bytes long, payload_digest string, payload binary"
@@ -89,32 +105,36 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """A row for each record of the archives under path; payload only if asked for, its size and digest always.
 
-    A response's payload is what follows the HTTP header. page_id comes from the fields of metadata records.
+    Archives are cut between records while reading, so they may be of any size; a record has to fit into memory. A response's
+    payload is what follows the HTTP header. page_id comes from the fields of metadata records.
     """
+    schema = pa.schema([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in RECORDS.split(", ")])
+
+    def row(h: dict[str, str], block: bytes) -> dict:
+        out = {"record_id": h["warc-record-id"], "type": h["warc-type"], "concurrent_to": h.get("warc-concurrent-to"), "target_uri": h.get("warc-target-uri")}
+        out["stored_digest"] = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
+        if h["warc-type"] == "response":
+            body = memoryview(block)[block.index(b"\r\n\r\n") + 4 :]
+            out |= {"payload_bytes": len(body), "payload_digest": hashlib.sha256(body).hexdigest(), "payload": bytes(body) if payloads else None}
+        elif h["warc-type"] == "metadata":
+            fields = dict(x.split(": ", 1) for x in block.decode().split("\r\n") if x)
+            out["page_id"] = int(fields["page_id"]) if fields.get("page_id") else None
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in RECORDS.split(", ")])
         for batch in batches:
-            for content in batch["content"]:
-                rows, size = [], 0
-                for h, block in parse(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
-                    row = {"record_id": h["warc-record-id"], "type": h["warc-type"], "concurrent_to": h.get("warc-concurrent-to"), "target_uri": h.get("warc-target-uri")}
-                    row["stored_digest"] = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
-                    if h["warc-type"] == "response":
-                        body = block[block.index(b"\r\n\r\n") + 4 :]
-                        row |= {"payload_bytes": len(body), "payload_digest": hashlib.sha256(body).hexdigest(), "payload": body if payloads else None}
-                        size += len(body) if payloads else 0
-                    elif h["warc-type"] == "metadata":
-                        fields = dict(x.split(": ", 1) for x in block.decode().split("\r\n") if x)
-                        row["page_id"] = int(fields["page_id"]) if fields.get("page_id") else None
-                    rows.append(row)
-                    if len(rows) >= 10_000 or size > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows, size = [], 0
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(run, RECORDS)
+            rows, size = [], 0
+            for packed in batch["packed"]:
+                for h, block in parse(io.BytesIO(zlib.decompress(packed.as_buffer(), 31))):
+                    rows.append(row(h, block))
+                    size += len(block) if payloads else 0
+                if len(rows) >= 10_000 or size > 8 << 20:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    files = _text(spark.read).text(path)
+    return files.select(F.col("value").cast("binary").alias("packed")).mapInArrow(run, RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:

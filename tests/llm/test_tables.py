@@ -44,12 +44,32 @@ def test_archives(spark, tmp_path):
     assert all((x.type, x.refers_to, x.payload_digest, x.payload_bytes) == ("revisit", 3, digest, len(page.encode())) for k in (5, 9, None) for x in by[k])
     assert [x.type for x in by[3]] == ["response", "response"] and by[3][0].payload == page.encode()
     assert by[1][0].type == by[2][0].type == "response" and by[7][0].payload_bytes == 0 and by[4][0].payload_bytes == 400_000
-    for f in (tmp_path / "w").glob("*.gz"):
-        assert all(h["warc-type"] in ("request", "response", "revisit", "metadata") for h, _ in warc.parse(io.BufferedReader(gzip.open(f))))
+    files = list((tmp_path / "w").glob("part-*"))
+    whole = [h["warc-type"] for f in files for h, _ in warc.parse(io.BufferedReader(gzip.open(f)))]  # any reader of gzip reads them
+    assert len(whole) == 3 * len(rows) and set(whole) == {"request", "response", "revisit", "metadata"}
+    members = [x for f in files for x in f.read_bytes().split(warc.BETWEEN) if x]
+    assert len(members) == len(whole) and all(gzip.decompress(x).startswith(b"WARC/1.1") for x in members)
     warc.write_archives(pages.where("false"), f"file://{tmp_path}/none")
     assert warc.assemble(warc.read_records(spark, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_large_pages_and_archives_cut_between_records(spark, tmp_path):
+    big = "".join(chr(32 + (k * k) % 90) for k in range(5000)) * 10_000  # 50 MB
+    pages = spark.createDataFrame([(k, f"http://x/{k}", f"<p>{k} " + "é" * (k % 400)) for k in range(3000)], "page_id long, url string, html string")
+    pages = pages.union(spark.createDataFrame([(5000, "http://big/", "x")], pages.schema).withColumn("html", F.repeat(F.lit(big[:5000]), 10_000)))
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(pages.coalesce(1), path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = warc.read_records(spark, path, payloads=False)
+        assert got.rdd.getNumPartitions() > 8
+        found = {x.page_id: x.response for x in warc.assemble(staged(got, "records")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(found) == 3001 and found[5000].payload_bytes == len(big) and found[5000].verified
+    assert all(found[k].payload_digest == hashlib.sha256(f"<p>{k} {'é' * (k % 400)}".encode()).hexdigest() for k in range(3000))
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 95), (7, 7), (200, 201), (201, 200), (300, 250)] + [(500 + k, 400) for k in range(30)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))

@@ -75,6 +75,18 @@ def test_substrings_of_small_vocabulary(spark, seed):
     assert order(map(tuple, got)) == order(brute_windows(rows))
 
 
+def test_substrings_of_a_hot_anchor(spark, monkeypatch):
+    r = random.Random(7)
+    line = " ".join(f"line{k}" for k in range(14))
+    words = lambda n: " ".join(f"u{r.randint(0, 30_000)}" for _ in range(n))
+    rows = [(k, f"{words(r.randint(0, 14))} {line} {words(r.randint(0, 14))}", "en", "a") for k in range(150)]
+    rows += [(200 + k, f"{words(3)} {rows[k * 3][1]} {words(4)}", "en", "a") for k in range(40)]
+    for hot in (2, 32, 1000):
+        monkeypatch.setattr(substrings, "HOT", hot)
+        got = substrings.remove_repeats(frame(spark, rows).repartition(4)).select("doc_id", "n_words", "n_removed", "kept_sha256", "text").collect()
+        assert order(map(tuple, got)) == order(brute_windows(rows))
+
+
 def shingles(text, n=5):
     w = [x.decode() for x in (text or "").encode().lower().split()]
     return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
