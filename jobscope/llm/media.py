@@ -18,8 +18,8 @@ from jobscope.llm.common import maybe_broadcast, mix64, slices, staged
 #: Bytes of the padding unit, and of a chunk: at least, on the way to the next cut on average, at most.
 UNIT, LEAST, MEAN_BITS, MOST = 64, 256, 10, 8192
 RATE = 8000
-#: Rows that share chunks with others are few enough to broadcast.
-LOOKUP_ROWS = 200_000
+#: A row is known by two hashes of it: one of 64 bits would be shared by different rows among very many.
+KEY = ["row_key", "row_crc"]
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -74,10 +74,10 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 def _list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece, _, _, digests in _payloads(batches):
-        yield pa.RecordBatch.from_arrays([piece["row_key"], pa.array(digests, pa.list_(pa.binary()))], names=["row_key", "digests"])
+        yield pa.RecordBatch.from_arrays([piece["row_key"], piece["row_crc"], pa.array(digests, pa.list_(pa.binary()))], names=[*KEY, "digests"])
 
 
-STORE = "row_key long, doc_id long, n_bytes long, media_head binary, digests array<binary>, own array<struct<place:int,bytes:binary>>, lent array<int>, borrowed array<int>"
+STORE = "row_key long, row_crc long, doc_id long, n_bytes long, media_head binary, digests array<binary>, own array<struct<place:int,bytes:binary>>, lent array<int>, borrowed array<int>"
 _OWN = pa.list_(pa.struct([("place", pa.int32()), ("bytes", pa.binary())]))
 
 
@@ -89,27 +89,27 @@ def _fill_store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             others = set(others)
             own.append([{"place": k, "bytes": c} for k, c in enumerate(parts) if k not in others])
         columns = [
-            piece["row_key"], piece["doc_id"], pc.fill_null(pc.cast(pc.binary_length(piece["text"]), pa.int64()), 0), pa.array([header(len(p)) for p in payloads], pa.binary()),
+            piece["row_key"], piece["row_crc"], piece["doc_id"], pc.fill_null(pc.cast(pc.binary_length(piece["text"]), pa.int64()), 0), pa.array([header(len(p)) for p in payloads], pa.binary()),
             pa.array(digests, pa.list_(pa.binary())), pa.array(own, _OWN), pa.array(lent, pa.list_(pa.int32())), pa.array(borrowed, pa.list_(pa.int32())),
         ]
-        yield pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", "n_bytes", "media_head", "digests", "own", "lent", "borrowed"])
+        yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "doc_id", "n_bytes", "media_head", "digests", "own", "lent", "borrowed"])
 
 
 def store(docs: DataFrame) -> DataFrame:
     """The chunk store, a written table: for each row of docs its ordered chunk digests and the bytes of the chunks it owns.
 
     Of equal chunks the one with the least (row, place) is stored; the others borrow it. Digests alone are shuffled to find
-    the owners; payload bytes are written where they are read. row_key is a hash of doc_id and text, so repeated rows agree.
+    the owners; payload bytes are written where they are read. A row's key is of its doc_id and text, so repeated rows agree.
     """
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("row_key"))
-    lists = staged(rows.select("row_key", "text").mapInArrow(_list_chunks, "row_key long, digests array<binary>"), "chunk-lists")
-    places = lists.select("row_key", F.posexplode("digests").alias("place", "digest"))
-    at = F.struct("row_key", "place")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("row_crc"))
+    lists = staged(rows.select(*KEY, "text").mapInArrow(_list_chunks, "row_key long, row_crc long, digests array<binary>"), "chunk-lists")
+    places = lists.select(*KEY, F.posexplode("digests").alias("place", "digest"))
+    at = F.struct(*KEY, "place")
     shared = places.groupBy("digest").agg(F.min(at).alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marks = places.join(maybe_broadcast(staged(shared, "shared-chunks"), LOOKUP_ROWS), "digest").withColumn("own", at == F.col("owner"))
-    marks = marks.groupBy("row_key").agg(F.collect_set(F.when(F.col("own"), F.col("place"))).alias("lent"), F.collect_set(F.when(~F.col("own"), F.col("place"))).alias("borrowed"))
-    marks = maybe_broadcast(staged(marks, "chunk-marks"), LOOKUP_ROWS)
-    return staged(rows.join(marks, "row_key", "left").mapInArrow(_fill_store, STORE), "chunk-store")
+    marks = places.join(maybe_broadcast(staged(shared, "shared-chunks")), "digest").withColumn("own", at == F.col("owner"))
+    marks = marks.groupBy(*KEY).agg(F.collect_set(F.when(F.col("own"), F.col("place"))).alias("lent"), F.collect_set(F.when(~F.col("own"), F.col("place"))).alias("borrowed"))
+    marks = maybe_broadcast(staged(marks, "chunk-marks"))
+    return staged(rows.join(marks, KEY, "left").mapInArrow(_fill_store, STORE), "chunk-store")
 
 
 def rebuild(stored: DataFrame) -> DataFrame:
@@ -118,9 +118,11 @@ def rebuild(stored: DataFrame) -> DataFrame:
     part = stored.where(F.size("borrowed") > 0)
     lent = stored.where(F.size("lent") > 0).select("digests", F.explode(F.filter("own", lambda x: F.array_contains("lent", x["place"]))).alias("c"))
     lent = lent.select(F.element_at("digests", F.col("c.place") + 1).alias("digest"), F.col("c.bytes").alias("bytes")).groupBy("digest").agg(F.first("bytes").alias("bytes"))
-    wanted = part.select("row_key", "digests", F.explode("borrowed").alias("place")).select("row_key", "place", F.element_at("digests", F.col("place") + 1).alias("digest")).distinct()
-    fetched = wanted.join(lent, "digest").groupBy("row_key").agg(F.collect_list(F.struct("place", "bytes")).alias("fetched"))
-    part = part.join(fetched, "row_key").withColumn("own", F.concat("own", "fetched")).drop("fetched")
+    # Written, so that it is sent to all or else has a plain shuffle: Spark can split those who want one and the same chunk.
+    lent = maybe_broadcast(staged(lent, "lent-chunks"))
+    wanted = part.select(*KEY, "digests", F.explode("borrowed").alias("place")).select(*KEY, "place", F.element_at("digests", F.col("place") + 1).alias("digest")).distinct()
+    fetched = wanted.join(lent, "digest").groupBy(*KEY).agg(F.collect_list(F.struct("place", "bytes")).alias("fetched"))
+    part = part.join(fetched, KEY).withColumn("own", F.concat("own", "fetched")).drop("fetched")
     return whole.unionByName(part).select("doc_id", "n_bytes", "media_head", "digests", F.col("own").alias("chunks"))
 
 
