@@ -23,7 +23,10 @@ NO_ID = (1 << 63) - 1
 #: A place is start << 32 | span << 28 | 28 bits of the text's CRC, which tells apart rows that share a doc_id.
 CRC = (1 << 28) - 1
 
-FOUND = "a long, b long, key long, place long, last long"
+#: An anchor that stands in so many runs of a stretch is in different runs for sure.
+HOT = 32
+#: state: 0 of most rows; 1 of runs of a hot anchor, which needn't meet at it; 2 of rows that only tell others of that anchor.
+FOUND = "a long, b long, key long, place long, last long, state int"
 
 
 def _places(starts: np.ndarray, spans: np.ndarray, crcs: np.ndarray) -> np.ndarray:
@@ -64,8 +67,12 @@ class _Text:
         return whole, mix64(halves)
 
 
-def _settle(a: np.ndarray, b: np.ndarray, key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """Of rows with equal hashes a, b only those at the least (key, start) stay candidates; the others repeat these and are merged to intervals."""
+def _settle(a: np.ndarray, b: np.ndarray, key: np.ndarray, place: np.ndarray, anchors: bool) -> pa.RecordBatch:
+    """Of rows with equal hashes a, b only those at the least (key, start) stay candidates; the others repeat these and are merged to intervals.
+
+    With anchors, candidates of an anchor a with HOT runs and more are grouped by their run, not at the anchor; two rows in
+    their place tell the group of the anchor that it has different runs.
+    """
     start, span = place >> 32, place >> 28 & 15
     order = np.lexsort((place, key, b, a))
     a, b, key, place, start, span = (x[order] for x in (a, b, key, place, start, span))
@@ -84,24 +91,35 @@ def _settle(a: np.ndarray, b: np.ndarray, key: np.ndarray, place: np.ndarray) ->
     k, place2 = k[first], _places(s[first], np.zeros(len(first), dtype=np.int64), c[first])
     spread = mix64(k.astype(np.uint64) * np.uint64(31) + place2.astype(np.uint64))
     n = int(keep.sum())
+    own, state = a[keep], np.zeros(n, dtype=np.int32)
+    told = own[:0]
+    if anchors and n:
+        heads = np.flatnonzero(np.diff(own, prepend=own[0] + np.uint64(1)) != 0)  # rows are in the order of a
+        size = np.diff(np.append(heads, n))
+        state = np.repeat(size >= HOT, size).astype(np.int32)
+        told = np.repeat(own[heads][size >= HOT], 2)
+        own = np.where(state == 1, mix64(own * np.uint64(3) + b[keep]), own)
+    zero = np.zeros(len(told), dtype=np.int64)
+    pairs = (np.arange(len(told)) % 2).astype(np.uint64)
     return pa.RecordBatch.from_pydict({
-        "a": pa.array(np.concatenate([a[keep], spread]).view(np.int64)),
-        "b": pa.array(np.concatenate([b[keep], spread]).view(np.int64)),
-        "key": pa.array(np.concatenate([key[keep], k])),
-        "place": pa.array(np.concatenate([place[keep], place2])),
-        "last": pa.array(np.concatenate([np.zeros(n, dtype=np.int64), last]), mask=np.arange(n + len(first)) < n),
+        "a": pa.array(np.concatenate([own, spread, told]).view(np.int64)),
+        "b": pa.array(np.concatenate([b[keep], spread, pairs]).view(np.int64)),
+        "key": pa.array(np.concatenate([key[keep], k, zero])),
+        "place": pa.array(np.concatenate([place[keep], place2, zero])),
+        "last": pa.array(np.concatenate([np.zeros(n, dtype=np.int64), last, zero]), mask=(np.arange(n + len(first) + len(told)) < n) | (np.arange(n + len(first) + len(told)) >= n + len(first))),
+        "state": pa.array(np.concatenate([state, np.zeros(len(first), dtype=np.int32), np.full(len(told), 2, dtype=np.int32)])),
     })
 
 
-def _settled(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+def _settled(parts: Iterator[tuple[np.ndarray, ...]], anchors: bool) -> Iterator[pa.RecordBatch]:
     held = []
     for part in parts:
         held.append(part)
         if len(held) == SLICES:
-            yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)), anchors)
             held = []
     if held:
-        yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)), anchors)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +137,7 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, low, high, a, b = t.runs()
             yield a, b, batch["key"].to_numpy()[row], _places(low - t.words.first[row], high - low, t.crcs[row])
 
-    yield from _settled(parts())
+    yield from _settled(parts(), True)
 
 
 def _find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +152,7 @@ def _find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             a, b = t.windows(low + t.words.first[row])
             yield a, b, batch["key"].to_numpy()[row], _places(low, np.zeros_like(low), t.crcs[row])
 
-    yield from _settled(parts())
+    yield from _settled(parts(), False)
 
 
 RESULT = "doc_id long, text string, n_words long, n_removed long, kept_sha256 string"
@@ -173,8 +191,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     # Runs with equal hashes are extended on both sides alike, so all of their windows repeat those of the first.
     found = found.withColumn("repeat", repeated(["a", "b"]))
     every = Window.partitionBy("a")
-    found = found.withColumn("mixed", F.min("b").over(every) != F.max("b").over(every))
-    found = staged(found.where("repeat or mixed").select("key", "place", "last", "repeat"), "runs")
+    found = found.withColumn("mixed", (F.col("state") == 1) | (F.min("b").over(every) != F.max("b").over(every)))
+    found = staged(found.where("(repeat or mixed) and state < 2").select("key", "place", "last", "repeat"), "runs")
     # Where one anchor stands in different runs, the match may end inside: the first of each kind are compared window by window.
     edges = found.where("not repeat").groupBy("key", F.col("place").bitwiseAND(CRC).alias("crc")).agg(F.collect_set("place").alias("places"))
     windows = docs.join(edges, ["key", "crc"]).select("key", "text", "places").mapInArrow(_find_windows, FOUND)
