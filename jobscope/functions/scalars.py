@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jobscope.schema import AI_OPERATIONS, MIME, RECORD_FILES, RESULT_TTL
+from jobscope.schema import AI_OPERATIONS, FORMATS, MIME, RECORD_FILES, RESULT_TTL
 
 
 def iso(ts: Column) -> Column:
@@ -48,11 +48,11 @@ def _lookup(pairs: dict[str, str], key: Column, default: str) -> Column:
 
 
 def image_extension(fmt: Column) -> Column:
-    return _lookup({"jpeg": ".jpg", "jpg": ".jpg", "png": ".png", "webp": ".webp"}, fmt, ".png")
+    return _lookup({k: x for k, (x, _) in FORMATS.items()}, fmt, ".png")
 
 
 def image_format(fmt: Column) -> Column:
-    return _lookup({"jpeg": "JPEG", "jpg": "JPEG", "png": "PNG", "webp": "WEBP"}, fmt, "PNG")
+    return _lookup({k: x for k, (_, x) in FORMATS.items()}, fmt, "PNG")
 
 
 def mime(suffix: Column) -> Column:
@@ -135,34 +135,45 @@ def options_valid(options: Column) -> Column:
 def option_columns(options: Column, operation: Column) -> dict[str, Column]:
     """Options with the defaults and limits of the operation, and options_error, the code that they end the job with.
 
-    A number that can't be read is an INTERNAL_ERROR, but for scale, which is checked before the job is queued.
+    A number that can't be read (a JSON null too) is an INTERNAL_ERROR where it is used, but for scale, which is checked before
+    the job is queued. A quality is only used where an image is written anew: not for an upscaled or cut out image that
+    stays a PNG. mode, pageSize and orientation are taken as written; any mode but each, or none, asks for ranges.
     """
     v = F.try_parse_json(options)
 
+    def raw(key: str) -> Column:
+        return F.try_variant_get(v, f"$.{key}", "variant")
+
     def text(key: str, default: Column) -> Column:
-        return F.lower(F.coalesce(F.try_variant_get(v, f"$.{key}", "string"), default))
+        return F.coalesce(F.when(F.is_variant_null(raw(key)), "None"), F.try_variant_get(v, f"$.{key}", "string"), default)
 
     def number(key: str, default: int) -> Column:
-        present = F.try_variant_get(v, f"$.{key}", "string").isNotNull()
-        return F.when(present, F.try_variant_get(v, f"$.{key}", "bigint")).otherwise(F.lit(default).cast("long"))
+        return F.when(raw(key).isNotNull(), F.try_variant_get(v, f"$.{key}", "bigint")).otherwise(F.lit(default).cast("long"))
+
+    def side(key: str) -> Column:
+        nothing = F.is_variant_null(raw(key)) | (F.try_variant_get(v, f"$.{key}", "string") == "")
+        return F.when(nothing, F.lit(0).cast("long")).otherwise(number(key, 0))
 
-    def of(name: str) -> Column:
-        return operation == name
+    def of(*names: str) -> Column:
+        return operation.isin(*names)
 
-    default = F.when(of("upscale"), "jpeg").when(of("remove-background") | of("pdf-to-images"), "png").otherwise(F.lit("webp"))
-    fmt, quality, scale, dpi, margin = text("format", default), number("quality", 100), number("scale", 2), number("dpi", 150), number("margin", 10)
-    width, height = number("maxWidth", 0), number("maxHeight", 0)
+    default = F.when(of("upscale"), "jpeg").when(of("remove-background", "pdf-to-images"), "png").otherwise(F.lit("webp"))
+    fmt = F.lower(text("format", default))
+    quality, scale, dpi, margin, width, height = number("quality", 100), number("scale", 2), number("dpi", 150), number("margin", 10), side("maxWidth"), side("maxHeight")
     unsupported, invalid, internal = F.lit("UNSUPPORTED_FORMAT"), F.lit("INVALID_FILE"), F.lit("INTERNAL_ERROR")
+    image = fmt.isin(*FORMATS)
     error = (
-        F.when(of("image-convert") & ~fmt.isin("jpg", "jpeg", "png", "webp"), unsupported)
+        F.when(of("image-convert") & ~image, unsupported)
         .when(of("image-convert") & (quality.isNull() | width.isNull() | height.isNull()), internal)
         .when(of("upscale") & ~F.coalesce(scale.isin(2, 4), F.lit(False)), invalid)
-        .when(operation.isin("upscale", "pdf-to-images") & ~fmt.isin("jpg", "jpeg", "png", "webp"), unsupported)
+        .when(of("upscale", "pdf-to-images") & ~image, unsupported)
+        .when(of("upscale") & (fmt != "png") & quality.isNull(), internal)
         .when(of("remove-background") & ~fmt.isin("png", "webp"), unsupported)
+        .when(of("remove-background") & (fmt == "webp") & quality.isNull(), internal)
         .when(of("images-to-pdf") & margin.isNull(), internal)
         .when(of("pdf-to-images") & dpi.isNull(), internal)
         .when(of("pdf-to-images") & ~dpi.isin(150, 300), invalid)
-        .when(operation.isin("upscale", "remove-background", "pdf-to-images") & quality.isNull(), internal)
+        .when(of("pdf-to-images") & quality.isNull(), internal)
     )
     return {
         "format": fmt,
@@ -172,7 +183,7 @@ def option_columns(options: Column, operation: Column) -> dict[str, Column]:
         "scale": scale,
         "dpi": dpi,
         "margin": F.when(margin.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(30), margin))),
-        "mode": F.when(text("mode", F.lit("each")) == "each", "each").otherwise("ranges"),
+        "mode": F.when(F.coalesce(F.try_variant_get(v, "$.mode", "string") == "each", F.lit(False)), "each").otherwise("ranges"),
         "page_size": text("pageSize", F.lit("a4")),
         "orientation": text("orientation", F.lit("auto")),
         "options_error": error,

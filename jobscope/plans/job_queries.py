@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobscope.functions import geometry as g
@@ -11,6 +11,7 @@ from jobscope.functions.scalars import iso
 from jobscope.operators import admission, pages, retention, validate
 from jobscope.sources import adapters as a
 from jobscope.sources import files as sources
+from jobscope.sources.scratch import scratch_path
 
 DAY_S = 86_400
 #: Limits of the fixture, so that each rule bites.
@@ -98,7 +99,9 @@ def record_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 _OPTION = """case when event_id % 11 = 0 then '[1, 2]' when event_id % 11 = 1 then '{"k": ' when event_id % 11 = 2 then '{"quality": ' || event_id::varchar || ', "format": "PNG", "scale": 4}'
-  when event_id % 11 = 3 then '{"quality": "high", "margin": 90}' when event_id % 11 = 4 then '{"format": "gif", "dpi": 300, "mode": "ranges", "quality": 0}' when event_id % 11 = 5 then null else props end"""
+  when event_id % 11 = 3 then '{"quality": "high", "margin": 90}' when event_id % 11 = 4 then '{"format": "gif", "dpi": 300, "mode": "ranges", "quality": 0}' when event_id % 11 = 5 then null
+  when event_id % 11 = 6 then '{"mode": "each", "pageSize": "original", "orientation": "Landscape", "format": "png", "quality": "bad"}' when event_id % 11 = 7 then '{"mode": "EACH", "format": "webp", "quality": "bad", "maxWidth": null, "margin": "7"}'
+  when event_id % 11 = 8 then '{"quality": null, "format": null, "pageSize": "A4"}' when event_id % 11 = 9 then '{"maxWidth": "640", "maxHeight": 480.9, "scale": 3, "dpi": "300"}' else props end"""
 
 
 _OPTION_OPERATIONS = ["image-convert", "upscale", "remove-background", "images-to-pdf", "pdf-to-images"]
@@ -111,17 +114,33 @@ def option_values(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", "operation", scalars.options_valid(F.col("options")).alias("valid"), *[c.alias(n) for n, c in columns.items()])
 
 
+def _whole(key: str, default: int) -> str:
+    """A number of the JSON j cut down to a whole one; null if it can't be read."""
+    x = f"(j ->> '$.{key}')"
+    return f"""case json_type(j, '$.{key}') when 'VARCHAR' then case when regexp_full_match({x}, '\\s*[+-]?\\d+\\s*') then trim({x})::bigint end when 'DOUBLE' then trunc({x}::double)::bigint
+      when 'BOOLEAN' then ({x} = 'true')::bigint when 'UBIGINT' then {x}::bigint when 'BIGINT' then {x}::bigint when 'NULL' then null else case when j is null or json_type(j, '$.{key}') is null then {default} end end"""
+
+
+def _str(key: str, default: str) -> str:
+    return f"case when json_type(j, '$.{key}') = 'NULL' then 'None' else coalesce(j ->> '$.{key}', {default}) end"
+
+
 OPTION_SQL = f"""with e as (select event_id, {_OPTION_OPERATIONS}[event_id % 5 + 1] operation, {_OPTION} o from events),
-p as (select event_id, operation, o is not null and json_valid(o) and json_type(case when json_valid(o) then o end) = 'OBJECT' valid, case when json_valid(o) then o end j from e),
+p as (select event_id, operation, o is not null and json_valid(o) and json_type(case when json_valid(o) then o end) = 'OBJECT' valid, case when json_valid(o) then o end::json j from e),
 v as (
-  select *, lower(coalesce(j ->> '$.format', case operation when 'upscale' then 'jpeg' when 'remove-background' then 'png' when 'pdf-to-images' then 'png' else 'webp' end)) format,
-    case when j ->> '$.quality' is null then 100 else try_cast(j ->> '$.quality' as bigint) end q, coalesce((j ->> '$.scale')::bigint, 2) scale, coalesce((j ->> '$.dpi')::bigint, 150) dpi
+  select *, lower({_str("format", "case operation when 'upscale' then 'jpeg' when 'remove-background' then 'png' when 'pdf-to-images' then 'png' else 'webp' end")}) format, {_whole("quality", 100)} q, {_whole("scale", 2)} sc, {_whole("dpi", 150)} d,
+    {_whole("margin", 10)} m, case when json_type(j, '$.maxWidth') = 'NULL' or j ->> '$.maxWidth' = '' then 0 else {_whole("maxWidth", 0)} end w, case when json_type(j, '$.maxHeight') = 'NULL' or j ->> '$.maxHeight' = '' then 0 else {_whole("maxHeight", 0)} end h
   from p)
-select event_id, operation, coalesce(valid, false) valid, format, (case when operation = 'image-convert' then case when q is not null then greatest(1, least(100, q)) end else q end)::bigint quality, 0::bigint max_width, 0::bigint max_height, scale, dpi,
-  greatest(0, least(30, coalesce((j ->> '$.margin')::bigint, 10)))::bigint margin, case when coalesce(j ->> '$.mode', 'each') = 'each' then 'each' else 'ranges' end as mode, 'a4' page_size, 'auto' orientation,
-  case when operation = 'image-convert' and format not in ('jpg', 'jpeg', 'png', 'webp') then 'UNSUPPORTED_FORMAT' when operation = 'image-convert' and q is null then 'INTERNAL_ERROR'
-    when operation = 'upscale' and scale not in (2, 4) then 'INVALID_FILE' when operation in ('upscale', 'pdf-to-images') and format not in ('jpg', 'jpeg', 'png', 'webp') then 'UNSUPPORTED_FORMAT' when operation = 'remove-background' and format not in ('png', 'webp') then 'UNSUPPORTED_FORMAT'
-    when operation = 'pdf-to-images' and dpi not in (150, 300) then 'INVALID_FILE' when operation in ('upscale', 'remove-background', 'pdf-to-images') and q is null then 'INTERNAL_ERROR' end options_error
+select event_id, operation, coalesce(valid, false) valid, format, (case when operation = 'image-convert' and q is not null then greatest(1, least(100, q)) else q end)::bigint quality,
+  (case when w is not null then greatest(0, w) end)::bigint max_width, (case when h is not null then greatest(0, h) end)::bigint max_height, sc::bigint scale, d::bigint dpi, (case when m is not null then greatest(0, least(30, m)) end)::bigint margin,
+  case when j ->> '$.mode' = 'each' then 'each' else 'ranges' end as mode, {_str("pageSize", "'a4'")} page_size, {_str("orientation", "'auto'")} orientation,
+  case operation
+    when 'image-convert' then case when format not in ('jpg', 'jpeg', 'png', 'webp') then 'UNSUPPORTED_FORMAT' when q is null or w is null or h is null then 'INTERNAL_ERROR' end
+    when 'upscale' then case when sc is null or sc not in (2, 4) then 'INVALID_FILE' when format not in ('jpg', 'jpeg', 'png', 'webp') then 'UNSUPPORTED_FORMAT' when format <> 'png' and q is null then 'INTERNAL_ERROR' end
+    when 'remove-background' then case when format not in ('png', 'webp') then 'UNSUPPORTED_FORMAT' when format = 'webp' and q is null then 'INTERNAL_ERROR' end
+    when 'images-to-pdf' then case when m is null then 'INTERNAL_ERROR' end
+    when 'pdf-to-images' then case when format not in ('jpg', 'jpeg', 'png', 'webp') then 'UNSUPPORTED_FORMAT' when d is null then 'INTERNAL_ERROR' when d not in (150, 300) then 'INVALID_FILE' when q is null then 'INTERNAL_ERROR' end
+  end options_error
 from v"""
 
 
@@ -166,20 +185,27 @@ def image_geometry(spark: SparkSession, d: str) -> DataFrame:
     i, w, h = a.images(spark, d), F.col("width"), F.col("height")
     orientation = F.element_at(F.array(*[F.lit(x) for x in ("auto", "portrait", "landscape")]), (F.col("image_id") % 3 + 1).cast("int"))
     out = i.select(
-        "image_id", g.thumbnail(w, h, F.lit(1200), F.lit(0)).alias("t"), g.a4_layout(w, h, orientation, F.col("image_id") % 40).alias("a"), g.upscaled(w, h, F.col("scale")).alias("u"), g.mask_size(w, h).alias("m"), g.render_size(w.cast("double"), F.lit(150)).alias("rendered"),
+        "image_id", g.thumbnail(w, h, F.lit(1200), F.lit(0)).alias("t"), g.page_layout(w, h, F.when(F.col("image_id") % 7 == 0, "original").otherwise("a4"), orientation, F.col("image_id") % 40).alias("a"),
+        g.thumbnail(w, h, F.lit(97), F.lit(61)).alias("s"), g.upscaled(w, h, F.col("scale")).alias("u"), g.mask_size(w, h).alias("m"), g.render_size(w.cast("double"), F.lit(150)).alias("rendered"),
     )
-    return out.select("image_id", F.col("t.width").alias("thumb_w"), F.col("t.height").alias("thumb_h"), "a.page_width", "a.page_height", F.col("a.width").alias("on_page_w"), F.col("a.height").alias("on_page_h"), "a.x", "a.y", F.col("u.width").alias("up_w"), F.col("m.width").alias("mask_w"), F.col("m.height").alias("mask_h"), "rendered")
+    return out.select("image_id", F.col("t.width").alias("thumb_w"), F.col("t.height").alias("thumb_h"), F.col("s.width").alias("small_w"), F.col("s.height").alias("small_h"), "a.page_width", "a.page_height", F.col("a.width").alias("on_page_w"), F.col("a.height").alias("on_page_h"), "a.x", "a.y", F.col("u.width").alias("up_w"), F.col("m.width").alias("mask_w"), F.col("m.height").alias("mask_h"), "rendered")
 
 
 GEOMETRY_SQL = f"""with {a.IMAGES_SQL},
 l as (select *, image_id % 3 = 2 or image_id % 3 = 0 and width > height land, round_even(greatest(0, least(30, image_id % 40)) / 25.4::double * 150, 0)::bigint m, least(1200, width) lw, greatest(width, height) side from images),
 p as (select *, case when land then 1754 else 1240 end pw, case when land then 1240 else 1754 end ph from l),
 r as (select *, pw - 2 * m rw, ph - 2 * m rh from p),
-f as (select *, case when rw * height <= rh * width then rw else greatest(1, round_even(width * rh / height::double, 0))::bigint end fw, case when rw * height <= rh * width then greatest(1, round_even(height * rw / width::double, 0))::bigint else rh end fh from r)
-select image_id, lw thumb_w, (case when lw * height <= height * width then greatest(1, round_even(height * lw / width::double, 0)) else height end)::bigint thumb_h, pw::bigint page_width, ph::bigint page_height, fw on_page_w, fh on_page_h,
-  floor((pw - fw) / 2)::bigint x, floor((ph - fh) / 2)::bigint y, width * scale up_w,
+f as (select *, case when rw * height <= rh * width then rw else greatest(1, round_even(width * rh / height::double, 0))::bigint end fw, case when rw * height <= rh * width then greatest(1, round_even(height * rw / width::double, 0))::bigint else rh end fh, width / height::double asp from r),
+z as (select image_id, 0 k, width w, height h, asp, least(1200, width) x, height y from f union all select image_id, 1, width, height, asp, least(97, width), least(61, height) from f),
+c as (select *, x >= w and y >= h fits, x / y::double >= asp by_height, y * asp nx, x / asp ny from z),
+th as (
+  select image_id, k, (case when fits then w when not by_height then x when floor(nx) = 0 or abs(asp - floor(nx) / y) <= abs(asp - ceil(nx) / y) then greatest(1, floor(nx)) else ceil(nx) end)::bigint tw,
+    (case when fits then h when by_height then y when floor(ny) = 0 then 1 when abs(asp - x / floor(ny)) <= abs(asp - x / ceil(ny)) then floor(ny) else ceil(ny) end)::bigint th from c)
+select image_id, t.tw thumb_w, t.th thumb_h, s.tw small_w, s.th small_h, (case when image_id % 7 = 0 then width else pw end)::bigint page_width, (case when image_id % 7 = 0 then height else ph end)::bigint page_height,
+  case when image_id % 7 = 0 then width else fw end on_page_w, case when image_id % 7 = 0 then height else fh end on_page_h,
+  (case when image_id % 7 = 0 then 0 else floor((pw - fw) / 2) end)::bigint x, (case when image_id % 7 = 0 then 0 else floor((ph - fh) / 2) end)::bigint y, width * scale up_w,
   (case when side > 512 then floor(width * (512::double / side)) else width end)::bigint mask_w, (case when side > 512 then floor(height * (512::double / side)) else height end)::bigint mask_h, ceil(width::double * 150 / 72)::bigint rendered
-from f"""
+from f join th t using (image_id) join th s using (image_id) where t.k = 0 and s.k = 1"""
 
 
 def png_probe(spark: SparkSession, d: str) -> DataFrame:
@@ -188,8 +214,9 @@ def png_probe(spark: SparkSession, d: str) -> DataFrame:
     size = F.concat(*[F.unhex(F.lpad(F.hex(F.col(c)), 8, "0")) for c in ("width", "height")])
     head = F.when(F.col("image_id") % 7 == 0, F.lit(b"\x89PNG\r\n\x1a\r")).otherwise(F.lit(b"\x89PNG\r\n\x1a\n"))
     content = F.concat(head, F.lit(b"\0\0\0\rIHDR"), size, F.lit(b"\x08\x02\0\0\0"), F.lit(b"\0\0\0\0IEND\xaeB`\x82"))
-    p = i.select("image_id", "width", responses.png_probe(content).alias("p"), F.octet_length(content).cast("long").alias("n_bytes"))
-    return p.select("image_id", F.col("p.width").alias("got_width"), F.col("p.height").alias("got_height"), "n_bytes")
+    wrong = responses.upscaled_code(content, F.col("width") + F.when(F.col("image_id") % 5 == 0, 1).otherwise(0), F.col("height"))
+    p = i.select("image_id", "width", responses.png_probe(content).alias("p"), F.octet_length(content).cast("long").alias("n_bytes"), wrong.alias("wrong"))
+    return p.select("image_id", F.col("p.width").alias("got_width"), F.col("p.height").alias("got_height"), "n_bytes", F.col("wrong.code").alias("code"), F.to_json("wrong.details").alias("details"))
 
 
 def response_triage(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +225,7 @@ def response_triage(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(k == 0, 500).otherwise(200)
     body = F.when(k == 1, F.lit('  {"detail": "CUDA Out of Memory"}')).when(k == 2, F.lit('{"detail": "busy"}')).when(k == 3, F.concat(F.lit('{"result_image": "'), F.base64(F.col("event_type").cast("binary")), F.lit('"}'))).when(k == 4, F.lit('{"result_image": "aGk"}')).otherwise(F.lit("PNG"))
     kind = F.when(k == 5, F.lit("application/JSON")).otherwise(F.lit("image/png"))
-    return e.select("event_id", responses.triage(status, kind, body).alias("code"), F.decode(responses.base64_payload(body), "UTF-8").alias("payload"))
+    return e.select("event_id", responses.triage(status, kind, body).alias("code"), F.decode(responses.base64_payload(body), "UTF-8").alias("payload"), responses.background_code(status, body).alias("background_code"))
 
 
 def file_validation(spark: SparkSession, d: str) -> DataFrame:
@@ -228,8 +255,46 @@ def job_validation(spark: SparkSession, d: str) -> DataFrame:
 _JOB_RULES = "jr as (select job_id, count(*) n_files, case when job_id % 10 = 0 then 'INVALID_FILE' when job_id % 9 = 0 then 'ACTIVE_JOB_EXISTS' when job_id % 8 = 0 then 'RATE_LIMITED' end job_code from files group by job_id)"
 
 
+def checked_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files, most with an extension that their operation takes, and with what their content shows, made up from the number of the document."""
+    f = a.files(spark, d).withColumn("k", F.col("job_id") * 8 + F.col("idx") - 1)
+    k = F.col("k")
+
+    def one_of(*values: str) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+
+    fitting = F.when(F.col("operation").isin("image-convert", "upscale"), one_of(".png", ".jpg", ".webp")).when(F.col("operation") == "pdf-merge", ".pdf").otherwise(one_of(".pdf", ".docx", ".rtf"))
+    f = f.withColumn("ext", F.when(k % 29 == 0, ".xyz").otherwise(fitting))
+    head = F.when(k % 17 == 0, "").when(F.col("ext") == ".pdf", "%PDF-").otherwise("{\\rtf")
+    content = F.concat(head, F.coalesce("text", F.lit(""))).cast("binary")
+    names = F.when(k % 23 != 0, F.array(F.when(k % 37 == 0, "mimetype").otherwise("word/document.xml")))
+    width, height = F.when(k % 31 != 0, 1000 + k % 60 * 300), F.lit(6000)
+    signature = validate.signature_code(F.col("ext"), content, k % 19 == 0, F.col("size") / 20, width, height, names)
+    scale = F.when(k % 41 == 0, 3).when(F.col("job_id") % 3 == 0, 4).otherwise(2)
+    f = f.withColumn("signature_code", signature).withColumn("upscale_code", validate.upscale_code(width, height, scale)).withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return validate.malware_code(f, f.where("k % 43 = 0").select(F.col("content_hash").alias("hash"))).drop("content_hash", "k")
+
+
 def classify_jobs(spark: SparkSession, d: str) -> DataFrame:
-    return validate.classify(validate.file_rules(a.files(spark, d), LIMITS), validate.job_rules(_job_rules(spark, d)))
+    limits = validate.Limits(image=4_000, document=8_000, job=12_000, chunk=1_000)
+    return validate.classify(validate.file_rules(checked_files(spark, d), limits), validate.job_rules(_job_rules(spark, d)))
+
+
+_CHECKED = _FILE_RULES.replace("20000", "12000").replace("lim from files)", "lim from kf)").replace(",\nrb as", """,
+kf as (select * replace (case when (job_id * 8 + idx - 1) % 29 = 0 then '.xyz' when operation in ('image-convert', 'upscale') then ['.png', '.jpg', '.webp'][(job_id * 8 + idx - 1) % 3 + 1] when operation = 'pdf-merge' then '.pdf'
+  else ['.pdf', '.docx', '.rtf'][(job_id * 8 + idx - 1) % 3 + 1] end as ext), job_id * 8 + idx - 1 k, sha256(coalesce(text, '')) hash from files),
+rb as""")
+CLASSIFY_SQL = f"""with {_CHECKED}, {_JOB_RULES},
+ck as (
+  select job_id, idx,
+    case when ext = '.pdf' then case when k % 17 = 0 then 'INVALID_FILE' when k % 19 = 0 then 'PDF_PASSWORD_PROTECTED' when size / 20 > 250 then 'PDF_TOO_MANY_PAGES' end
+      when ext in ('.png', '.jpg', '.webp') then case when k % 31 = 0 then 'INVALID_FILE' when (1000 + k % 60 * 300) * 6000 > 100000000 then 'IMAGE_TOO_LARGE' end
+      when ext = '.docx' then case when k % 23 = 0 or k % 37 = 0 then 'INVALID_FILE' end when ext = '.rtf' then case when k % 17 = 0 then 'INVALID_FILE' end end signature,
+    case when operation = 'upscale' then case when k % 41 = 0 then 'INVALID_FILE' when k % 31 <> 0 and (1000 + k % 60 * 300) * 6000 * (case when job_id % 3 = 0 then 16 else 4 end) > 420000000 then 'IMAGE_TOO_LARGE' end end upscale,
+    case when hash in (select hash from kf where k % 43 = 0) then 'MALWARE_DETECTED' end malware
+  from kf),
+al as (select fr.job_id, fr.idx, coalesce(unsupported, too_large, empty, signature, upscale, malware) code from fr join ck using (job_id, idx))
+select jr.job_id, coalesce(job_code, c.code) error_code from jr left join (select job_id, arg_min(code, idx) code from al where code is not null group by 1) c on c.job_id = jr.job_id"""
 
 
 def document_gates(spark: SparkSession, d: str) -> DataFrame:
@@ -361,8 +426,16 @@ def archives(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_scan(spark: SparkSession, d: str) -> DataFrame:
-    out = sources.scan(spark, d)
-    return out.select(F.regexp_extract("path", r"([^/]+)/?[^/]*$", 1).alias("folder"), "ext", "size").groupBy("ext").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    """The texts of documents as a corpus of files in the shared folder, scanned with their content: per language and extension, files, bytes and lines."""
+    ext = F.when(F.col("doc_id") % 2 == 0, "txt").otherwise("md")
+    docs = a.table(spark, d, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), ext.alias("ext"), F.coalesce(F.col("text"), F.lit("")).alias("value"))
+    folder = scratch_path(spark, "corpus")
+    for kind in ("txt", "md"):
+        docs.where(F.col("ext") == kind).select("lang", "value").write.partitionBy("lang").option("maxRecordsPerFile", 10_000).option("lineSep", "\u0003").text(f"{folder}/{kind}")
+    out = sources.scan(spark, folder, content=True).where("size > 0")
+    found = out.select(F.regexp_extract("path", r"/(txt|md)/lang=", 1).alias("ext"), F.regexp_extract("path", r"lang=([^/]+)/", 1).alias("lang"), "size", F.decode("content", "UTF-8").alias("content"))
+    texts = F.size(F.split("content", "\u0003")) - 1
+    return found.groupBy("ext", "lang").agg(F.sum(texts).alias("n"), F.sum(F.col("size") - texts).alias("bytes"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -384,11 +457,12 @@ SQL = {
     "output_names": OUTPUT_NAME_SQL,
     "job_eta": ETA_SQL,
     "image_geometry": GEOMETRY_SQL,
-    "png_probe": f"with {a.IMAGES_SQL} select image_id, case when image_id % 7 <> 0 then width end got_width, case when image_id % 7 <> 0 then height end got_height, 41::bigint n_bytes from images",
-    "response_triage": "select event_id, case event_id % 6 when 0 then 'UPSTREAM_ERROR' when 1 then 'IMAGE_TOO_LARGE' when 2 then 'UPSTREAM_ERROR' when 3 then 'UPSTREAM_ERROR' when 4 then 'UPSTREAM_ERROR' else 'UPSTREAM_ERROR' end code, case when event_id % 6 = 3 then event_type end payload from events",
+    "png_probe": f"with {a.IMAGES_SQL} select image_id, case when image_id % 7 <> 0 then width end got_width, case when image_id % 7 <> 0 then height end got_height, 41::bigint n_bytes, case when image_id % 7 = 0 or image_id % 5 = 0 then 'UPSTREAM_ERROR' end code, case when image_id % 7 <> 0 and image_id % 5 = 0 then '{{\"expected\":[' || (width + 1) || ',' || height || '],\"actual\":[' || width || ',' || height || ']}}' end details from images",
+    "response_triage": "select event_id, case event_id % 6 when 0 then 'UPSTREAM_ERROR' when 1 then 'IMAGE_TOO_LARGE' when 2 then 'UPSTREAM_ERROR' when 3 then 'UPSTREAM_ERROR' when 4 then 'UPSTREAM_ERROR' else 'UPSTREAM_ERROR' end code, case when event_id % 6 = 3 then event_type end payload, case when event_id % 6 <> 3 then 'UPSTREAM_ERROR' end background_code from events",
     "file_validation": f"with {_FILE_RULES} select job_id, idx, bytes_before, unsupported, too_large, empty, coalesce(unsupported, too_large, empty) file_code from fr",
     "job_validation": f"with {a.FILES_SQL}, {_JOB_RULES} select * from jr",
-    "classify_jobs": f"with {_FILE_RULES}, {_JOB_RULES} select jr.job_id, coalesce(job_code, (select arg_min(coalesce(unsupported, too_large, empty), idx) from fr where fr.job_id = jr.job_id and coalesce(unsupported, too_large, empty) is not null)) error_code from jr",
+    "classify_jobs": CLASSIFY_SQL,
+    "corpus_scan": "select case when doc_id % 2 = 0 then 'txt' else 'md' end ext, coalesce(lang, 'none') lang, count(*) n, sum(octet_length(encode(coalesce(text, ''))))::bigint bytes from documents group by 1, 2",
     "document_gates": GATE_SQL,
     "image_gates": IMAGE_GATE_SQL,
     "malware": "with h as (select doc_id, sha256(coalesce(text, '')) h from documents) select doc_id, case when h in (select sha256(text) from benchmark union all select h from h where doc_id % 97 = 0) then 'MALWARE_DETECTED' end malware_code from h",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jobscope.functions.scalars import expires, floor_bucket, hmac_sha256, iso
 from jobscope.operators import lifecycle, percentile, report, retention
 from jobscope.sources import adapters as a
+from jobscope.sources.scratch import scratch_path
 
 FROM, TO, TO_HOURLY = "1995-01-01", "1995-12-31", "1995-01-31"
 DAY = (FROM, TO, "day")
@@ -143,11 +144,7 @@ from (select *, row_number() over (partition by job_id order by seq) n from life
 
 
 def append_rejections(spark: SparkSession, d: str) -> DataFrame:
-    import tempfile
-    import uuid
-
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    path = f"{folder}/rejections-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "rejections")
     r = a.rejections(spark, d)
     lifecycle.append_rejections(r, path)
     lifecycle.append_rejections(r, path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+#: The names of columns.
 JOB_FACTS = (
     "job_id string, operation string, accepted_at timestamp, started_at timestamp, finished_at timestamp, status string, "
     "file_count bigint, input_bytes bigint, result_bytes bigint, error_code string"
@@ -20,9 +21,9 @@ RECORD_FILES = f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in FILES.s
 #: Fixed values.
 TERMINAL = ("succeeded", "failed", "cancelled")
 AI_OPERATIONS = ("upscale", "remove-background")
-OPERATIONS = ("image-convert", "upscale", "remove-background", "document-convert", "pdf-merge", "pdf-split", "images-to-pdf", "pdf-to-images")
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".webp", ".heic", ".heif", ".tif", ".tiff", ".bmp")
 DOCUMENT_EXTENSIONS = (".doc", ".docx", ".odt", ".rtf", ".pdf")
+FORMATS = {"jpeg": (".jpg", "JPEG"), "jpg": (".jpg", "JPEG"), "png": (".png", "PNG"), "webp": (".webp", "WEBP")}
 MIME = {
     ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".webp": "image/webp", ".pdf": "application/pdf",
     ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".zip": "application/zip",

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir, or in one of our own where that is unset; removed when the driver ends."""
+def scratch(spark: SparkSession) -> str:
+    """The shared folder for tables on the way: spark.checkpoint.dir. Where it is unset a local master gets a folder of its own; a cluster has to name one."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="jobscope-"))
         folder = context.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    handle = context._jvm.org.apache.hadoop.fs.Path(path)
-    handle.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(handle)
+    return folder
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{scratch(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    handle = jvm.org.apache.hadoop.fs.Path(path)
+    handle.getFileSystem(conf).deleteOnExit(handle)
     return path

@@ -65,6 +65,49 @@ def test_pages(spark):
     assert {x.doc_id: x.error_code for x in gated}[1] == "PDF_NO_TEXT_LAYER"
 
 
+def test_options_as_the_service_reads_them(spark):
+    def read(options, operation):
+        return one(spark, **scalars.option_columns(F.lit(options), F.lit(operation)))
+
+    assert read('{"format": "png", "quality": "bad"}', "upscale").options_error is None  # a PNG isn't written anew
+    assert read('{"format": "webp", "quality": "bad"}', "upscale").options_error == "INTERNAL_ERROR"
+    assert read('{"quality": "bad"}', "remove-background").options_error is None
+    assert read('{"quality": "bad", "format": "WEBP"}', "remove-background").options_error == "INTERNAL_ERROR"
+    assert read('{"quality": null}', "image-convert").options_error == "INTERNAL_ERROR"
+    assert read('{"scale": "x"}', "upscale").options_error == read('{"scale": null}', "upscale").options_error == "INVALID_FILE"
+    assert [read(x, "pdf-split").mode for x in ("{}", '{"mode": "each"}', '{"mode": "EACH"}')] == ["ranges", "each", "ranges"]
+    x = read('{"pageSize": "Original", "orientation": "Landscape", "maxWidth": null, "maxHeight": ""}', "images-to-pdf")
+    assert (x.page_size, x.orientation, x.max_width, x.max_height) == ("Original", "Landscape", 0, 0)
+
+
+def test_geometry_of_thin_and_of_whole_pages(spark):
+    g = one(spark, thin=geometry.thumbnail(F.lit(8108), F.lit(100), F.lit(120), F.lit(0)), same=geometry.thumbnail(F.lit(50), F.lit(40), F.lit(120), F.lit(90)), tall=geometry.thumbnail(F.lit(100), F.lit(1000), F.lit(0), F.lit(333)), own=geometry.page_layout(F.lit(320), F.lit(180), F.lit("original"), F.lit("auto"), F.lit(10)))
+    assert tuple(g.thin) == (120, 2) and tuple(g.same) == (50, 40) and tuple(g.tall) == (33, 333) and tuple(g.own) == (320, 180, 320, 180, 0, 0)
+
+
+def test_responses_of_both_models(spark):
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (360).to_bytes(4, "big") + b"\x08\x02\0\0\0\0\0\0\0IEND\xaeB`\x82"
+    ok, other, broken = (responses.upscaled_code(F.lit(x), F.lit(w), F.lit(360)) for x, w in ((png, 640), (png, 1280), (b"x" * 64, 640)))
+    got = one(spark, ok=ok, other=other, broken=broken, teapot=responses.background_code(F.lit(418), F.lit('{"result_image": "aGk="}')), fine=responses.background_code(F.lit(200), F.lit('{"result_image": "aGk="}')))
+    assert got.ok is None and got.other.code == got.broken.code == got.teapot == "UPSTREAM_ERROR" and got.fine is None
+    assert got.other.details.expected == [1280, 360] and got.other.details.actual == [640, 360] and got.broken.details is None
+
+
+def test_every_code_of_the_classification(spark):
+    from jobscope.plans import job_queries
+
+    codes = {x.error_code for d in ("sf0.01", "sf0.1") for x in job_queries.classify_jobs(spark, f"/root/testdata/{d}").select("error_code").distinct().collect()}
+    assert codes >= {None, "INVALID_FILE", "ACTIVE_JOB_EXISTS", "RATE_LIMITED", "UNSUPPORTED_FORMAT", "FILE_TOO_LARGE", "JOB_TOO_LARGE", "PDF_PASSWORD_PROTECTED", "PDF_TOO_MANY_PAGES", "IMAGE_TOO_LARGE", "MALWARE_DETECTED"}
+
+
+def test_rules_of_content_come_in_order(spark):
+    rows = [(1, "upscale", 1, ".png", 10, None, "IMAGE_TOO_LARGE", "MALWARE_DETECTED"), (2, "pdf-merge", 1, ".pdf", 10, None, "IMAGE_TOO_LARGE", "MALWARE_DETECTED"), (3, "pdf-merge", 1, ".pdf", 0, "PDF_TOO_MANY_PAGES", None, None), (4, "pdf-merge", 1, ".pdf", 5, "PDF_TOO_MANY_PAGES", None, "MALWARE_DETECTED")]
+    f = spark.createDataFrame(rows, "job_id long, operation string, idx int, ext string, size long, signature_code string, upscale_code string, malware_code string")
+    assert {x.job_id: x.file_code for x in validate.file_rules(f).collect()} == {1: "IMAGE_TOO_LARGE", 2: "MALWARE_DETECTED", 3: "INVALID_FILE", 4: "PDF_TOO_MANY_PAGES"}
+    down = validate.malware_code(f.drop("malware_code"), None, scanner_up=False)
+    assert {x.malware_code for x in down.collect()} == {"SCANNER_UNAVAILABLE"} and {x.malware_code for x in validate.malware_code(f.drop("malware_code"), None, False, False).collect()} == {None}
+
+
 def test_names_and_options(spark):
     got = one(
         spark, stem=scalars.clean_stem(F.lit("a/b/My  file (1).tar.gz")), dot=scalars.clean_stem(F.lit(".hidden")), none=scalars.clean_stem(F.lit("...")), safe=scalars.sanitize(F.lit("x/é*?.pdf"), F.lit(".pdf")), empty=scalars.sanitize(F.lit(None).cast("string"), F.lit(".pdf")),
