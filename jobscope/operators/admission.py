@@ -28,8 +28,9 @@ class RateLog:
             self.used -= self.log.popleft()[1]
         if self.used + units > limit:
             return False
-        self.log.append((now, units))
-        self.used += units
+        if units:  # requests of none would stay for nothing
+            self.log.append((now, units))
+            self.used += units
         return True
 
 

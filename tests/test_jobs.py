@@ -199,3 +199,55 @@ def test_streams_over_several_batches(spark, tmp_path):
     got = {x.seq: x.accepted for x in streams.run_available(streams.rate_limit_stream(stream, 3600, 6, 9), "append").collect()}
     batch = {x.seq: x.accepted for x in admission.rate_limit(spark.createDataFrame(rows, schema), 3600, 6, 9).collect()}
     assert got == batch and not all(batch.values())
+
+
+def in_batches(spark, path, rows, schema, n):
+    """rows as a stream of n files, one a batch."""
+    size = -(-len(rows) // n)
+    for k in range(n):
+        spark.createDataFrame(rows[k * size : (k + 1) * size], schema).coalesce(1).write.parquet(f"{path}/{k}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(path))
+
+
+def test_rate_stream_with_timers(spark, tmp_path):
+    schema = "client long, class string, units long, ts timestamp, seq long"
+    rows = [(k % 3, "ai", k % 4, T0 + timedelta(minutes=9 * k), k) for k in range(80)]
+    got = {x.seq: x.accepted for x in streams.run_available(streams.rate_limit_stream(in_batches(spark, tmp_path / "in", rows, schema, 4), 3600, 4, 9, late="0 seconds"), "append").collect()}
+    assert got == {x.seq: x.accepted for x in admission.rate_limit(spark.createDataFrame(rows, schema), 3600, 4, 9).collect()} and not all(got.values())
+
+
+def test_lease_stream_over_several_batches(spark, tmp_path):
+    schema = "client long, job_id string, kind string, ts timestamp, seq long"
+    rows = [(1, str(k // 2 if k % 5 == 4 else k), "release" if k % 5 == 4 else "reserve", T0 + timedelta(minutes=4 * k), k) for k in range(60)]
+    batch = {x.seq: x.accepted for x in admission.leases(spark.createDataFrame(rows, schema), 3, 1800).collect()}
+    for n, late in ((1, None), (3, None), (3, "0 seconds")):
+        got = {x.seq: x.accepted for x in streams.run_available(streams.lease_stream(in_batches(spark, tmp_path / f"in{n}{late is None}", rows, schema, n), 3, 1800, late), "append").collect()}
+        assert got == batch and not all(batch.values())
+
+
+def test_lifecycle_stream_lets_old_jobs_go(spark, tmp_path):
+    schema = "job_id string, kind string, operation string, ts timestamp, seq long, file_count long, result_bytes long, status string, error_code string"
+
+    def event(job, kind, hours, seq, status=None):
+        return (job, kind, "pdf-merge", T0 + timedelta(hours=hours), seq, 1, 7, status, None)
+
+    rows = [event("a", "accepted", 0, 1), event("b", "accepted", 0, 2), event("a", "started", 1, 3), event("c", "accepted", 30, 4), event("b", "terminal", 31, 5, "succeeded"), event("c", "terminal", 31, 6, "failed"), event("d", "accepted", 60, 7), event("a", "terminal", 61, 8, "cancelled")]
+    out = streams.run_available(streams.lifecycle_stream(in_batches(spark, tmp_path / "in", rows, schema, 4), "0 seconds", 40 * 3600), "update").collect()
+    last = {}
+    for x in sorted(out, key=lambda x: x.batch):
+        last[x.job_id] = x.status
+    assert last == {"a": "cancelled", "b": "succeeded", "c": "failed", "d": "queued"}
+    out = streams.run_available(streams.lifecycle_stream(in_batches(spark, tmp_path / "in2", rows, schema, 4), "0 seconds", 3600), "update").collect()
+    assert {x.status for x in out if x.job_id == "a"} == {"queued", "running"}  # it was let go before its end came
+
+
+def test_liveness_stream_stops_and_times_out(spark, tmp_path):
+    schema = "worker_id long, kind string, ts timestamp"
+    rows = [(1, "beat", T0), (2, "beat", T0), (2, "stop", T0 + timedelta(seconds=5)), (3, "beat", T0 + timedelta(seconds=600)), (3, "beat", T0 + timedelta(seconds=610)), (4, "beat", T0 + timedelta(seconds=620))]
+    out = streams.run_available(streams.liveness_stream(in_batches(spark, tmp_path / "in", rows, schema, 3), "0 seconds", 90), "update").collect()
+    last = {}
+    for x in sorted(out, key=lambda x: x.batch):
+        last[x.worker_id] = x.last_us
+    assert last[1] is None and last[2] is None and last[3] and last[4]
+    seen = spark.createDataFrame(list(last.items()), "worker_id long, last_us long")
+    assert {x.worker_id: x.alive for x in streams.alive(seen, (T0 + timedelta(seconds=650)).strftime("%Y-%m-%d %H:%M:%S")).collect()} == {1: False, 2: False, 3: True, 4: True}
