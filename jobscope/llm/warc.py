@@ -12,7 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import maybe_broadcast, scratch_path, slices, staged
+from jobscope.llm.common import maybe_broadcast, slices, staged
+from jobscope.sources.scratch import scratch_path
 
 #: Payloads under so many bytes are never written as revisits.
 LEAST = 100

@@ -406,6 +406,27 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, []), least=0.9).count() == 0
 
 
+def test_license_versions_and_altered_texts(spark):
+    r = random.Random(3)
+    names = ["AGPL-3.0-notice", "GPL-2.0-notice", "GPL-3.0-notice-full", "LGPL-2.1-notice", "LGPL-3.0-notice", "BSD-2-Clause-full", "BSD-3-Clause-full", "MIT-full", "ISC-full", "Zlib"]
+    prose = lambda n: " ".join(r.choice("river house stone water market garden window letter".split()) for _ in range(n))
+
+    def altered(text):
+        words = text.split()
+        for _ in range(len(words) // 30):
+            words[r.randrange(len(words))] = "WORD"
+        cut = sorted(r.sample(range(5, len(words) - 5), 3))
+        return "\n\n".join(" ".join(words[a:b]) for a, b in zip([0, *cut], [*cut, len(words)], strict=True))
+
+    rows = [(k, f"{prose(30)}\n\n{altered(licenses.TEMPLATES[n])}\n\n{prose(40)}", "en", "a") for k, n in enumerate(names * 3)]
+    best = {}
+    for x in licenses.scan(frame(spark, rows)).collect():
+        if x.dice > best.get(x.doc_id, (0, ""))[0]:
+            best[x.doc_id] = (x.dice, x.license)
+    assert sum(best.get(k, (0, ""))[1] == names[k % len(names)] for k in range(len(rows))) >= 0.9 * len(rows)
+    assert licenses.scan(frame(spark, [(1, prose(3000), "en", "a")])).count() == 0
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
