@@ -137,7 +137,7 @@ MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, t
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(k, 500) for b in batches for k in range(0, len(b), 500)):
         rows = []
         for doc_id, n, head, digests, parts in zip(*(batch[c].to_pylist() for c in ("doc_id", "n_bytes", "media_head", "digests", "chunks")), strict=True):
             by_place = {c["place"]: c["bytes"] for c in parts}
