@@ -177,7 +177,7 @@ def _units(w: Words) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     yield "text", *several
     whole = set(zip(*(x.tolist() for x in several), strict=True))
     for n in range(2, RUN + 1):
-        first, end = paragraph[0][: len(paragraph[0]) - n + 1], paragraph[1][n - 1 :]
+        first, end = paragraph[0][: max(0, len(paragraph[0]) - n + 1)], paragraph[1][n - 1 :]
         same = np.flatnonzero(row[first] == row[end - 1]) if len(first) else np.zeros(0, dtype=int)
         same = same[[(a, b) not in whole for a, b in zip(first[same].tolist(), end[same].tolist(), strict=True)]] if len(same) else same
         yield "run", first[same], end[same]

@@ -425,6 +425,11 @@ def test_license_versions_and_altered_texts(spark):
             best[x.doc_id] = (x.dice, x.license)
     assert sum(best.get(k, (0, ""))[1] == names[k % len(names)] for k in range(len(rows))) >= 0.9 * len(rows)
     assert licenses.scan(frame(spark, [(1, prose(3000), "en", "a")])).count() == 0
+    for n in range(3, 11):  # fewer paragraphs than a run has, and more
+        parts = [prose(3)] * n
+        parts[n // 2 : n // 2 + 2] = ["Licensed under the Apache License,", "Version 2.0."]
+        got = licenses.scan(frame(spark, [(1, "\n\n".join(parts), "en", "a")]).coalesce(1)).collect()
+        assert ("run", "Apache-2.0", 8, 1.0) in {(x.unit, x.license, x.n_words, x.dice) for x in got}, n
 
 
 BASE = {
