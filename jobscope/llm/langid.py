@@ -29,7 +29,7 @@ SCRIPT_NAMES = ["other", *sorted({name for name, _, _ in SCRIPTS})]
 #: No word's evidence against a language is above CLIP nats; a change of language costs SWITCH nats.
 CLIP, SWITCH = 5.0, 10.0
 GRAM_BITS = 16
-SLICE_CHARS = 3 << 20
+SLICE_CHARS = 3 << 19
 TEXTS = "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"
 
 
