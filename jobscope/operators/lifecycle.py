@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobscope.schema import TERMINAL
+from jobscope.schema import IMAGE_EXTENSIONS, TERMINAL
+from jobscope.sources.scratch import scratch_path
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -55,7 +56,12 @@ def append_rejections(rejections: DataFrame, path: str) -> None:
 
 
 def job_rollup(files: DataFrame) -> DataFrame:
-    return files.groupBy("job_id").agg(F.count("*").alias("file_count"), F.sum("size").cast("long").alias("input_bytes"))
+    """job_id, file_count, input_bytes; with columns ext, width and height also input_pixels, of the images whose size is known."""
+    sums = [F.count("*").alias("file_count"), F.sum("size").cast("long").alias("input_bytes")]
+    if {"ext", "width", "height"} <= set(files.columns):
+        pixels = F.when(F.col("ext").isin(*IMAGE_EXTENSIONS), F.col("width").cast("long") * F.col("height"))
+        sums.append(F.coalesce(F.sum(pixels), F.lit(0)).cast("long").alias("input_pixels"))
+    return files.groupBy("job_id").agg(*sums)
 
 
 def split_failures(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,3 +76,24 @@ def split_failures(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def prune(facts: DataFrame, column: str, cutoff: str) -> DataFrame:
     """Rows to keep: those at or after the cutoff."""
     return facts.where(F.col(column) >= F.lit(cutoff).cast("timestamp"))
+
+
+def prune_table(spark: SparkSession, path: str, column: str, date: str, cutoff: str) -> None:
+    """Prunes a table partitioned by date, the date of column: older partitions go whole, only the one with the cutoff is rewritten, later ones aren't read.
+
+    What stays of that partition is written elsewhere first. Running it again changes nothing. Rows without a time stay.
+    """
+    at = F.lit(cutoff).cast("timestamp")
+    table = spark.read.parquet(path)
+    day = spark.range(1).select(F.to_date(at).cast("string")).first()[0]
+    staged = scratch_path(spark, "pruned")
+    prune(table.where(F.col(date) == F.lit(day).cast("date")), column, cutoff).write.parquet(staged)
+    kept = spark.read.schema(table.schema).parquet(staged)
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    emptied = kept.isEmpty()
+    for entry in fs.listStatus(root):
+        name, _, value = entry.getPath().getName().partition("=")
+        if name == date and value != "__HIVE_DEFAULT_PARTITION__" and (value < day or (value == day and emptied)):
+            fs.delete(entry.getPath(), True)

@@ -331,6 +331,14 @@ def malware(spark: SparkSession, d: str) -> DataFrame:
     return validate.malware_code(docs, known).select("doc_id", "malware_code")
 
 
+def malware_scanners(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts where each fifth file met no scanner, required and not."""
+    docs = a.table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("content_hash"), (F.col("doc_id") % 5 != 0).alias("scanner_up"))
+    known = docs.where("doc_id % 97 = 0").select(F.col("content_hash").alias("hash"))
+    out = validate.scanned_code(docs, known).withColumnRenamed("malware_code", "required_code")
+    return validate.scanned_code(out, known, required=False).select("doc_id", "required_code", F.col("malware_code").alias("optional_code"))
+
+
 def text_layer(spark: SparkSession, d: str) -> DataFrame:
     return pages.text_layer(a.pages(spark, d))
 
@@ -396,6 +404,14 @@ def live_status(spark: SparkSession, d: str) -> DataFrame:
     return retention.status(retention.workers(beats, "2024-01-20", 6 * 3600))
 
 
+def live_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Users as workers, their events as beats, errors as probes."""
+    e = a.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    k = F.col("event_id")
+    probes = e.where("event_type = 'error'").select(k.alias("probe_id"), "ts", (k % 11 != 0).alias("store_ok"), (k % 13 != 0).alias("scanner_ok"), (k % 10 * 50 * 2**20).cast("long").alias("free_bytes"))
+    return retention.snapshots(e.select(F.col("user_id").alias("worker_id"), "ts"), probes, 6 * 3600, 8)
+
+
 def first_files(spark: SparkSession, d: str) -> DataFrame:
     return retention.first_files(a.files(spark, d), 3).select("job_id", "idx", "ordinal")
 
@@ -419,6 +435,10 @@ def transform_states(spark: SparkSession, d: str) -> DataFrame:
     return sources.job_states(_transformed(spark, d)).select("job_id", "status", "error_code")
 
 
+def transform_events(spark: SparkSession, d: str) -> DataFrame:
+    return sources.transform_events(_transformed(spark, d)).select("job_id", "kind", "seq", "result_bytes", "status", "error_code")
+
+
 def archives(spark: SparkSession, d: str) -> DataFrame:
     out = sources.archive(_transformed(spark, d))
     names = sources.zip_entries(F.col("content"))
@@ -440,8 +460,8 @@ def corpus_scan(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     rate_limit, lease_limit, admission_replay, client_addresses, record_views, record_files, option_values, file_names, output_names, job_eta, image_geometry, png_probe,
-    response_triage, file_validation, job_validation, classify_jobs, document_gates, image_gates, malware, text_layer, text_gate, merge_pages, split_pages, bad_ranges,
-    page_range_function, expired_jobs, orphan_directories, removal_plan, live_workers, live_status, first_files, transform_files, transform_states, archives, corpus_scan,
+    response_triage, file_validation, job_validation, classify_jobs, document_gates, image_gates, malware, malware_scanners, text_layer, text_gate, merge_pages, split_pages, bad_ranges,
+    page_range_function, expired_jobs, orphan_directories, removal_plan, live_workers, live_status, live_snapshots, first_files, transform_files, transform_states, transform_events, archives, corpus_scan,
 )}
 
 _REV = f"""{a.FILES_SQL}, tf as (select job_id, idx, octet_length(encode(coalesce(text, ''))) n from files)"""
@@ -466,6 +486,7 @@ SQL = {
     "document_gates": GATE_SQL,
     "image_gates": IMAGE_GATE_SQL,
     "malware": "with h as (select doc_id, sha256(coalesce(text, '')) h from documents) select doc_id, case when h in (select sha256(text) from benchmark union all select h from h where doc_id % 97 = 0) then 'MALWARE_DETECTED' end malware_code from h",
+    "malware_scanners": "with h as (select doc_id, sha256(coalesce(text, '')) h from documents), v as (select doc_id, case when h in (select h from h where doc_id % 97 = 0) then 'MALWARE_DETECTED' end c from h) select doc_id, case when doc_id % 5 = 0 then 'SCANNER_UNAVAILABLE' else c end required_code, case when doc_id % 5 <> 0 then c end optional_code from v",
     "text_layer": TEXT_LAYER_SQL,
     "text_gate": f"select doc_id, case when not has_text then 'PDF_NO_TEXT_LAYER' end error_code from ({TEXT_LAYER_SQL})",
     "merge_pages": f"with {a.PAGES_SQL} select doc_id // 3 job_id, doc_id, page_no, row_number() over (partition by doc_id // 3 order by doc_id % 3, page_no)::int new_page from pdf_pages",
@@ -477,8 +498,12 @@ SQL = {
     "removal_plan": f"with {a.JOBS_SQL} select job_id, 'inputs' kind from jobs where status <> 'queued' union all select job_id, 'result' from jobs where accepted_at + interval 1 hour <= timestamp '{NOW}' union all select job_id, 'record' from jobs where accepted_at + interval 2 hour <= timestamp '{NOW}'",
     "live_workers": "select user_id worker_id, epoch_us(max(ts)) last_us, epoch_us(timestamp '2024-01-20') - epoch_us(max(ts)) < 21600000000 alive from events where ts <= timestamp '2024-01-20' group by 1",
     "live_status": "with w as (select user_id, epoch_us(timestamp '2024-01-20') - epoch_us(max(ts)) < 21600000000 alive from events where ts <= timestamp '2024-01-20' group by 1), n as (select count(*) filter (where alive) workers from w) select workers, 4 expected, 262144001::bigint free_bytes, case when workers >= 4 then 'ok' else 'degraded' end status from n",
+    "live_snapshots": """with p as (select event_id probe_id, ts, event_id % 11 <> 0 and event_id % 13 <> 0 up, (event_id % 10 * 50 * 1048576)::bigint free_bytes from events where event_type = 'error'),
+c as (select probe_id, count(distinct user_id) workers from p join events e on e.ts <= p.ts and e.ts > p.ts - interval 6 hour group by 1)
+select probe_id, workers, 8 expected, free_bytes, case when up and workers >= 8 and free_bytes > 262144000 then 'ok' else 'degraded' end status from p join c using (probe_id)""",
     "first_files": f"with {a.FILES_SQL} select job_id, idx, ordinal from (select job_id, idx, row_number() over (partition by job_id order by idx)::int ordinal from files) where ordinal <= 3",
     "transform_files": f"with {_REV} select job_id, idx, case when n >= 200 then 'f' || idx || '.rev' end as name, case when n >= 200 then n end n_bytes, case when n < 200 then 'INVALID_FILE' end error_code from tf",
     "transform_states": f"with {_REV} select job_id, case when min(n) < 200 then 'failed' else 'succeeded' end status, case when min(n) < 200 then 'INVALID_FILE' end error_code from tf group by 1",
+    "transform_events": f"with {_REV}, j as (select job_id::varchar job_id, min(n) < 200 bad, sum(n)::bigint n from tf group by 1) select job_id, 'started' kind, 2::bigint seq, null::bigint result_bytes, null status, null error_code from j union all select job_id, 'terminal', 3, case when bad then 0 else n end, case when bad then 'failed' else 'succeeded' end, case when bad then 'INVALID_FILE' end from j",
     "archives": f"with {_REV} select job_id, case when count(*) = 1 then 'f' || min(idx) || '.rev' else 'results.zip' end result_name, sum(n)::bigint n_bytes, count(*) n_entries, case when count(*) > 1 then string_agg('f' || idx || '.rev', ',' order by idx) end entries from tf where n >= 200 group by job_id",
 }

@@ -161,6 +161,12 @@ def job_rollup(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.job_rollup(a.files(spark, d))
 
 
+def job_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """The files with sizes of images from their bytes, some of them not readable."""
+    width = F.when(F.col("size") % 7 != 0, F.col("size") + 1)
+    return lifecycle.job_rollup(a.files(spark, d).withColumn("width", width).withColumn("height", F.col("idx") + 2))
+
+
 def split_failures(spark: SparkSession, d: str) -> DataFrame:
     j = a.jobs(spark, d).withColumn("accepted", F.col("job_id").cast("long") % 4 != 0)
     terminal, rejected = lifecycle.split_failures(j)
@@ -185,6 +191,22 @@ def prune_plan(spark: SparkSession, d: str) -> DataFrame:
     return retention.prune_plan(a.rejections(spark, d), "occurred_at", "1995-01-10 12:00:00").withColumn("date", F.col("date").cast("string"))
 
 
+def prune_table(spark: SparkSession, d: str) -> DataFrame:
+    """The rejections as a table by date, pruned: rows of each date that is left."""
+    path = scratch_path(spark, "prunable")
+    lifecycle.append_rejections(a.rejections(spark, d), path)
+    lifecycle.prune_table(spark, path, "occurred_at", "occurred_date", "1995-01-10 12:00:00")
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("occurred_date").cast("string").alias("occurred_date")).agg(F.count("*").alias("n"), F.sum("input_bytes").alias("input_bytes"))
+
+
+def report_document_series(spark: SparkSession, d: str) -> DataFrame:
+    """The series read back from the JSON document."""
+    entry = ", ".join(f"{m}: bigint" for m in M)
+    rows = F.from_json("document", f"series array<struct<start: string, {entry}>>").series
+    return report_documents(spark, d).select(F.explode(rows).alias("r")).select("r.start", *[f"r.{m}" for m in M])
+
+
 def latest_jobs(spark: SparkSession, d: str) -> DataFrame:
     o = a.table(spark, d, "orders").select(F.col("o_custkey").alias("client"), (F.col("o_orderkey") % 3).alias("tool"), "o_orderdate", "o_orderkey")
     return retention.latest(o, ["client", "tool"], ["o_orderdate", "o_orderkey"]).select("client", "tool", "o_orderkey")
@@ -206,6 +228,7 @@ QUERIES = {
     "report_period_facts": report_period_facts,
     "report_period_rejections": report_period_rejections,
     "report_document": report_documents,
+    "report_document_series": report_document_series,
     "report_requests": report_requests,
     "bucket_floor": bucket_floor,
     "job_durations": job_durations,
@@ -215,10 +238,12 @@ QUERIES = {
     "append_rejections": append_rejections,
     "terminal_events": terminal_events,
     "job_rollup": job_rollup,
+    "job_pixels": job_pixels,
     "split_failures": split_failures,
     "pseudonyms": pseudonyms,
     "prune_facts": prune_facts,
     "prune_plan": prune_plan,
+    "prune_table": prune_table,
     "latest_jobs": latest_jobs,
 }
 
@@ -226,6 +251,7 @@ _SERIES = f"select {_START}, {', '.join(f'coalesce(s.{m}, 0)::bigint {m}' for m
 SQL = {
     "report_series": _sql(_SERIES),
     "report_series_hour": _sql(_SERIES, TO_HOURLY, "hour"),
+    "report_document_series": _sql(_SERIES),
     "report_summary": _sql(f"select {_SUMS} from c"),
     "report_by_operation": _sql(f"select operation, {_SUMS} from c group by operation order by 1"),
     "report_series_by_operation": _sql(f"select {_START}, operation, {_SUMS} from c group by bucket, operation order by 1, 2"),
@@ -250,9 +276,11 @@ select event_id, from_date::varchar from_date, to_date::varchar to_date, coalesc
     "append_rejections": f"with {a.REJECTIONS_SQL} select strftime(occurred_at, '%Y-%m-%d') occurred_date, 2 * count(*) n, (2 * sum(input_bytes))::bigint input_bytes from rejections group by 1",
     "terminal_events": f"with {a.EVENTS_SQL} select status, count(*) n from lifecycle_events where kind = 'terminal' and status in ('succeeded', 'failed', 'cancelled') group by 1",
     "job_rollup": f"with {a.FILES_SQL} select job_id, count(*) file_count, sum(size)::bigint input_bytes from files group by 1",
+    "job_pixels": f"with {a.FILES_SQL} select job_id, count(*) file_count, sum(size)::bigint input_bytes, coalesce(sum(case when ext in ('.png', '.jpg', '.webp') and size % 7 <> 0 then (size + 1) * (idx + 2) end), 0)::bigint input_pixels from files group by 1",
     "split_failures": f"with {a.JOBS_SQL} select case when job_id::bigint % 4 <> 0 then 'terminal' else 'rejection' end kind, error_code, count(*) n from jobs where error_code is not null group by 1, 2",
     "pseudonyms": PSEUDONYM_SQL,
     "prune_facts": f"with {a.JOBS_SQL} select job_id, {_ISO.format('accepted_at')} accepted_at from jobs where accepted_at >= timestamp '1996-06-01'",
     "prune_plan": f"with {a.REJECTIONS_SQL} select strftime(occurred_at, '%Y-%m-%d') date, count(*) n_rows, count(*) filter (where occurred_at < timestamp '1995-01-10 12:00:00') n_pruned, case when count(*) filter (where occurred_at < timestamp '1995-01-10 12:00:00') = 0 then 'keep' when count(*) filter (where occurred_at < timestamp '1995-01-10 12:00:00') = count(*) then 'drop' else 'rewrite' end as action from rejections group by 1",
+    "prune_table": f"with {a.REJECTIONS_SQL} select strftime(occurred_at, '%Y-%m-%d') occurred_date, count(*) n, sum(input_bytes)::bigint input_bytes from rejections where occurred_at >= timestamp '1995-01-10 12:00:00' group by 1",
     "latest_jobs": "select o_custkey client, o_orderkey % 3 tool, arg_max(o_orderkey, (o_orderdate, o_orderkey)) o_orderkey from orders group by 1, 2",
 }

@@ -21,7 +21,8 @@ def plain(value):
     return float(value) if isinstance(value, float) or type(value).__name__ == "Decimal" else value
 
 
-@pytest.mark.parametrize("name", ["report_series", "report_timing", "lifecycle_fold", "rate_limit", "classify_jobs", "split_pages", "option_values", "image_geometry"])
+@pytest.mark.parametrize("name", ["report_series", "report_timing", "lifecycle_fold", "rate_limit", "classify_jobs", "split_pages", "option_values", "image_geometry",
+                                  "malware_scanners", "live_snapshots", "transform_events", "job_pixels", "prune_table", "report_document_series"])
 def test_query_agrees_with_its_sql(spark, name):
     c = duckdb.connect()
     c.execute("set TimeZone = 'UTC'")

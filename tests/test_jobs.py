@@ -251,3 +251,26 @@ def test_liveness_stream_stops_and_times_out(spark, tmp_path):
     assert last[1] is None and last[2] is None and last[3] and last[4]
     seen = spark.createDataFrame(list(last.items()), "worker_id long, last_us long")
     assert {x.worker_id: x.alive for x in streams.alive(seen, (T0 + timedelta(seconds=650)).strftime("%Y-%m-%d %H:%M:%S")).collect()} == {1: False, 2: False, 3: True, 4: True}
+
+
+def test_snapshots_agree_with_a_loop(spark):
+    beats = [("a", 0), ("a", 50), ("a", 140), ("b", 60), ("b", 60), ("c", 86_390), ("c", 86_480), (None, 70), ("d", None)]
+    times = [0, 49, 89, 139, 140, 150, 229, 230, 86_390, 86_400, 86_569, 86_570]
+    at = lambda s: None if s is None else T0 + timedelta(seconds=s)
+    b = spark.createDataFrame([(w, at(s)) for w, s in beats], "worker_id string, ts timestamp")
+    p = spark.createDataFrame([(i, at(s), True, True, 10**9) for i, s in enumerate(times)] + [(90, None, True, True, 10**9), (91, at(60), None, True, 10**9)], "probe_id int, ts timestamp, store_ok boolean, scanner_ok boolean, free_bytes long")
+    got = {r.probe_id: (r.workers, r.status) for r in retention.snapshots(b, p, 90, 1).collect()}
+    for i, t in enumerate(times):
+        n = len({w for w, s in beats if w and s is not None and s <= t < s + 90})
+        assert got[i] == (n, "ok" if n else "degraded")
+    assert got[90] == (None, "degraded") and got[91] == (2, "degraded")
+    assert retention.snapshots(b.limit(0), p, 90, 1).where("workers > 0").count() == 0
+    assert retention.snapshots(b, p.limit(0), 90, 1).count() == 0
+
+
+def test_transform_events_fold_to_facts(spark):
+    out = spark.createDataFrame([(1, 1, "x", b"abc", None, 10.0, 11.0), (1, 2, None, None, "INVALID_FILE", 11.0, 13.0), (2, 1, "y", b"abcd", None, 5.0, 6.0)], files.OUTPUTS)
+    got = {(r.job_id, r.kind): r for r in files.transform_events(out).collect()}
+    assert got["1", "terminal"].status == "failed" and got["1", "terminal"].error_code == "INVALID_FILE" and got["1", "terminal"].result_bytes == 0
+    assert got["2", "terminal"].status == "succeeded" and got["2", "terminal"].result_bytes == 4
+    assert got["1", "started"].ts.timestamp() < got["1", "terminal"].ts.timestamp()

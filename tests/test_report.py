@@ -131,3 +131,19 @@ def test_accepting_and_splitting(spark, history):
     attempts = spark.createDataFrame([("a", "op", 1, 5, "E1", True), ("b", "op", 1, 5, "E2", False), ("c", "op", 1, 5, None, True)], "job_id string, operation string, file_count long, input_bytes long, error_code string, accepted boolean")
     ended, refused = lifecycle.split_failures(attempts)
     assert [x.error_code for x in ended.collect()] == ["E1"] and [x.error_code for x in refused.collect()] == ["E2"]
+
+
+def test_prune_of_a_table(spark, tmp_path):
+    rows = [("1995-01-08 01:00:00", 1), ("1995-01-10 11:59:59", 2), ("1995-01-10 12:00:00", 3), ("1995-01-11 00:00:00", 4), (None, 5)]
+    r = spark.createDataFrame(rows, "at string, input_bytes long").selectExpr("cast(at as timestamp) occurred_at", "input_bytes")
+    path = f"file://{tmp_path}/rejections"
+
+    def left():
+        return sorted(x.input_bytes for x in spark.read.parquet(path).collect())
+
+    lifecycle.append_rejections(r, path)
+    for _ in range(2):
+        lifecycle.prune_table(spark, path, "occurred_at", "occurred_date", "1995-01-10 12:00:00")
+        assert left() == [3, 4, 5]
+    lifecycle.prune_table(spark, path, "occurred_at", "occurred_date", "1995-01-10 13:00:00")
+    assert left() == [4, 5]
