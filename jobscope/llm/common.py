@@ -84,7 +84,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1), modulo 2**64; kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(1 << max(16, int(n - 1).bit_length()), base, dtype=np.uint64)
+        have = np.full(max(1 << 16, n + n // 8), base, dtype=np.uint64)
         have[0] = 1
         have = _powers[base] = np.multiply.accumulate(have)
     return have[:n]

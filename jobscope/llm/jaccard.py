@@ -22,8 +22,8 @@ SPLIT, APART = 3, 1
 #: A feature that stands in OFTEN documents of a stretch is counted there; counts of TOTAL and more make it frequent, TABLE
 #: features at most being set apart. Any such choice gives the same links; it only keeps candidates few.
 OFTEN, TOTAL, TABLE = 3, 12, 1_000_000
-#: Slices of a stretch of documents, and signatures of a stretch of these.
-COUNTED, SETTLED = 8, 2_000_000
+#: Bytes of text of a slice, slices of a stretch of documents, and signatures of a stretch of these.
+SLICE, COUNTED, SETTLED = 1 << 20, 16, 2_000_000
 #: Groups of candidates are compared in blocks of so much text and so many nodes; features of so many nodes of a block are bits there.
 BLOCK_BYTES, BLOCK_NODES, BIT = 2 << 20, 4096, 64
 
@@ -141,7 +141,7 @@ class Shingles:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
-        for part in slices(pc.fill_null(pc.binary_length(batch["text"]), 0).to_pylist()):
+        for part in slices(pc.fill_null(pc.binary_length(batch["text"]), 0).to_pylist(), SLICE):
             piece = batch.slice(part.start, part.stop - part.start)
             yield piece, [x or b"" for x in piece["text"].to_pylist()]
 
@@ -152,14 +152,16 @@ SETS = "doc_id long, row_hash long, n_shingles long, node long, feature long, se
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document; and rows for features with many documents in this stretch, with their number."""
 
-    def frequent(held: list[Shingles]) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate([s.values for s in held]), return_counts=True)
+    def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
+        values = np.concatenate(held)
+        values.sort()
+        first = np.flatnonzero(np.diff(values, prepend=~values[:1]))
+        counts = np.diff(first, append=len(values))
         often = counts >= OFTEN
-        n = int(often.sum())
-        none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=[x.split()[0] for x in SETS.split(", ")])
+        none = pa.nulls(int(often.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values[first[often]].view(np.int64)), pa.array(counts[often])], names=[x.split()[0] for x in SETS.split(", ")])
 
-    held: list[Shingles] = []
+    held: list[np.ndarray] = []
     for batch, texts in _texts(batches):
         s = Shingles(texts)
         none = pa.nulls(len(batch), pa.int64())
@@ -167,8 +169,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, first = np.unique(s.nodes, return_index=True)  # copies count once here
         keep = np.zeros(len(s.nodes), dtype=bool)
         keep[first] = True
-        s.values, s.sizes = s.values[keep[s.row]], s.sizes[keep]
-        held.append(s)
+        held.append(s.values[keep[s.row]])
         if len(held) == COUNTED:
             yield frequent(held)
             held = []

@@ -29,7 +29,7 @@ SCRIPT_NAMES = ["other", *sorted({name for name, _, _ in SCRIPTS})]
 #: No word's evidence against a language is above CLIP nats; a change of language costs SWITCH nats.
 CLIP, SWITCH = 5.0, 10.0
 GRAM_BITS = 16
-SLICE_CHARS = 3 << 19
+SLICE_CHARS = 1 << 19
 TEXTS = "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"
 
 
@@ -254,6 +254,13 @@ def _predict(model: Model, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
     )
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch with their texts, of which only one slice is in Python at a time."""
+    for part in slices(pc.fill_null(pc.utf8_length(batch["text"]), 0).to_pylist(), SLICE_CHARS):
+        piece = batch.slice(part.start, part.stop - part.start)
+        yield piece, [x or "" for x in piece["text"].to_pylist()]
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, spans (start, end, lang; code points of the text), one row for each row of docs.
 
@@ -265,26 +272,29 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in batch["text"].to_pylist()]
-            for part in slices([len(x) for x in texts], SLICE_CHARS):
-                yield _predict(shared.value, batch["doc_id"].slice(part.start, part.stop - part.start), texts[part])
+            for piece, texts in _texts(batch):
+                yield _predict(shared.value, piece["doc_id"], texts)
 
     return docs.select("doc_id", "text").mapInArrow(run, TEXTS)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows of docs whose text has a language with a score of at least least, all columns unchanged and without a shuffle."""
+    """The rows of docs whose text has a language with a score of at least least, all columns unchanged and without a shuffle.
+
+    Only the text goes to Python and only the score (null for und) comes back, so a text is held once in each.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x or "" for x in batch["text"].to_pylist()]
-            for part in slices([len(x) for x in texts], SLICE_CHARS):
-                piece = batch.slice(part.start, part.stop - part.start)
-                found = _predict(shared.value, pa.nulls(len(piece), pa.int64()), texts[part])
-                yield piece.filter(pa.array((found["score"].to_numpy() >= least) & (np.array(found["lang_pred"].to_pylist()) != "und")))
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            parts = []
+            for piece, held in _texts(pa.RecordBatch.from_arrays([batch], names=["text"])):
+                found = _predict(shared.value, pa.nulls(len(piece), pa.int64()), held)
+                parts.append(pc.if_else(pc.equal(found["lang_pred"], "und"), None, found["score"]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.float64())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(score(F.col("text")) >= least)
 
 
 def held_out():
