@@ -80,7 +80,7 @@ class Shingles:
         """
         at = np.searchsorted(frequent, self.values)
         rare = frequent[np.minimum(at, len(frequent) - 1)] != self.values if len(frequent) else np.ones(len(self.values), dtype=bool)
-        tops = bands(int(self.sizes.max(initial=0)) * 2 + 1)
+        tops = bands(max(2, int(self.sizes.max(initial=0)) * 2 + 1))  # the next band too, even if all sets are empty
         own = np.searchsorted(tops, self.sizes)
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for step in (0, 1):

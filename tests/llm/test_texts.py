@@ -147,6 +147,16 @@ def test_linked_sets_share_a_signature():
                 assert by[a] & by[b], (share, len(sets[a]), len(sets[b]))
 
 
+def test_slices_of_empty_sets_and_of_repeats(spark, monkeypatch):
+    for texts in ([], [b""], [b" \t"] * 3):
+        assert [len(x) for x in jaccard.Shingles(texts).signatures(np.zeros(0, dtype=np.uint64))] == [0, 0]
+    monkeypatch.setattr(jaccard, "SLICE", 64)  # each text is a slice, most hold only what was seen before, or no words
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = [(k, text if k % 3 else None if k % 2 else "  ", "en", "a") for k in range(12)]
+    got = {x.doc_id: x.component_id for x in jaccard.link(frame(spark, rows).coalesce(1)).collect()}
+    assert got == {k: 1 if k % 3 else k for k in range(12)}
+
+
 def test_keep_one_of_each_component(spark, odd_rows):
     rows = odd_rows + [(i + 1000, *x) for i, *x in near_copies(random.Random(4), 10)]
     kept = jaccard.keep_one(frame(spark, rows)).collect()
