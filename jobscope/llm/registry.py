@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobscope.llm import chat, decontaminate, jaccard, langid, licenses, media, mixing, pii, substrings, warc
+from jobscope.llm import chat, clustering, decontaminate, jaccard, langid, licenses, media, mixing, periodic, pii, substrings, toxicity, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_pii": pii.op9_pii,
     "op10_media_chunks": media.op10_media_chunks,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_centroid_clusters": clustering.op12_centroid_clusters,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,6 @@ ORACLE_SQL = {
     "op4_substring_dedup": substrings.OP4_SQL,
     "op6_warc": warc.OP6_SQL,
     "op7_license_scan": licenses.OP7_SQL,
+    "op11_periodic_runs": periodic.OP11_SQL,
+    "op12_centroid_clusters": clustering.OP12_SQL,
 }
