@@ -16,14 +16,14 @@ LEVELS = (32, 16, 0)
 WINDOW_ROWS = 1_000_000
 
 
-def lower_rank(df: DataFrame, keys: list[str], value: str, shares: list[float], window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """keys, n, total and p<share> of the non-null whole values of each group; groups without values give no row.
+def lower_rank(df: DataFrame, keys: list[str], value: str, shares: list[float], window_rows: int = WINDOW_ROWS, weight: str | None = None) -> DataFrame:
+    """keys, n, total and p<share> of the non-null whole values of each group; groups without values give no row. With weight a row stands for that many.
 
     Values are collapsed to counts first, which are written and counted. Up to window_rows of them are ranked by a window
     over each group. Beyond that, level by level, the bucket of high bits is found in which a rank lies, and only that one
     is looked into further, so no task ever sorts all values of a group, even if there is only one group.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(F.count("*").alias("_c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg((F.sum(weight) if weight else F.count("*")).alias("_c"))
     path = scratch_path(df.sparkSession, "counts")
     counts.write.parquet(path)
     counts = df.sparkSession.read.schema(counts.schema).parquet(path)

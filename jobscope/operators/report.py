@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from jobscope.functions.scalars import floor_bucket, iso
 from jobscope.operators.percentile import lower_rank
 from jobscope.schema import HOURLY_DAYS, RETENTION_DAYS, TERMINAL
+from jobscope.sources.scratch import scratch_path
 
 MEASURES = ["accepted", "succeeded", "failed", "cancelled", "rejected", "files_accepted", "input_bytes", "result_bytes"]
 
@@ -105,12 +107,16 @@ def operation_maps(c: DataFrame, frm: str, to: str, bucket: str) -> DataFrame:
     return out.select(iso(F.col("bucket")).alias("start"), F.coalesce("operations", empty).alias("operations"))
 
 
+def _grains(c: DataFrame) -> DataFrame:
+    """Sums by each of (), (operation), (bucket) and (bucket, operation). _grain: 0 both, 1 bucket, 2 operation, 3 whole."""
+    both = [F.col("bucket"), F.col("operation")]
+    sums = c.groupingSets([[], [both[1]], [both[0]], both], *both).agg(F.grouping_id().alias("_grain"), *[F.sum(m).alias(m) for m in MEASURES])
+    return sums.select(F.col("_grain").cast("long").alias("_grain"), "operation", "bucket", *MEASURES)
+
+
 def grains(c: DataFrame) -> DataFrame:
     """Whole, by operation, by bucket and by both in one pass. grain: 0 both, 1 bucket, 2 operation, 3 whole."""
-    c.createOrReplaceTempView("jobscope_contributions")
-    sums = ", ".join(f"sum({m}) {m}" for m in MEASURES)
-    sql = f"select operation, bucket, grouping_id(bucket, operation) grain, {sums} from jobscope_contributions group by bucket, operation grouping sets ((), (operation), (bucket), (bucket, operation))"
-    return c.sparkSession.sql(sql).select("grain", "operation", iso(F.col("bucket")).alias("start"), *MEASURES)
+    return _grains(c).select(F.col("_grain").alias("grain"), "operation", iso(F.col("bucket")).alias("start"), *MEASURES)
 
 
 def errors(c: DataFrame) -> DataFrame:
@@ -126,24 +132,79 @@ def timing(c: DataFrame, keys: list[str]) -> DataFrame:
     return t.select(*keys, "measure", F.col("n").alias("count"), (F.col("total") / F.col("n") / 1e6).alias("average"), (F.col("p50") / 1e6).alias("p50"), (F.col("p95") / 1e6).alias("p95"))
 
 
-def document(jobs: DataFrame, rejections: DataFrame, frm: str, to: str, bucket: str) -> DataFrame:
-    """The report as one JSON document, nulls kept."""
-    c = contributions(jobs, rejections, frm, to, bucket)
+def cells(c: DataFrame) -> DataFrame:
+    """All that a report needs, from one pass over the contributions, as sums over few keys.
+
+    part sum: the measures by operation and bucket; queue and processing: how often each duration (us) is there, by operation;
+    error: how often each code is there. n counts rows. The table has as many rows as there are such keys.
+    """
+    keys = {"operation": "string", "bucket": "timestamp", "us": "long", "code": "string"}
+
+    def cell(part: str, **set_: str) -> Column:
+        columns = [F.col(set_[k]).alias(k) if k in set_ else F.lit(None).cast(kind).alias(k) for k, kind in keys.items()]
+        return F.struct(F.lit(part).alias("part"), *columns, *[(F.col(m) if part == "sum" else F.lit(0).cast("long")).alias(m) for m in MEASURES])
 
-    def rows(df: DataFrame, order: list[str]) -> DataFrame:
-        return df.agg(F.array_sort(F.collect_list(F.struct(*order, *[x for x in df.columns if x not in order]))).alias("rows"))
+    parts = F.array(
+        cell("sum", operation="operation", bucket="bucket"),
+        F.when(F.col("queue_us").isNotNull(), cell("queue", operation="operation", us="queue_us")),
+        F.when(F.col("processing_us").isNotNull(), cell("processing", operation="operation", us="processing_us")),
+        F.when(F.col("error_code") != "", cell("error", code="error_code")),
+    )
+    flat = c.select(F.explode(F.array_compact(parts)).alias("x")).select("x.*")
+    return flat.groupBy("part", *keys).agg(F.count("*").alias("n"), *[F.sum(m).alias(m) for m in MEASURES])
 
+
+def _public(measures: Column | None = None) -> list[Column]:
+    """The fixed names of a summary's fields."""
+    at = (lambda m: measures[m]) if measures is not None else F.col
+    value = lambda m: F.coalesce(at(m), F.lit(0).cast("long"))
+    return [F.struct(*[value(m).alias(m) for m in MEASURES[:5]]).alias("jobs"), value("files_accepted").alias("filesAccepted"), value("input_bytes").alias("inputBytes"), value("result_bytes").alias("resultBytes")]
+
+
+def document(jobs: DataFrame, rejections: DataFrame, frm: str, to: str, bucket: str) -> DataFrame:
+    """The report as one JSON document, nulls kept: period, summary and operations with timing, errors, series with operations.
+
+    Jobs and rejections are read once, for cells(), which are written; every part is a sum over these, and one aggregation
+    puts the parts together. Errors come by count, then code.
+    """
+    spark = jobs.sparkSession
+    path = scratch_path(spark, "report")
+    made = cells(contributions(jobs, rejections, frm, to, bucket))
+    made.write.parquet(path)
+    made = spark.read.schema(made.schema).parquet(path)
+    flat = made.where("part in ('queue', 'processing')").select("part", "us", "n", F.explode(F.array(F.struct(F.lit(False).alias("whole"), "operation"), F.struct(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("operation")))).alias("k"))
+    ranks = lower_rank(flat.select("part", "us", "n", "k.whole", "k.operation"), ["whole", "operation", "part"], "us", [0.5, 0.95], weight="n")
+    timing = F.struct(F.col("n").alias("count"), (F.col("total") / F.col("n") / 1e6).alias("average"), *[(F.col(p) / 1e6).alias(p) for p in ("p50", "p95")])
+    times = ranks.groupBy("whole", "operation").agg(*[F.max(F.when(F.col("part") == p, timing)).alias(p) for p in ("queue", "processing")])
+    nothing = F.struct(F.lit(0).cast("long").alias("count"), *[F.lit(None).cast("double").alias(x) for x in ("average", "p50", "p95")])
+    timed = F.struct(F.coalesce("queue", nothing).alias("queueSeconds"), F.coalesce("processing", nothing).alias("processingSeconds")).alias("timing")
+    sums = _grains(made.where("part = 'sum'"))
+    t = times.withColumnRenamed("operation", "_operation")
+    whole = sums.where("_grain >= 2").join(t, F.col("whole").eqNullSafe(F.col("_grain") == 3) & F.col("operation").eqNullSafe(F.col("_operation")), "left")
+    of_bucket = sums.where("_grain < 2").groupBy("bucket").agg(
+        F.max(F.when(F.col("_grain") == 1, F.struct(*MEASURES))).alias("own"),
+        F.array_sort(F.collect_list(F.when(F.col("_grain") == 0, F.struct("operation", F.struct(*_public()).alias("sums"))))).alias("entries"),
+    )
+    shape = of_bucket.schema["entries"].dataType
+    series = buckets(spark, frm, to, bucket).join(of_bucket, "bucket", "left")
+    entries = F.coalesce("entries", F.array().cast(shape))
+    errors_ = made.where("part = 'error'").groupBy("code").agg(F.sum("n").alias("count"))
     parts = {
-        "summary": summary(c).agg(F.first(F.struct(*MEASURES)).alias("rows")),
-        "timing": rows(timing(c, []), ["measure"]),
-        "operations": rows(by_operation(c), ["operation"]),
-        "errors": rows(errors(c), ["code"]),
-        "series": rows(series(c, frm, to, bucket), ["start"]),
+        "summary": whole.where("_grain = 3").select(F.struct(*_public(), timed).alias("x")),
+        "operations": whole.where("_grain = 2 and operation is not null").select(F.struct("operation", *_public(), timed).alias("x")),
+        "errors": errors_.select(F.struct((-F.col("count")).alias("_order"), "code", "count").alias("x")),
+        "series": series.select(F.struct(iso(F.col("bucket")).alias("start"), *_public(F.col("own")), entries.alias("entries")).alias("x")),
     }
-    out = c.sparkSession.range(1).select(F.struct(F.lit(frm).alias("from"), F.lit(to).alias("to"), F.lit(bucket).alias("bucket"), F.lit("UTC").alias("timezone")).alias("period"))
-    for name, part in parts.items():
-        out = out.crossJoin(part.select(F.col("rows").alias(name)))  # one row each
-    return out.select(F.to_json(F.struct("period", *parts), {"ignoreNullFields": "false"}).alias("document"))
+    rows = [df.select(*[(F.col("x") if p == name else F.lit(None).cast(parts[p].schema["x"].dataType)).alias(p) for p in parts]) for name, df in parts.items()]
+    lists = [F.array_sort(F.collect_list(p)).alias(p) for p in ("operations", "errors", "series")]
+    one = reduce(DataFrame.union, rows).agg(F.first("summary", ignorenulls=True).alias("summary"), *lists)
+    fields = ["jobs", "filesAccepted", "inputBytes", "resultBytes"]
+    one = one.withColumns({
+        "errors": F.transform("errors", lambda e: F.struct(e["code"].alias("code"), e["count"].alias("count"))),
+        "series": F.transform("series", lambda e: F.struct(e["start"].alias("start"), *[e[x].alias(x) for x in fields], F.map_from_entries(e["entries"]).alias("operations"))),
+    })
+    head = F.struct(F.lit(frm).alias("from"), F.lit(to).alias("to"), F.lit(bucket).alias("bucket"), F.lit("UTC").alias("timezone")).alias("period")
+    return one.select(F.to_json(F.struct(head, *parts), {"ignoreNullFields": "false"}).alias("document"))
 
 
 def period(frm: str | None, to: str | None, bucket: str, today: date, retention: int = RETENTION_DAYS) -> tuple[date, date] | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -200,11 +202,72 @@ def prune_table(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy(F.col("occurred_date").cast("string").alias("occurred_date")).agg(F.count("*").alias("n"), F.sum("input_bytes").alias("input_bytes"))
 
 
+_JOBS = "jobs: struct<" + ", ".join(f"{m}: bigint" for m in M[:5]) + ">, filesAccepted: bigint, inputBytes: bigint, resultBytes: bigint"
+_TIMES = "struct<count: bigint, average: double, p50: double, p95: double>"
+_TIMED = f"{_JOBS}, timing: struct<queueSeconds: {_TIMES}, processingSeconds: {_TIMES}>"
+DOCUMENT = (
+    f"period struct<from: string, to: string, bucket: string, timezone: string>, summary struct<{_TIMED}>, operations array<struct<operation: string, {_TIMED}>>, "
+    f"errors array<struct<code: string, count: bigint>>, series array<struct<start: string, {_JOBS}, operations: map<string, struct<{_JOBS}>>>>"
+)
+
+
+def _measures(x: str) -> list:
+    return [F.col(f"{x}.jobs.{m}").alias(m) if m in M[:5] else F.col(f"{x}.{k}").alias(m) for m, k in zip(M, [*M[:5], "filesAccepted", "inputBytes", "resultBytes"], strict=True)]
+
+
+def _document(spark: SparkSession, d: str) -> DataFrame:
+    return report_documents(spark, d).select(F.from_json("document", DOCUMENT).alias("d")).select("d.*")
+
+
 def report_document_series(spark: SparkSession, d: str) -> DataFrame:
     """The series read back from the JSON document."""
-    entry = ", ".join(f"{m}: bigint" for m in M)
-    rows = F.from_json("document", f"series array<struct<start: string, {entry}>>").series
-    return report_documents(spark, d).select(F.explode(rows).alias("r")).select("r.start", *[f"r.{m}" for m in M])
+    return _document(spark, d).select(F.explode("series").alias("r")).select("r.start", *_measures("r"))
+
+
+def report_document_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Every part of the JSON document read back: part, start, operation (or error code), field, value."""
+    doc = _document(spark, d)
+
+    def long(df: DataFrame, part: str, start, name, x: str, timed: bool):
+        values = [F.struct(F.lit(c).alias("field"), v.cast("double").alias("value")) for c, v in zip(M, _measures(x), strict=True)]
+        if timed:
+            values += [F.struct(F.lit(f"{k}_{c}").alias("field"), F.col(f"{x}.timing.{k}Seconds.{c}").cast("double").alias("value")) for k in ("queue", "processing") for c in ("count", "average", "p50", "p95")]
+        return df.select(F.lit(part).alias("part"), start.alias("start"), name.alias("operation"), F.explode(F.array(*values)).alias("v")).select("part", "start", "operation", "v.field", "v.value")
+
+    none = F.lit(None).cast("string")
+    series = doc.select(F.explode("series").alias("s"))
+    inner = series.select("s.start", F.explode("s.operations").alias("operation", "o"))
+    errors = doc.select(F.posexplode("errors").alias("place", "e")).select(F.lit("errors").alias("part"), none.alias("start"), F.col("e.code").alias("operation"), F.explode(F.array(F.struct(F.lit("count").alias("field"), F.col("e.count").cast("double").alias("value")), F.struct(F.lit("place").alias("field"), F.col("place").cast("double").alias("value")))).alias("v"))
+    period = doc.select(F.lit("period").alias("part"), F.col("period.from").alias("start"), F.col("period.to").alias("operation"), F.concat_ws(" ", "period.bucket", "period.timezone").alias("field"), F.lit(None).cast("double").alias("value"))
+    parts = [
+        long(doc, "summary", none, none, "summary", True), long(doc.select(F.explode("operations").alias("o")), "operations", none, F.col("o.operation"), "o", True),
+        long(series, "series", F.col("s.start"), none, "s", False), long(inner, "series operations", F.col("start"), F.col("operation"), "o", False),
+        errors.select("part", "start", "operation", "v.field", "v.value"), period,
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+_LONG = "(select {keys}, unnest([{names}]) field, unnest([{values}]) as value from {table})"
+
+
+def _unpivot(keys: str, table: str, timed: bool) -> str:
+    times = [f"{k}_{c}" for k in ("queue", "processing") for c in ("count", "average", "p50", "p95")] if timed else []
+    return _LONG.format(keys=keys, table=table, names=", ".join(f"'{x}'" for x in [*M, *times]), values=", ".join([*[f"coalesce({m}, 0)::double" for m in M], *[f"coalesce({x}, 0)::double" if x.endswith("count") else f"{x}::double" for x in times]]))
+
+
+def _timed(keys: str) -> str:
+    """Timing by keys, a column for each measure and figure."""
+    pick = ", ".join(f"max(case when measure = '{k}' then {c} end) {k}_{c}" for k in ("queue", "processing") for c in ("count", "average", "p50", "p95"))
+    return f"select {keys} {pick} from (with " + _PERCENTILE.format(keys=keys) + f") group by all"
+
+
+DOCUMENT_SQL = f"""select part, start, operation, field, value from (
+  select 'summary' part, null start, null operation, * from {_unpivot("1 k", f"((select {_SUMS} from c) cross join ({_timed('')}))", True)}
+  union all by name select 'operations' part, * from {_unpivot("operation", f"((select operation, {_SUMS} from c group by operation) left join ({_timed('operation,')}) using (operation))", True)}
+  union all by name select 'series' part, * from {_unpivot(_START, f"(b left join (select bucket, {_SUMS} from c group by bucket) using (bucket))", False)}
+  union all by name select 'series operations' part, * from {_unpivot(f"{_START}, operation", f"(select bucket, operation, {_SUMS} from c group by bucket, operation)", False)}
+  union all by name select 'errors' part, operation, unnest(['count', 'place']) field, unnest([n, place])::double as value from (select error_code operation, count(*) n, row_number() over (order by count(*) desc, error_code) - 1 place from c where error_code <> '' group by 1)
+  union all by name select 'period' part, '{FROM}' start, '{TO}' operation, 'day UTC' field, null::double as value)"""
 
 
 def latest_jobs(spark: SparkSession, d: str) -> DataFrame:
@@ -229,6 +292,7 @@ QUERIES = {
     "report_period_rejections": report_period_rejections,
     "report_document": report_documents,
     "report_document_series": report_document_series,
+    "report_document_parts": report_document_parts,
     "report_requests": report_requests,
     "bucket_floor": bucket_floor,
     "job_durations": job_durations,
@@ -252,6 +316,7 @@ SQL = {
     "report_series": _sql(_SERIES),
     "report_series_hour": _sql(_SERIES, TO_HOURLY, "hour"),
     "report_document_series": _sql(_SERIES),
+    "report_document_parts": _sql(DOCUMENT_SQL),
     "report_summary": _sql(f"select {_SUMS} from c"),
     "report_by_operation": _sql(f"select operation, {_SUMS} from c group by operation order by 1"),
     "report_series_by_operation": _sql(f"select {_START}, operation, {_SUMS} from c group by bucket, operation order by 1, 2"),

@@ -53,21 +53,20 @@ REJECTIONS_SQL = """rejections as (
 
 
 def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted, started and terminal rows of the jobs in order, and for each fifth order late and repeated copies."""
-    j = jobs(spark, sf_dir).withColumn("k", F.col("job_id").cast("long") * 10)
-    odd = F.col("job_id").cast("long") % 5 == 0
-
-    def rows(kind: str, place: int, ts: str, status) -> DataFrame:
-        return j.select(
-            "job_id", F.lit(kind).alias("kind"), "operation", F.col(ts).alias("ts"), (F.col("k") + place).alias("seq"), "file_count", "input_bytes",
-            "result_bytes", status.alias("status"), "error_code", odd.alias("odd"),
-        )
-
-    none, end = F.lit(None).cast("string"), F.col("status")
-    done = F.col("ts").isNotNull()
-    events = rows("accepted", 1, "accepted_at", none).unionByName(rows("started", 2, "started_at", none).where(done)).unionByName(rows("terminal", 4, "finished_at", end).where(done))
-    more = rows("started", 0, "started_at", none).where(done & F.col("odd")).unionByName(rows("terminal", 5, "accepted_at", F.lit("cancelled")).where("odd")).unionByName(rows("accepted", 6, "started_at", none).where(done & F.col("odd")))
-    return events.unionByName(more.unionByName(rows("started", 3, "finished_at", none).where(done & F.col("odd")))).drop("odd")
+    """Accepted, started and terminal rows of the jobs in order, and for each fifth order late and repeated copies. Each job is read once and gives all its rows."""
+    number = F.col("job_id").cast("long")
+    odd, begun, done = number % 5 == 0, F.col("started_at").isNotNull(), F.col("finished_at").isNotNull()
+
+    def row(kind: str, place: int, ts: str, when, status=None):
+        entry = F.struct(F.lit(kind).alias("kind"), F.col(ts).alias("ts"), (number * 10 + place).alias("seq"), (F.lit(None).cast("string") if status is None else status).alias("status"))
+        return entry if when is None else F.when(when, entry)
+
+    rows = F.array_compact(F.array(
+        row("accepted", 1, "accepted_at", None), row("started", 2, "started_at", begun), row("terminal", 4, "finished_at", done, F.col("status")),
+        row("started", 0, "started_at", begun & odd), row("terminal", 5, "accepted_at", odd, F.lit("cancelled")), row("accepted", 6, "started_at", begun & odd), row("started", 3, "finished_at", done & odd),
+    ))
+    e = jobs(spark, sf_dir).select("job_id", "operation", "file_count", "input_bytes", "result_bytes", "error_code", F.explode(rows).alias("e"))
+    return e.select("job_id", "e.kind", "operation", "e.ts", "e.seq", "file_count", "input_bytes", "result_bytes", "e.status", "error_code")
 
 
 EVENTS_SQL = f"""{JOBS_SQL},
