@@ -192,8 +192,9 @@ def viterbi(scores: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarr
 def label(model: Model, t: _Letters) -> tuple[np.ndarray, np.ndarray]:
     """Label of each word, and the scores of each word.
 
-    If no stretch of a document gains more than SWITCH by another language than the document's best, then no path beats
-    the one that keeps to it, and the search is skipped.
+    A path that leaves the document's best language pays SWITCH at least once for each stretch outside of it, and gains there at
+    most the sum, word by word, of the best other language over it. If no stretch gains more than SWITCH by that, no path is
+    better than the one that keeps to the best language, however many languages it goes through, and the search is skipped.
     """
     scores, n_docs = model.score(t), len(t.offsets) - 1
     sums = np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(scores, axis=0, dtype=np.float64)])
@@ -202,9 +203,12 @@ def label(model: Model, t: _Letters) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(n_docs), np.diff(t.first))
     labels = best[doc].astype(np.int16)
     mixed = np.zeros(n_docs, dtype=bool)
-    own = scores[np.arange(len(doc)), labels].astype(np.float64)
-    for k in range(len(model.langs)):
-        gain = np.cumsum(scores[:, k] - own)
+    if len(model.langs) > 1:
+        at = np.arange(len(doc))
+        own = scores[at, labels].astype(np.float64)
+        others = scores.copy()
+        others[at, labels] = -np.inf
+        gain = np.cumsum(others.max(axis=1) - own)
         before = np.concatenate([[0.0], gain[:-1]])
         drop = doc * (2 * CLIP * (len(doc) + 1))  # so that the running minimum starts anew in each document
         rise = gain - drop - np.minimum.accumulate(before - drop)

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import time
+import types
 import zlib
 
 import numpy as np
@@ -253,6 +254,31 @@ def test_language_shortcut_agrees_with_the_search(spark):
     assert {x.lang_pred for x in langid.identify(frame(spark, rows), none).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("n_langs", [3, 4, 5, 6])
+def test_language_shortcut_never_overrides_the_search(n_langs):
+    """Random scores, stretches of several languages in the middle and at both ends: what label() finds is worth what the search finds."""
+    rng = np.random.default_rng(n_langs)
+    n_docs, worth = 2500, []
+    sizes = rng.integers(0, 30, n_docs)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    scores = -np.minimum(rng.exponential(rng.choice([0.5, 2.0, 4.0], (first[-1], 1)), (first[-1], n_langs)), langid.CLIP)
+    favoured = np.repeat(rng.integers(0, n_langs, first[-1] // 4 + 1), 4)[: first[-1]]
+    scores[np.arange(first[-1]), favoured] *= rng.choice([0.0, 1.0], first[-1])
+    # Two stretches against a language that is second best everywhere.
+    scores[first[7] : first[8]], scores[first[8] : first[9]] = 0, 0
+    scores = (scores - scores.max(axis=1, keepdims=True)).astype(np.float32)
+    case = np.array([[-1, 0, -5] + [-5] * (n_langs - 3)] * 8 + [[-1, -5, 0] + [-5] * (n_langs - 3)] * 8, dtype=np.float32)
+    scores, first = np.concatenate([scores, case, case[:, ::-1]]), np.concatenate([first, [first[-1] + 16, first[-1] + 32]])
+    t = types.SimpleNamespace(first=first, offsets=np.zeros(len(first)))
+    labels, _ = langid.label(types.SimpleNamespace(langs=list(range(n_langs)), score=lambda t: scores), t)
+    found = langid.viterbi(scores, first[:-1], first[1:])
+    for a, b in itertools.pairwise(first.tolist()):
+        own, best = (float(scores[np.arange(a, b), x[a:b]].sum()) - langid.SWITCH * int((np.diff(x[a:b]) != 0).sum()) for x in (labels.astype(int), found.astype(int)))
+        assert abs(own - best) < 1e-3
+        worth.append(len(set(found[a:b].tolist())))
+    assert max(worth) > 1 and worth[-2:] == [2, 2]
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs.where(~langid.held_out()))
