@@ -33,22 +33,29 @@ def split(pages: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def register_page_ranges(spark) -> None:
-    """SQL table function page_ranges(text, n): rows first, last, counted from 0; no rows for a bad request."""
-    import re
+    """SQL table function page_ranges(table(...)): of rows (doc_id, ranges, page_count) the pairs doc_id, first, last, counted from 0; no rows for a bad request.
 
-    from pyspark.sql.functions import udtf
+    It takes Arrow batches whole: a request's text becomes a list column, and everything else is arithmetic on flat arrays.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.functions import arrow_udtf
 
-    @udtf(returnType="first bigint, last bigint")
+    @arrow_udtf(returnType="doc_id bigint, first bigint, last bigint")
     class PageRanges:
-        def eval(self, asked: str, n: int):
-            pairs = []
-            for part in filter(None, (x.strip() for x in (asked or "").split(","))):
-                m = re.fullmatch(r"([0-9]+)(?:-([0-9]+))?", part)
-                first = int(m[1]) if m else 0
-                last = int(m[2] or first) if m else 0
-                if not 1 <= first <= last <= n:
-                    return
-                pairs.append((first - 1, last - 1))
-            yield from pairs
+        def eval(self, batch: pa.RecordBatch):
+            asked = pc.split_pattern(pc.fill_null(batch["ranges"], ""), ",")
+            owner, part = pc.list_parent_indices(asked), pc.utf8_trim_whitespace(pc.list_flatten(asked))
+            given = pc.not_equal(part, "")
+            owner, part = owner.filter(given), part.filter(given)
+            ends = pc.extract_regex(part, r"^(?P<first>[0-9]{1,18})(?:-(?P<last>[0-9]{1,18}))?$")
+            first, last = (pc.struct_field(ends, x) for x in ("first", "last"))
+            last = pc.if_else(pc.equal(last, ""), first, last)
+            first, last = first.cast(pa.int64()), last.cast(pa.int64())
+            most = pc.take(batch["page_count"], owner).cast(pa.int64())
+            fine = pc.and_(pc.and_(pc.greater_equal(first, 1), pc.less_equal(first, last)), pc.less_equal(last, most))
+            spoilt = pc.unique(owner.filter(pc.invert(pc.fill_null(fine, False))))
+            keep = pc.invert(pc.is_in(owner, value_set=spoilt))
+            yield pa.table({"doc_id": pc.take(batch["doc_id"], owner.filter(keep)).cast(pa.int64()), "first": pc.subtract(first.filter(keep), 1), "last": pc.subtract(last.filter(keep), 1)})
 
     spark.udtf.register("page_ranges", PageRanges)

@@ -199,7 +199,9 @@ def document(jobs: DataFrame, rejections: DataFrame, frm: str, to: str, bucket:
     lists = [F.array_sort(F.collect_list(p)).alias(p) for p in ("operations", "errors", "series")]
     one = reduce(DataFrame.union, rows).agg(F.first("summary", ignorenulls=True).alias("summary"), *lists)
     fields = ["jobs", "filesAccepted", "inputBytes", "resultBytes"]
+    zeros = F.struct(*[F.lit(0).cast("long").alias(m) for m in MEASURES])
     one = one.withColumns({
+        "summary": F.coalesce("summary", F.struct(*_public(zeros), F.struct(nothing.alias("queueSeconds"), nothing.alias("processingSeconds")).alias("timing"))),
         "errors": F.transform("errors", lambda e: F.struct(e["code"].alias("code"), e["count"].alias("count"))),
         "series": F.transform("series", lambda e: F.struct(e["start"].alias("start"), *[e[x].alias(x) for x in fields], F.map_from_entries(e["entries"]).alias("operations"))),
     })

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobscope.operators.ranges import prefix_sums
 from jobscope.schema import BEAT_TTL, FREE_BYTES, RECORD_TTL, RESULT_TTL, TERMINAL, WORKERS
 
 
@@ -59,9 +60,9 @@ def status(alive: DataFrame, expected: int = WORKERS, store_ok: bool = True, sca
 def snapshots(beats: DataFrame, probes: DataFrame, ttl_s: int = BEAT_TTL, expected: int = WORKERS) -> DataFrame:
     """probes (probe_id, ts, store_ok, scanner_ok, free_bytes) with workers, the number alive at that time, expected and status.
 
-    Each stretch in which a worker is alive counts one up at its start and one down at its end. These are summed up within
-    days, so that no task gets all of them, and the sums of days, one row each, are summed up over days.
-    A probe without a time, or with a null in what it saw, is degraded.
+    Each stretch in which a worker is alive counts one up at its start and one down at its end. How many are alive at a time is
+    the running sum of these up to it, over ranges of time (prefix_sums), so that no task gets all of them even if all fall
+    on one day. A probe without a time, or with a null in what it saw, is degraded.
     """
     worker = Window.partitionBy("worker_id").orderBy("us")
     b = beats.select("worker_id", F.unix_micros("ts").alias("us")).where("worker_id is not null and us is not null")
@@ -70,16 +71,11 @@ def snapshots(beats: DataFrame, probes: DataFrame, ttl_s: int = BEAT_TTL, expect
     up = F.when(F.col("_before").isNull() | (F.col("_before") + ttl <= F.col("us")), F.struct("us", F.lit(1).alias("delta")))
     down = F.when(F.col("_after").isNull() | (F.col("_after") >= F.col("us") + ttl), F.struct((F.col("us") + ttl).alias("us"), F.lit(-1).alias("delta")))
     steps = b.select(F.explode(F.array_compact(F.array(up, down))).alias("s")).select("s.us", "s.delta")
-    seen = probes.select(F.unix_micros("ts").alias("us"), F.lit(0).alias("delta"), F.struct("probe_id", "store_ok", "scanner_ok", "free_bytes").alias("probe"))
-    day = F.floor(F.col("us") / 86_400_000_000).alias("day")
-    both = steps.withColumn("probe", F.lit(None).cast(seen.schema["probe"].dataType)).unionByName(seen).select("us", "delta", "probe", day)
-    within = Window.partitionBy("day").orderBy("us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = both.groupBy("day").agg(F.sum("delta").alias("d")).select("day", F.coalesce(F.sum("d").over(before), F.lit(0)).alias("start"))
-    out = both.withColumn("n", F.sum("delta").over(within)).where("probe is not null").join(days, "day", "left")
-    workers = F.when(F.col("us").isNotNull(), F.col("n") + F.col("start"))
-    ok = F.col("probe.store_ok") & F.col("probe.scanner_ok") & (workers >= expected) & (F.col("probe.free_bytes") > FREE_BYTES)
-    return out.select("probe.probe_id", workers.alias("workers"), F.lit(expected).alias("expected"), "probe.free_bytes", F.when(ok, "ok").otherwise("degraded").alias("status"))
+    seen = probes.select("probe_id", F.unix_micros("ts").alias("us"), "store_ok", "scanner_ok", "free_bytes")
+    alive = prefix_sums(steps.union(seen.select("us", F.lit(0))), "us", "delta")
+    workers = F.col("total")
+    ok = F.col("store_ok") & F.col("scanner_ok") & (workers >= expected) & (F.col("free_bytes") > FREE_BYTES)
+    return seen.join(alive, "us", "left").select("probe_id", workers.alias("workers"), F.lit(expected).alias("expected"), "free_bytes", F.when(ok, "ok").otherwise("degraded").alias("status"))
 
 
 def latest(jobs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

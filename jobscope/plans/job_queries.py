@@ -10,6 +10,7 @@ from jobscope.functions import responses, scalars
 from jobscope.functions.scalars import iso
 from jobscope.operators import admission, pages, retention, validate
 from jobscope.sources import adapters as a
+from jobscope.sources import directories
 from jobscope.sources import files as sources
 from jobscope.sources.scratch import scratch_path
 
@@ -221,7 +222,7 @@ def png_probe(spark: SparkSession, d: str) -> DataFrame:
 
 def response_triage(spark: SparkSession, d: str) -> DataFrame:
     e = a.table(spark, d, "events")
-    k = F.col("event_id") % 6
+    k = F.col("event_id") % 7  # 6 is an image as it should be
     status = F.when(k == 0, 500).otherwise(200)
     body = F.when(k == 1, F.lit('  {"detail": "CUDA Out of Memory"}')).when(k == 2, F.lit('{"detail": "busy"}')).when(k == 3, F.concat(F.lit('{"result_image": "'), F.base64(F.col("event_type").cast("binary")), F.lit('"}'))).when(k == 4, F.lit('{"result_image": "aGk"}')).otherwise(F.lit("PNG"))
     kind = F.when(k == 5, F.lit("application/JSON")).otherwise(F.lit("image/png"))
@@ -321,7 +322,7 @@ IMAGE_GATE_SQL = f"""with {a.IMAGES_SQL}
 select image_id, case when width * height > 100000000 then 'IMAGE_TOO_LARGE' end image_code, case when width * height * scale * scale > 420000000 then 'IMAGE_TOO_LARGE' end upscale_code,
   case when image_id % 3 = 0 and image_id % 4 < 2 or image_id % 3 = 1 and image_id % 4 <> 1 or image_id % 3 = 2 and image_id % 4 < 1 then 'INVALID_FILE' end arity_code,
   case when image_id % 25 = 0 then 'INVALID_FILE' when image_id % 25 > 20 then 'TOO_MANY_FILES' end count_code,
-  '{{"width":' || width || ',"height":' || height || ',"scale":' || scale || ',"max_pixels":420000000}}' details
+  '{{"width":' || width || ',"height":' || height || ',"scale":' || scale || ',"maxOutputPixels":420000000}}' details
 from images"""
 
 
@@ -374,9 +375,8 @@ def bad_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_range_function(spark: SparkSession, d: str) -> DataFrame:
-    a.page_ranges(spark, d).createOrReplaceTempView("jobscope_ranges")
     pages.register_page_ranges(spark)
-    return spark.sql("select r.doc_id, p.first, p.last from jobscope_ranges r, lateral page_ranges(r.ranges, r.page_count) p")
+    return spark.sql("select * from page_ranges(table(select doc_id, ranges, page_count from {asked}))", asked=a.page_ranges(spark, d))
 
 
 def expired_jobs(spark: SparkSession, d: str) -> DataFrame:
@@ -390,6 +390,31 @@ def orphan_directories(spark: SparkSession, d: str) -> DataFrame:
     return retention.orphans(a.directories(spark, d), records, NOW).select("job_id", "status")
 
 
+def orphan_folders(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of documents as files in a folder for each of their jobs, listed as they lie there; a job in four has no record, the others have one by their number."""
+    docs = a.table(spark, d, "documents")
+    job = F.floor(F.col("doc_id") / 64)
+    path = scratch_path(spark, "jobs")
+    docs.select(F.concat(F.lit("job"), job.cast("string")).alias("job"), F.coalesce("text", F.lit("")).alias("value")).repartition("job").write.partitionBy("job").option("lineSep", "\u0003").text(path)
+    found = directories.job_directories(directories.list_tree(spark, path, folders=50).where("folder like 'job=%'"))
+    number = F.regexp_extract("job_id", r"job=job(\d+)$", 1).cast("long")
+    records = docs.select(job.alias("n")).where("n % 4 <> 0").distinct().select(F.concat(F.lit("job=job"), F.col("n").cast("string")).alias("job_id"), F.when(F.col("n") % 4 == 1, "failed").otherwise("running").alias("status"))
+    return retention.orphans(found, records, "2100-01-01").select(number.alias("job"), "n_bytes", "status")
+
+
+def image_source(spark: SparkSession, d: str) -> DataFrame:
+    """PNG files made of part, some cut short, read back as images: their size, or the code of a file that can't be read."""
+    p = a.table(spark, d, "part")
+    height = (F.col("p_partkey") % 40 + 1).cast("int")
+    made = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("name"), sources.png_content(F.col("p_size").cast("int"), height).alias("content"))
+    number = F.regexp_extract("name", r"p(\d+)", 1).cast("long")
+    made = made.withColumn("content", F.when(number % 7 == 0, F.substring("content", 1, 20)).otherwise(F.col("content")))
+    path = scratch_path(spark, "images")
+    sources.write_files(made, path)
+    found = sources.image_dimensions(spark, path)
+    return found.select(F.regexp_extract("path", r"p(\d+)\.png$", 1).cast("long").alias("p_partkey"), "width", "height", "channels", "code")
+
+
 def removal_plan(spark: SparkSession, d: str) -> DataFrame:
     return retention.removal_plan(a.jobs(spark, d), NOW)
 
@@ -461,7 +486,7 @@ def corpus_scan(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     rate_limit, lease_limit, admission_replay, client_addresses, record_views, record_files, option_values, file_names, output_names, job_eta, image_geometry, png_probe,
     response_triage, file_validation, job_validation, classify_jobs, document_gates, image_gates, malware, malware_scanners, text_layer, text_gate, merge_pages, split_pages, bad_ranges,
-    page_range_function, expired_jobs, orphan_directories, removal_plan, live_workers, live_status, live_snapshots, first_files, transform_files, transform_states, transform_events, archives, corpus_scan,
+    page_range_function, expired_jobs, orphan_directories, removal_plan, live_workers, live_status, live_snapshots, first_files, transform_files, transform_states, transform_events, archives, corpus_scan, orphan_folders, image_source,
 )}
 
 _REV = f"""{a.FILES_SQL}, tf as (select job_id, idx, octet_length(encode(coalesce(text, ''))) n from files)"""
@@ -478,7 +503,7 @@ SQL = {
     "job_eta": ETA_SQL,
     "image_geometry": GEOMETRY_SQL,
     "png_probe": f"with {a.IMAGES_SQL} select image_id, case when image_id % 7 <> 0 then width end got_width, case when image_id % 7 <> 0 then height end got_height, 41::bigint n_bytes, case when image_id % 7 = 0 or image_id % 5 = 0 then 'UPSTREAM_ERROR' end code, case when image_id % 7 <> 0 and image_id % 5 = 0 then '{{\"expected\":[' || (width + 1) || ',' || height || '],\"actual\":[' || width || ',' || height || ']}}' end details from images",
-    "response_triage": "select event_id, case event_id % 6 when 0 then 'UPSTREAM_ERROR' when 1 then 'IMAGE_TOO_LARGE' when 2 then 'UPSTREAM_ERROR' when 3 then 'UPSTREAM_ERROR' when 4 then 'UPSTREAM_ERROR' else 'UPSTREAM_ERROR' end code, case when event_id % 6 = 3 then event_type end payload, case when event_id % 6 <> 3 then 'UPSTREAM_ERROR' end background_code from events",
+    "response_triage": "select event_id, case event_id % 7 when 6 then null when 1 then 'IMAGE_TOO_LARGE' else 'UPSTREAM_ERROR' end code, case when event_id % 7 = 3 then event_type end payload, case when event_id % 7 <> 3 then 'UPSTREAM_ERROR' end background_code from events",
     "file_validation": f"with {_FILE_RULES} select job_id, idx, bytes_before, unsupported, too_large, empty, coalesce(unsupported, too_large, empty) file_code from fr",
     "job_validation": f"with {a.FILES_SQL}, {_JOB_RULES} select * from jr",
     "classify_jobs": CLASSIFY_SQL,
@@ -495,6 +520,8 @@ SQL = {
     "page_range_function": f"with {_RANGES} select pr.doc_id, f - 1 as first, l - 1 as last from pr join good using (doc_id)",
     "expired_jobs": f"with {a.JOBS_SQL} select job_id, strftime(accepted_at + interval 1 hour, '%Y-%m-%dT%H:%M:%SZ') expires_at, case when job_id::bigint % 10 <> 0 then status end status from jobs where accepted_at + interval 1 hour <= timestamp '{NOW}' order by accepted_at, job_id limit 100",
     "orphan_directories": f"with {a.JOBS_SQL} select job_id, case when job_id::bigint % 10 <> 0 then status end status from jobs where accepted_at < timestamp '{NOW}' - interval 2 hour and (job_id::bigint % 10 = 0 or status <> 'queued')",
+    "orphan_folders": "select doc_id // 64 job, (sum(octet_length(encode(coalesce(text, ''))) + 1))::bigint n_bytes, case doc_id // 64 % 4 when 1 then 'failed' end status from documents where doc_id // 64 % 4 < 2 group by 1",
+    "image_source": "select p_partkey, case when p_partkey % 7 <> 0 then p_size end::int width, case when p_partkey % 7 <> 0 then (p_partkey % 40 + 1)::int end height, case when p_partkey % 7 <> 0 then 3 end channels, case when p_partkey % 7 = 0 then 'INVALID_FILE' end code from part",
     "removal_plan": f"with {a.JOBS_SQL} select job_id, 'inputs' kind from jobs where status <> 'queued' union all select job_id, 'result' from jobs where accepted_at + interval 1 hour <= timestamp '{NOW}' union all select job_id, 'record' from jobs where accepted_at + interval 2 hour <= timestamp '{NOW}'",
     "live_workers": "select user_id worker_id, epoch_us(max(ts)) last_us, epoch_us(timestamp '2024-01-20') - epoch_us(max(ts)) < 21600000000 alive from events where ts <= timestamp '2024-01-20' group by 1",
     "live_status": "with w as (select user_id, epoch_us(timestamp '2024-01-20') - epoch_us(max(ts)) < 21600000000 alive from events where ts <= timestamp '2024-01-20' group by 1), n as (select count(*) filter (where alive) workers from w) select workers, 4 expected, 262144001::bigint free_bytes, case when workers >= 4 then 'ok' else 'degraded' end status from n",
