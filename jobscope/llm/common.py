@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce, wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Python tasks work on slices of a partition with about this many bytes of text at once.
 SLICE_BYTES = 2 << 20
+#: and hash so many of them at once.
+HASHED_BYTES = 1 << 18
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -60,7 +64,40 @@ def word_count(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-# ---------------------------------------------------------------- hashing in tasks
+# ---------------------------------------------------------------- memory and hashing in tasks
+
+
+@cache
+def _trim():
+    """glibc's malloc_trim, if this is it."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda keep: None
+
+
+def give_back() -> None:
+    """Returns memory that Arrow and malloc hold for later use; a Python worker outlives its task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def lean(run):
+    """A function over Arrow batches that gives unused memory back after each of them."""
+
+    @wraps(run)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                give_back()
+
+        yield from run(each())
+        give_back()
+
+    return work
+
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -93,7 +130,8 @@ def powers(base: int, n: int) -> np.ndarray:
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each values[start:end]; equal content gives equal hashes wherever it stands."""
     sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers(_BASE, len(values)), out=sums[1:])
+    np.multiply(values, powers(_BASE, len(values)), out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * powers(_INVERSE, len(values) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -108,7 +146,13 @@ class Words:
         self.starts, self.ends = edges[0::2], edges[1::2]
         offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
         self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = range_hashes(_BYTE[self.buffer], self.starts, self.ends)
+        self.hashes = np.zeros(len(self.starts), dtype=np.uint64)
+        # Piece by piece, as a byte takes eight while it is hashed.
+        cuts = np.unique(np.searchsorted(self.starts, np.arange(0, len(self.buffer), HASHED_BYTES))).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(self.starts)], strict=True):
+            if a < b:
+                low, high = int(self.starts[a]), int(self.ends[b - 1])
+                self.hashes[a:b] = range_hashes(_BYTE[self.buffer[low:high]], self.starts[a:b] - low, self.ends[a:b] - low)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import Words, grams, maybe_broadcast, mix64, slices, staged
+from jobscope.llm.common import Words, grams, lean, maybe_broadcast, mix64, slices, staged
 from jobscope.llm.components import components
 
 SHINGLE = 5
@@ -23,7 +23,7 @@ SPLIT, APART = 3, 1
 #: features at most being set apart. Any such choice gives the same links; it only keeps candidates few.
 OFTEN, TOTAL, TABLE = 3, 12, 1_000_000
 #: Bytes of text of a slice, slices of a stretch of documents, and signatures of a stretch of these.
-SLICE, COUNTED, SETTLED = 1 << 20, 16, 2_000_000
+SLICE, COUNTED, SETTLED = 1 << 19, 32, 1_000_000
 #: Groups of candidates are compared in blocks of so much text and so many nodes; features of so many nodes of a block are bits there.
 BLOCK_BYTES, BLOCK_NODES, BIT = 2 << 20, 4096, 64
 
@@ -184,7 +184,7 @@ def measure(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     driver gets only those.
     """
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), F.col("text").cast("binary").alias("text"))
-    found = staged(rows.mapInArrow(_measure, SETS), "sets")
+    found = staged(rows.mapInArrow(lean(_measure), SETS), "sets")
     sets = found.where("node is not null").select("doc_id", "row_hash", "n_shingles", "node")
     often = staged(found.where("feature is not null").groupBy("feature").agg(F.sum("seen").alias("n")).where(F.col("n") >= TOTAL), "frequent")
     # Counts to an eighth of a power of two, so the histogram has a few hundred rows however large they grow.
@@ -250,7 +250,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, repeats: bool = False) ->
         if held:
             yield from settle(held)
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "signature long, node long, more boolean")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "signature long, node long, more boolean")
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +281,7 @@ def fetch(nodes: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs of nodes (a, b) that link, by their whole texts."""
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return staged(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long"), "links")
+    return staged(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(lean(_similar), "a long, b long"), "links")
 
 
 def common(s: Shingles) -> Iterator[np.ndarray]:

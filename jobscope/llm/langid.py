@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import mix64, range_hashes, slices, staged
+from jobscope.llm.common import give_back, lean, mix64, range_hashes, slices, staged
 
 #: First and last code point of the main blocks of each script.
 SCRIPTS = [
@@ -135,7 +135,7 @@ def train(docs: DataFrame, per_lang: int = 3000, words: int = 200_000, most_lang
     shares = docs.sparkSession.createDataFrame([(x, k, int(min(1.0, per_lang / totals[x]) * 1e6)) for k, x in enumerate(langs)], "lang string, place long, share long")
     sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("share"))
     found = sample.select("place", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("word")).where("word <> ''")
-    counts = found.groupBy("word", "place").agg(F.count("*").alias("n")).mapInArrow(_count, "kind int, key long, place long, n long")
+    counts = found.groupBy("word", "place").agg(F.count("*").alias("n")).mapInArrow(lean(_count), "kind int, key long, place long, n long")
     counts = staged(counts.groupBy("kind", "key", "place").agg(F.sum("n").alias("n")), "language-counts")
     # A histogram of how often words occur tells from which count on there are as many as wanted.
     by_word = counts.where("kind = 0").groupBy("key").agg(F.sum("n").alias("total"), F.collect_list(F.struct("place", "n")).alias("by_lang")).where("total >= 2")
@@ -279,7 +279,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for piece, texts in _texts(batch):
                 yield _predict(shared.value, piece["doc_id"], texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, TEXTS)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), TEXTS)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
@@ -297,6 +297,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
                 found = _predict(shared.value, pa.nulls(len(piece), pa.int64()), held)
                 parts.append(pc.if_else(pc.equal(found["lang_pred"], "und"), None, found["score"]))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.float64())
+            give_back()
 
     return docs.where(score(F.col("text")) >= least)
 
