@@ -298,6 +298,27 @@ al as (select fr.job_id, fr.idx, coalesce(unsupported, too_large, empty, signatu
 select jr.job_id, coalesce(job_code, c.code) error_code from jr left join (select job_id, arg_min(code, idx) code from al where code is not null group by 1) c on c.job_id = jr.job_id"""
 
 
+WORK = ("pdf-merge", "pdf-split", "images-to-pdf", "pdf-to-images", "image-convert", "upscale")
+
+
+def job_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of jobs whose files are the short documents, with an operation and options by their number."""
+    f = a.files(spark, d).groupBy("job_id").agg(F.count_if(F.col("size") < 700).alias("n_files"), F.sum("size").alias("result_bytes"))
+    n = F.col("job_id")
+    operation = F.element_at(F.array(*map(F.lit, WORK)), (n % 6 + 1).cast("int"))
+    options = F.when(n % 5 == 0, '{"margin": "wide", "format": "gif"}').when(n % 5 == 1, '{"dpi": 200, "scale": 3}').otherwise("{}")
+    rejected = f.select("job_id", F.when(n % 9 == 0, "ACTIVE_JOB_EXISTS").alias("error_code"))
+    return validate.outcomes(rejected, f.select("job_id", operation.alias("operation"), "n_files", options.alias("options"), "result_bytes"), validate.Limits(result=25_000))
+
+
+OUTCOME_SQL = f"""with {a.FILES_SQL},
+j as (select job_id, count(*) filter (where size < 700) n, sum(size) bytes, {list(WORK)}[job_id % 6 + 1] op, job_id % 5 o from files group by job_id),
+w as (select *, case when op = 'pdf-merge' and n < 2 or op in ('pdf-split', 'pdf-to-images') and n <> 1 or op = 'images-to-pdf' and n < 1 then 'INVALID_FILE' end arity,
+  case when op = 'images-to-pdf' and o = 0 then 'INTERNAL_ERROR' when op = 'pdf-to-images' and o = 0 or op = 'image-convert' and o = 0 or op = 'upscale' and o = 0 then 'UNSUPPORTED_FORMAT' when op in ('pdf-to-images', 'upscale') and o = 1 then 'INVALID_FILE' end unusable from j),
+c as (select job_id, case when job_id % 9 = 0 then 'ACTIVE_JOB_EXISTS' end rejected, coalesce(case when op = 'images-to-pdf' then unusable end, arity, unusable, case when bytes > 25000 then 'RESULT_TOO_LARGE' end) work from w)
+select job_id, case when rejected is not null then 'rejected' when work is not null then 'failed' else 'succeeded' end status, coalesce(rejected, work) error_code from c"""
+
+
 def document_gates(spark: SparkSession, d: str) -> DataFrame:
     """Signature, page, pixel and text rules over documents, whose texts stand for the files' bytes."""
     f = a.table(spark, d, "documents")
@@ -486,7 +507,7 @@ def corpus_scan(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     rate_limit, lease_limit, admission_replay, client_addresses, record_views, record_files, option_values, file_names, output_names, job_eta, image_geometry, png_probe,
     response_triage, file_validation, job_validation, classify_jobs, document_gates, image_gates, malware, malware_scanners, text_layer, text_gate, merge_pages, split_pages, bad_ranges,
-    page_range_function, expired_jobs, orphan_directories, removal_plan, live_workers, live_status, live_snapshots, first_files, transform_files, transform_states, transform_events, archives, corpus_scan, orphan_folders, image_source,
+    page_range_function, expired_jobs, orphan_directories, removal_plan, live_workers, live_status, live_snapshots, first_files, transform_files, transform_states, transform_events, archives, corpus_scan, orphan_folders, image_source, job_outcomes,
 )}
 
 _REV = f"""{a.FILES_SQL}, tf as (select job_id, idx, octet_length(encode(coalesce(text, ''))) n from files)"""
@@ -507,6 +528,7 @@ SQL = {
     "file_validation": f"with {_FILE_RULES} select job_id, idx, bytes_before, unsupported, too_large, empty, coalesce(unsupported, too_large, empty) file_code from fr",
     "job_validation": f"with {a.FILES_SQL}, {_JOB_RULES} select * from jr",
     "classify_jobs": CLASSIFY_SQL,
+    "job_outcomes": OUTCOME_SQL,
     "corpus_scan": "select case when doc_id % 2 = 0 then 'txt' else 'md' end ext, coalesce(lang, 'none') lang, count(*) n, sum(octet_length(encode(coalesce(text, ''))))::bigint bytes from documents group by 1, 2",
     "document_gates": GATE_SQL,
     "image_gates": IMAGE_GATE_SQL,

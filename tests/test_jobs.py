@@ -158,6 +158,15 @@ def test_classification_takes_the_first_failure(spark):
     assert got == {1: "UNSUPPORTED_FORMAT", 2: "INVALID_FILE", 3: "INVALID_FILE", 4: "INVALID_FILE"}
 
 
+def test_outcomes_of_jobs(spark):
+    jobs = [("a", "pdf-merge", 1, "{}", 5), ("b", "pdf-merge", 2, "{}", 5), ("c", "pdf-split", 2, "{}", 5), ("d", "images-to-pdf", 0, '{"margin": "x"}', 5), ("e", "images-to-pdf", 0, "{}", 5), ("f", "pdf-to-images", 3, '{"dpi": 7}', 5), ("g", "pdf-to-images", 1, '{"dpi": 7}', 5),
+            ("h", "image-convert", 1, "{}", 101), ("i", "image-convert", 1, "{}", 100), ("j", "pdf-merge", 1, "{}", 500)]
+    classified = spark.createDataFrame([("i", None), ("j", "RATE_LIMITED")], "job_id string, error_code string")
+    got = validate.outcomes(classified, spark.createDataFrame(jobs, "job_id string, operation string, n_files long, options string, result_bytes long"), validate.Limits(result=100))
+    failed = {"a": "INVALID_FILE", "c": "INVALID_FILE", "d": "INTERNAL_ERROR", "e": "INVALID_FILE", "f": "INVALID_FILE", "g": "INVALID_FILE", "h": "RESULT_TOO_LARGE"}
+    assert {x.job_id: (x.status, x.error_code) for x in got.collect()} == {k: ("failed", v) for k, v in failed.items()} | {"b": ("succeeded", None), "i": ("succeeded", None), "j": ("rejected", "RATE_LIMITED")}
+
+
 def test_transforming_and_packing(spark):
     def fn(name, content):
         if content == b"bad":
