@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobscope.llm.common import give_back
+
 #: Kinds in output order and the base patterns of the first four (for an email, the part from the @ on). The
 #: look-behind of IP changes no match, but keeps a long run of digits from being read again from each of its digits.
 KINDS = ["email", "ip", "card", "phone", "secret", "iban", "national"]
@@ -286,17 +288,16 @@ def find(docs: DataFrame, model: Model, masked: bool = True) -> DataFrame:
 def redact(docs: DataFrame, model: Model) -> DataFrame:
     """docs with each span replaced by its kind in brackets; other columns, and texts without spans, unchanged.
 
-    Nulls stay null and empty texts empty.
+    Nulls stay null and empty texts empty. Only the text goes to Python and back.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("string")
+    def masked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            place = batch.schema.get_field_index("text")
-            texts = [x.as_py() for x in batch["text"]]
-            texts = [mask(x, _decided(x, model)) if x else x for x in texts]
-            yield batch.set_column(place, batch.schema.field("text"), pa.array(texts, batch.schema.field("text").type))
+            yield pa.array((mask(x, _decided(x, model)) if x else x for x in (y.as_py() for y in batch)), pa.string())
+            give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.withColumn("text", masked(F.col("text")))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
