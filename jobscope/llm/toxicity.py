@@ -31,8 +31,9 @@ LEET = {
 ALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "α": "a", "ο": "o", "ν": "v", "ι": "i"}
 
 #: Costs in nats: of a sign read as a letter, a mask (* or #) read as a vowel, a sign left out, a sign that ends a word, a digit
-#: that does; of a letter dropped from two and from more alike, and of keeping one of more than two alike.
-SIGN, MASK, OUT, END, DIGIT_END, DROP_TWO, DROP_MORE, KEEP_MORE = 0.7, 2.0, 1.0, 1.0, 4.0, 4.0, 0.3, 2.0
+#: that does; of a letter dropped from two and from more alike, and of keeping one of more than two alike; of the end of a word
+#: at one of several equal signs that stand between single characters, more than at another sign.
+SIGN, MASK, OUT, END, DIGIT_END, DROP_TWO, DROP_MORE, KEEP_MORE, SPACED_END = 0.7, 2.0, 1.0, 1.0, 4.0, 4.0, 0.3, 2.0, 2.5
 
 SYMBOLS = 28  # 0 the edge of a word, 1 to 26 the letters a to z with accents taken off, 27 any other letter
 CONTEXTS = SYMBOLS**3
@@ -99,8 +100,9 @@ class Tokens:
         thrice = (same[:-2] & same[1:-1])[: len(codes)] | np.concatenate([[False], (same[:-2] & same[1:-1])[: len(codes) - 1]])
         thrice |= np.concatenate([(same[:-2] & same[1:-1])[1 : len(codes)], [False]])
         loose = trim[codes] | ((group[codes] == 2) & thrice)
-        for at, step in ((starts, 1), (ends, -1)):
-            while len(go := np.flatnonzero((ends > starts) & loose[np.minimum(at - (step < 0), len(codes) - 1)])):
+        first = loose & ~((codes == 0x21) & ~thrice)  # an exclamation mark ends sentences, so before a word it may be a letter
+        for at, step, goes in ((starts, 1, first), (ends, -1, loose)):
+            while len(go := np.flatnonzero((ends > starts) & goes[np.minimum(at - (step < 0), len(codes) - 1)])):
                 at[go] += step
         full = ends > starts
         starts, ends = starts[full], ends[full]
@@ -204,6 +206,9 @@ def decode(model: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.nd
         again = letter & back
         emit[again, 1], cost[again, 1] = -1, np.where(more[again], DROP_MORE, DROP_TWO)
         cost[again & more, 0] = KEEP_MORE
+        left = codes[np.maximum(at - 2, 0)] == seen if step > 1 else np.zeros(live, dtype=bool)
+        right = (step + 2 < n[:live]) & (codes[np.minimum(at + 2, len(codes) - 1)] == seen)
+        cost += np.where((emit == 0) & ((left | right) & (kind > 0))[:, None], SPACED_END, 0.0)
         v, c = value[:live], context[:live]
         take = emit[:, None, :]
         gain = np.where(take >= 0, model[c[:, :, None], np.maximum(take, 0)], 0.0)

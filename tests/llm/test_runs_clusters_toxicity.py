@@ -135,7 +135,8 @@ def readings(token):
             if back:
                 own.append((-1, "", toxicity.DROP_MORE if more else toxicity.DROP_TWO))
         else:
-            own = [(int(s), "" if s < 0 else " " if s == 0 else chr(96 + s), float(x)) for s, x in zip(read[place[c]], price[place[c]], strict=True) if s > -2]
+            spaced = toxicity.SPACED_END if c in (codes[k - 2] if k > 1 else None, codes[k + 2] if k + 2 < len(codes) else None) else 0.0
+            own = [(int(s), "" if s < 0 else " " if s == 0 else chr(96 + s), float(x) + spaced * (s == 0)) for s, x in zip(read[place[c]], price[place[c]], strict=True) if s > -2]
         choices.append(own)
     for path in itertools.product(*choices):
         yield path
