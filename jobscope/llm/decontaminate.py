@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import Words, grams, is_small, maybe_broadcast, mix64, range_hashes, slices, staged
+from jobscope.llm.common import Words, grams, is_small, lean, maybe_broadcast, mix64, range_hashes, slices, staged
 from jobscope.llm.common import _BYTE as BYTE_HASHES
 
 #: Tokens of a window; a run of windows is a leak from RUN tokens on, or all but one of a shorter item's.
@@ -21,6 +21,8 @@ PLAIN, MOSTLY = 0.5, 4
 LEAST = 5
 #: Hashes of benchmark windows that a task looks up while reading; of a larger benchmark all windows of documents are joined by shuffle.
 LOOKUP = 4_000_000
+#: Bytes of text whose tokens a task holds at once: a byte takes about a hundred meanwhile.
+SLICE = 1 << 18
 #: Words that stand for the placeholder of units.
 UNITS = """kg g mg lb lbs oz ton tons km m cm mm mi mile miles ft foot feet inch inches yard yards l ml liter liters litre litres
 gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh
@@ -131,36 +133,40 @@ def _unit_hashes() -> np.ndarray:
 FOUND = "id long, row_hash long, n_tokens long, size int, place long, hash long, slots array<struct<k:int,word:long>>"
 
 
+def _windows(batches: Iterator[pa.RecordBatch], only: tuple[np.ndarray | None, tuple[int, ...]] | None) -> Iterator[pa.RecordBatch]:
+    """The windows of template_windows() in a task, slice by slice."""
+    for batch in batches:
+        for part in slices(pc.fill_null(pc.binary_length(batch["text"]), 0).to_pylist(), SLICE):
+            piece = batch.slice(part.start, part.stop - part.start)
+            t = Tokens([x or b"" for x in piece["text"].to_pylist()])
+            counts = np.diff(t.first)
+            for size in only[1] if only else range(LEAST - 1, WINDOW + 1):
+                row, place, hashes, written = t.windows(size)
+                if only and only[0] is None:
+                    keep = np.ones(len(row), dtype=bool)
+                elif only:
+                    at = np.minimum(np.searchsorted(only[0], hashes), len(only[0]) - 1)
+                    keep = only[0][at] == hashes
+                else:
+                    keep = (np.minimum(counts - 1, WINDOW)[row] == size) & (counts[row] >= LEAST)
+                    written[:] = False  # a name as written goes with itself, see find_leaks
+                row, place, hashes, written = row[keep], place[keep], hashes[keep], written[keep]
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([
+                        piece["id"].take(pa.array(row)), piece["row_hash"].take(pa.array(row)), pa.array(counts[row]), pa.array(np.full(len(row), size, dtype=np.int32)),
+                        pa.array(place), pa.array(hashes.view(np.int64)), t.slots(row, place, size, written),
+                    ], names=[x.split()[0] for x in FOUND.split(", ")][:7])
+
+
 def template_windows(rows: DataFrame, identifier: str, only: tuple[np.ndarray | None, tuple[int, ...]] | None = None) -> DataFrame:
     """Windows of the canonical tokens of each row. only: sorted hashes to keep (None: all) and the sizes of windows to look for; without it, each row's own size (all tokens but one, at most WINDOW) of rows with at least LEAST tokens."""
     shared = rows.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = shared.value
-        for batch in batches:
-            for part in slices(pc.fill_null(pc.binary_length(batch["text"]), 0).to_pylist()):
-                piece = batch.slice(part.start, part.stop - part.start)
-                t = Tokens([x or b"" for x in piece["text"].to_pylist()])
-                counts = np.diff(t.first)
-                for size in only[1] if only else range(LEAST - 1, WINDOW + 1):
-                    row, place, hashes, written = t.windows(size)
-                    if only and only[0] is None:
-                        keep = np.ones(len(row), dtype=bool)
-                    elif only:
-                        at = np.minimum(np.searchsorted(only[0], hashes), len(only[0]) - 1)
-                        keep = only[0][at] == hashes
-                    else:
-                        keep = (np.minimum(counts - 1, WINDOW)[row] == size) & (counts[row] >= LEAST)
-                        written[:] = False  # a name as written goes with itself, see find_leaks
-                    row, place, hashes, written = row[keep], place[keep], hashes[keep], written[keep]
-                    if len(row):
-                        yield pa.RecordBatch.from_arrays([
-                            piece["id"].take(pa.array(row)), piece["row_hash"].take(pa.array(row)), pa.array(counts[row]), pa.array(np.full(len(row), size, dtype=np.int32)),
-                            pa.array(place), pa.array(hashes.view(np.int64)), t.slots(row, place, size, written),
-                        ], names=[x.split()[0] for x in FOUND.split(", ")][:7])
+        yield from _windows(batches, shared.value)
 
     text = F.col("text")
-    return rows.select(F.col(identifier).alias("id"), F.xxhash64(identifier, "text").alias("row_hash"), text.cast("binary").alias("text")).mapInArrow(run, FOUND)
+    return rows.select(F.col(identifier).alias("id"), F.xxhash64(identifier, "text").alias("row_hash"), text.cast("binary").alias("text")).mapInArrow(lean(run), FOUND)
 
 
 def judge(length: int, need: int, at: np.ndarray, item: np.ndarray, doc: np.ndarray) -> tuple[int, bool] | None:
@@ -268,7 +274,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     runs = joined.groupBy(*line, "run").agg(F.min("place").alias("start"), (F.max("place") - F.min("place") + F.col("size")).alias("length"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("pairs"))
     need = F.least(F.lit(RUN), F.col("n_tokens") - 1)
     runs = runs.select("doc_id", "row_hash", "item_id", "n_tokens", "start", "length", need.alias("need"), "pairs").where("length >= need")
-    leaks = runs.mapInArrow(_judged, JUDGED)
+    leaks = runs.mapInArrow(lean(_judged), JUDGED)
     best = F.max(F.struct("matched", "exact")).alias("best")
     out = leaks.groupBy("row_hash", "doc_id", "item_id").agg(best, F.max("n_tokens").alias("item_tokens"))
     return out.select("doc_id", "row_hash", "item_id", "item_tokens", "best.matched", "best.exact")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import give_back
+from jobscope.llm.common import give_back, lean
 
 #: Kinds in output order and the base patterns of the first four (for an email, the part from the @ on). The
 #: look-behind of IP changes no match, but keeps a long run of digits from being read again from each of its digits.
@@ -223,7 +223,7 @@ def train(docs: DataFrame) -> Model:
             seen = Counter(describe(t.as_py(), *c) for t in batch["text"] if t.is_valid for c in candidates(t.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.list_(pa.int8())), pa.array(list(seen.values()), pa.int64())], names=["described", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "described array<tinyint>, n long")
+    counts = docs.select("text").mapInArrow(lean(run), "described array<tinyint>, n long")
     found = counts.groupBy("described").agg(F.sum("n").alias("n")).orderBy("described").collect()
     return fit(np.array([r["described"] for r in found], dtype=np.int64).reshape(-1, len(_SPAN)), np.array([r["n"] for r in found], dtype=np.float64))
 
@@ -282,7 +282,7 @@ def find(docs: DataFrame, model: Model, masked: bool = True) -> DataFrame:
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=[x[0] for x in fields])
 
-    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), FOUND)
 
 
 def redact(docs: DataFrame, model: Model) -> DataFrame:

@@ -5,10 +5,12 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -399,6 +401,19 @@ def test_leaks_of_a_benchmark_beyond_the_lookup(spark, monkeypatch):
     assert [(x.doc_id, x.exact) for x in decontaminate.find_leaks(docs, bench).collect()] == [(1, False)]
 
 
+def test_windows_take_little_memory():
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["river", "House", "12", "kg", "stone,"]) for _ in range(400)).encode() for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array(range(1500), pa.int64()), pa.array(texts, pa.binary())], names=["id", "row_hash", "text"])
+    assert batch["text"].nbytes > 2 << 20
+    tracemalloc.start()
+    for _ in decontaminate._windows(iter([batch]), (np.zeros(1, dtype=np.uint64), (8,))):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20  # a worker's share of an executor's memory; all of the batch would take several times as much
+
+
 def test_recall_of_changed_items(spark):
     r = random.Random(12)
     words = "river house stone water market garden window letter bridge summer winter doctor teacher driver farmer yellow silver simple heavy quick".split()
