@@ -10,14 +10,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import maybe_broadcast, mix64, slices, staged
+from jobscope.llm.common import is_small, maybe_broadcast, mix64, slices, staged
 
 #: Bytes of the padding unit, and of a chunk: at least, on the way to the next cut on average, at most.
 UNIT, LEAST, MEAN_BITS, MOST = 64, 256, 10, 8192
 RATE = 8000
+#: Cells of the bitmap of rows with shared chunks, at most (one bit each); it only saves shuffle, whatever its size.
+CELLS = 1 << 28
 #: A row is known by two hashes of it: one of 64 bits would be shared by different rows among very many.
 KEY = ["row_key", "row_crc"]
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.uint32)
@@ -95,6 +97,33 @@ def _fill_store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "doc_id", "n_bytes", "media_head", "digests", "own", "lent", "borrowed"])
 
 
+def may_be_among(marks: DataFrame) -> Column:
+    """Whether a row's key may be among those of marks: never false for one that is, seldom true for another. A bitmap of at most CELLS bits."""
+    cells = min(CELLS, max(1 << 10, 1 << (16 * marks.count()).bit_length()))
+    cell = F.col("row_key").bitwiseAND(F.lit(cells - 1))
+    found = marks.select(cell.alias("cell")).groupBy(F.shiftright("cell", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(cell & 7 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(cells // 8, dtype=np.uint8)
+    bitmap[found["at"].to_numpy()] = found["bits"].to_numpy()
+    shared = marks.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def among(keys: pa.Array) -> pa.Array:
+        at = keys.to_numpy(zero_copy_only=False) & (8 * len(shared.value) - 1)
+        return pa.array(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
+
+    return among(F.col("row_key"))
+
+
+def _with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """rows with lent and borrowed, null for those without shared chunks. Where marks aren't small, only texts of rows that may have some are shuffled."""
+    if is_small(marks):
+        return rows.join(F.broadcast(marks), KEY, "left")
+    sorted_out = rows.withColumn("may", may_be_among(marks))
+    none = F.lit(None).cast("array<int>")
+    apart = sorted_out.where(~F.col("may")).withColumns({"lent": none, "borrowed": none})
+    return sorted_out.where("may").join(marks, KEY, "left").unionByName(apart).drop("may")
+
+
 def store(docs: DataFrame) -> DataFrame:
     """The chunk store, a written table: for each row of docs its ordered chunk digests and the bytes of the chunks it owns.
 
@@ -108,8 +137,7 @@ def store(docs: DataFrame) -> DataFrame:
     shared = places.groupBy("digest").agg(F.min(at).alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
     marks = places.join(maybe_broadcast(staged(shared, "shared-chunks")), "digest").withColumn("own", at == F.col("owner"))
     marks = marks.groupBy(*KEY).agg(F.collect_set(F.when(F.col("own"), F.col("place"))).alias("lent"), F.collect_set(F.when(~F.col("own"), F.col("place"))).alias("borrowed"))
-    marks = maybe_broadcast(staged(marks, "chunk-marks"))
-    return staged(rows.join(marks, KEY, "left").mapInArrow(_fill_store, STORE), "chunk-store")
+    return staged(_with_marks(rows, staged(marks, "chunk-marks")).mapInArrow(_fill_store, STORE), "chunk-store")
 
 
 def rebuild(stored: DataFrame) -> DataFrame:

@@ -590,6 +590,29 @@ def test_media_round_trip(spark, odd_rows):
     assert media.read_back(media.store(frame(spark, []))).count() == 0
 
 
+def test_texts_without_shared_chunks_stay_where_they_are(spark, odd_rows, monkeypatch):
+    rows = odd_rows + [(400 + k, hashlib.sha256(str(k).encode()).hexdigest() * 40, "en", "a") for k in range(30)]
+    docs = frame(spark, rows).repartition(4)
+    expected = order(map(tuple, media.read_back(media.store(docs)).collect()))
+    joined = []
+
+    def counted(column):
+        joined.append(column)
+        return column
+
+    found = media.may_be_among
+    monkeypatch.setattr(media, "is_small", lambda df: False)
+    monkeypatch.setattr(media, "maybe_broadcast", lambda df: df)
+    monkeypatch.setattr(media, "may_be_among", lambda marks: counted(found(marks)))
+    for cells in (1 << 28, 8):  # a full bitmap sends all texts, and nothing else changes
+        monkeypatch.setattr(media, "CELLS", cells)
+        assert order(map(tuple, media.read_back(media.store(docs)).collect())) == expected
+    keys = spark.range(1000).select(F.xxhash64("id").alias("row_key"), "id")
+    monkeypatch.setattr(media, "CELLS", 1 << 28)
+    may = keys.withColumn("may", found(keys.where("id < 100").select("row_key"))).where("may")
+    assert len(joined) == 2 and may.where("id < 100").count() == 100 and may.count() < 300
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert substrings.remove_repeats(none).count() == 0 and jaccard.link(none).count() == 0 and mixing.mix(none).count() == 0
