@@ -146,8 +146,8 @@ def rebuild(stored: DataFrame) -> DataFrame:
     part = stored.where(F.size("borrowed") > 0)
     lent = stored.where(F.size("lent") > 0).select("digests", F.explode(F.filter("own", lambda x: F.array_contains("lent", x["place"]))).alias("c"))
     lent = lent.select(F.element_at("digests", F.col("c.place") + 1).alias("digest"), F.col("c.bytes").alias("bytes")).groupBy("digest").agg(F.first("bytes").alias("bytes"))
-    # Written, so that it is sent to all or else has a plain shuffle: Spark can split those who want one and the same chunk.
-    lent = maybe_broadcast(staged(lent, "lent-chunks"))
+    # Written, so that it has a plain shuffle: Spark can split those who want one and the same chunk. Bytes of chunks are never sent to all.
+    lent = staged(lent, "lent-chunks")
     wanted = part.select(*KEY, "digests", F.explode("borrowed").alias("place")).select(*KEY, "place", F.element_at("digests", F.col("place") + 1).alias("digest")).distinct()
     fetched = wanted.join(lent, "digest").groupBy(*KEY).agg(F.collect_list(F.struct("place", "bytes")).alias("fetched"))
     part = part.join(fetched, KEY).withColumn("own", F.concat("own", "fetched")).drop("fetched")
