@@ -2,14 +2,17 @@
 
 import random
 from datetime import UTC, datetime, timedelta
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from jobscope.operators import admission, lifecycle, report, retention
 from jobscope.schema import EVENTS, REJECTIONS
 from jobscope.streaming import operators as streams
+from tests import test_jobs as jobs
 
 T0 = datetime(2026, 1, 1, tzinfo=UTC)
 REQUESTS = "client long, class string, units long, ts timestamp, seq long"
@@ -186,3 +189,69 @@ def test_removals_agree_with_the_plan_at_each_time(spark, tmp_path):
         facts = lifecycle.fold(spark.createDataFrame([r for r in rows if r[3] <= now], EVENTS))
         plan = {(x.job_id, x.kind) for x in retention.removal_plan(facts, now.strftime("%Y-%m-%d %H:%M:%S")).collect()}
         assert {(x.job_id, x.kind) for x in out if x.due_us <= now.timestamp() * 1_000_000} == plan and (plan or hours == 1)
+
+
+class Handle(dict):
+    """The state of one bucket, in memory; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def getMapState(self, *schemas):  # noqa: N802
+        return self
+
+    def called(self, result=None):
+        self.calls += 1
+        return result
+
+    def exists(self):
+        return self.called(bool(self))
+
+    def containsKey(self, k):  # noqa: N802
+        return self.called(k in self)
+
+    def getValue(self, k):  # noqa: N802
+        return self.called(self[k])
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.called(self.update({k: v}))
+
+    def removeKey(self, k):  # noqa: N802
+        self.called(self.pop(k))
+
+    def iterator(self):
+        return self.called(iter(list(self.items())))
+
+    def listTimers(self):  # noqa: N802
+        return self.called(iter(sorted(self.timers)))
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.called(self.timers.add(ms))
+
+    def deleteTimer(self, ms):  # noqa: N802
+        self.called(self.timers.remove(ms))
+
+
+def test_many_jobs_in_one_group(spark):
+    """500 jobs, 100 of them never accepted, are one group: a call for each accepted job, none for the others, one timer; each goes at its own time."""
+    n, handle = 500, Handle()
+    p = streams.LifecycleProcessor(10_000_000, True)
+    p.init(handle)
+    rows = [Row(job_id=str(k), kind=kind, operation="x", ts_us=k * 1_000_000 + add, seq=k * 10 + seq, file_count=1, result_bytes=None, status=status, error_code=None)
+            for k in range(n) for kind, seq, add, status in (("terminal", 2, 5, "failed"), ("accepted", 1, 0, None)) if k % 5 or kind != "accepted"]
+    out = list(p.handleInputRows((0,), iter(rows), None))
+    assert {(x.job_id, x.status, x.accepted_us, x.finished_us, x.result_bytes) for x in out} == {(str(k), "failed", k * 1_000_000, k * 1_000_000 + 5, 0) for k in range(n) if k % 5} and len(out) == 400
+    assert handle.calls <= 400 + 4 and handle.timers == {11_001}
+    left = {int(k) for k, in handle}
+    for watermark in (11_002, 12_001, 100_000, 600_000):
+        for ms in [x for x in handle.timers if x < watermark]:
+            assert list(p.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda w=watermark: w), SimpleNamespace(getExpiryTimeInMs=lambda m=ms: m))) == []
+            handle.timers.discard(ms)
+        left = {k for k in left if k * 1000 + 10_001 >= watermark}
+        assert {int(k) for k, in handle} == left and handle.timers == ({min(left) * 1000 + 10_001} if left else set())
+    assert not left
+
+
+def test_jobs_that_share_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams._Bucketed, "BUCKETS", 2)
+    jobs.test_lifecycle_stream_lets_old_jobs_go(spark, tmp_path)
