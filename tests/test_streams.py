@@ -255,3 +255,8 @@ def test_many_jobs_in_one_group(spark):
 def test_jobs_that_share_buckets(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(streams._Bucketed, "BUCKETS", 2)
     jobs.test_lifecycle_stream_lets_old_jobs_go(spark, tmp_path)
+
+
+def test_facts_that_share_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams._Bucketed, "BUCKETS", 2)
+    test_lifecycle_goes_on_from_facts(spark, tmp_path)
