@@ -260,3 +260,8 @@ def test_jobs_that_share_buckets(spark, tmp_path, monkeypatch):
 def test_facts_that_share_buckets(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(streams._Bucketed, "BUCKETS", 2)
     test_lifecycle_goes_on_from_facts(spark, tmp_path)
+
+
+def test_removals_that_share_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams._Bucketed, "BUCKETS", 2)
+    test_removals_agree_with_the_plan_at_each_time(spark, tmp_path)
