@@ -265,3 +265,8 @@ def test_facts_that_share_buckets(spark, tmp_path, monkeypatch):
 def test_removals_that_share_buckets(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(streams._Bucketed, "BUCKETS", 2)
     test_removals_agree_with_the_plan_at_each_time(spark, tmp_path)
+
+
+def test_statuses_of_jobs_that_share_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams._Bucketed, "BUCKETS", 2)
+    test_chained_stream_agrees_with_the_hourly_report(spark, tmp_path)
