@@ -270,3 +270,18 @@ def test_removals_that_share_buckets(spark, tmp_path, monkeypatch):
 def test_statuses_of_jobs_that_share_buckets(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(streams._Bucketed, "BUCKETS", 2)
     test_chained_stream_agrees_with_the_hourly_report(spark, tmp_path)
+
+
+@pytest.mark.parametrize("late", [None, "0 seconds"])
+def test_clients_that_share_buckets(spark, tmp_path, monkeypatch, late):
+    monkeypatch.setattr(streams._Bucketed, "BUCKETS", 2)
+    test_streams_go_on_from_batches(spark, tmp_path, late)
+
+
+def test_a_stream_ends_by_itself_or_by_the_callers_limit(spark, tmp_path):
+    rows = [(k % 3, "ai", 1, T0 + timedelta(minutes=k), k) for k in range(30)]
+    stream = streams.rate_limit_stream(in_batches(spark, tmp_path / "in", rows, REQUESTS, 1), 3600, 4, 9)
+    assert streams.run_available.__defaults__ == streams.run_sink.__defaults__ == (None,)
+    with pytest.raises(TimeoutError):
+        streams.run_available(stream, "append", 1)
+    assert streams.run_available(stream, "append", 600).count() == 30
