@@ -113,6 +113,20 @@ def test_images_that_can_not_be_read(spark, tmp_path):
     assert got == {"x.png": (5, 3, 3, None), "y.png": (1, 1, 3, None), "z.png": (7, 9, 3, None), "bad.png": (None, None, None, "INVALID_FILE"), "text.png": (None, None, None, "INVALID_FILE")}
 
 
+@pytest.mark.parametrize("at_once", [1, 2, 3, 100])
+def test_images_are_read_some_at_a_time(spark, tmp_path, at_once):
+    """The driver never takes more files than that at once, and each of them once."""
+    names = ["a/x.png", "a/y.png", "a/b/z.png", "a[1]/v {2}.png", "c/d/e/u.png", "top*.png", "top1.png", ".hidden/h.png", "_h/i.png", "c/_j.png"]
+    rows = spark.createDataFrame([(n, k + 1, 2) for k, n in enumerate(names)], "name string, w int, h int")
+    assert files.write_files(rows.select("name", files.png_content(F.col("w"), F.col("h")).alias("content")), str(tmp_path)) == len(names)
+    held = [spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p).count() for p in files.portions(spark, str(tmp_path), at_once)]
+    assert max(held) <= at_once and sum(held) == 7
+    got = files.image_dimensions(spark, str(tmp_path), at_once).collect()
+    assert sorted(x.width for x in got) == [1, 2, 3, 4, 5, 6, 7] and all(x.height == 2 and x.code is None for x in got)
+    (tmp_path / "none").mkdir()
+    assert files.image_dimensions(spark, str(tmp_path / "none"), at_once).collect() == []
+
+
 def test_arrow_table_function_agrees_with_the_columns(spark):
     rng = random.Random(9)
     parts = ["1", "2-3", " 4 - 5", "7-7", "3-2", "0", "99", "1-99", "", "  ", "x", "2-", "-2", "10-12", " 8\t", "2-3-4", "1.5", "9" * 19]
