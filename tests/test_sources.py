@@ -113,6 +113,22 @@ def test_images_that_can_not_be_read(spark, tmp_path):
     assert got == {"x.png": (5, 3, 3, None), "y.png": (1, 1, 3, None), "z.png": (7, 9, 3, None), "bad.png": (None, None, None, "INVALID_FILE"), "text.png": (None, None, None, "INVALID_FILE")}
 
 
+def test_small_files_that_arrive_share_tasks(spark, tmp_path):
+    """400 files of a batch are listed by 16 tasks and read by some 4, before by 400 and 13."""
+    n, key = 400, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    files.write_files(spark.range(n).select(F.concat(F.lit("d/"), F.col("id").cast("string"), F.lit(".rtf")).alias("name"), F.lit(b"{\\rtf1 x").alias("content")), str(tmp_path / "in"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "4000000")
+    before = spark.conf.get(key)
+    with files.small_files(spark):
+        assert int(spark.conf.get(key)) == 4 * spark.sparkContext.defaultParallelism
+        streams.run_sink(files.checked_arrivals(files.scan_stream(spark, str(tmp_path / "in")), "document-convert"), lambda batch, k: batch.write.parquet(f"{tmp_path}/out/{k}"), f"{tmp_path}/checkpoint")
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == "4000000" and spark.conf.get(key) == before
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len([x for x in os.listdir(tmp_path / "out" / "0") if x.startswith("part-")]) <= 6
+    got = spark.read.parquet(f"{tmp_path}/out/0")
+    assert got.count() == n and got.where("code is null").count() == n
+
+
 @pytest.mark.parametrize("at_once", [1, 2, 3, 100])
 def test_images_are_read_some_at_a_time(spark, tmp_path, at_once):
     """The driver never takes more files than that at once, and each of them once."""
